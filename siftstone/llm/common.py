@@ -51,3 +51,27 @@ def ready_checkpoints(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="checkpoints-")
     sc.setCheckpointDir(where)
+
+
+class Store:
+    """Tables written to the shared checkpoint folder and read again, which
+    cuts lineage and survives a lost executor."""
+
+    def __init__(self, spark: SparkSession):
+        import uuid
+
+        ready_checkpoints(spark)
+        self.spark = spark
+        self.home = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        where = f"{self.home}/{self.made}"
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def drop(self, number: int) -> None:
+        """Delete the table kept as the given number, once nothing reads it."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{number}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
