@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import mixing, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.op2_query,
     "op7_simhash_dedup": simhash.op7_query,
+    "op8_source_mixing": mixing.op8_query,
+    "op10_quality_rules": quality.op10_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_source_mixing": mixing.OP8_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
