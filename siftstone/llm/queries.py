@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, substring
+from . import mixing, quality, simhash, substring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring.op2_query,
     "op7_simhash_dedup": simhash.op7_query,
     "op8_source_mixing": mixing.op8_query,
+    "op9_token_counts": tokens.op9_query,
     "op10_quality_rules": quality.op10_query,
 }
 
