@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, substring, tokens
+from . import chat, mixing, quality, simhash, substring, tokenfile, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat.op1_query,
     "op2_substring_dedup": substring.op2_query,
+    "op5_token_file": tokenfile.op5_query,
     "op7_simhash_dedup": simhash.op7_query,
     "op8_source_mixing": mixing.op8_query,
     "op9_token_counts": tokens.op9_query,
