@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, simhash, spotsigs, substring, tokenfile, tokens, toxicity
+from . import chat, mixing, quality, segment, simhash, spotsigs, substring, tokenfile, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_query,
     "op2_substring_dedup": substring.op2_query,
     "op3_toxicity": toxicity.op3_query,
+    "op4_segment_sampling": segment.op4_query,
     "op5_token_file": tokenfile.op5_query,
     "op6_spotsigs": spotsigs.op6_query,
     "op7_simhash_dedup": simhash.op7_query,
