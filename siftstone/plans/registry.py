@@ -25,8 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _load() -> None:
-    pass
+    from siftstone.plans import q_retrieval, q_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1 +1 @@
-
+"""Readers of tables, texts, code and streams."""
