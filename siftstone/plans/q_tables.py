@@ -27,9 +27,9 @@ def table_filter_ops(spark, sf_dir):
     return counted.select(F.inline(pairs))
 
 
-@query("table_contains", r"""SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)(1|3|steel|brass)$')""")
+@query("table_contains", r"""SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)(RING|bolt)$')""")
 def table_contains(spark, sf_dir):
-    return tables.TableQuery(table(spark, sf_dir, "part")).filter("p_type", "contains", "(1|3|steel|brass)$").select("p_partkey", "p_type").df
+    return tables.TableQuery(table(spark, sf_dir, "part")).filter("p_name", "contains", "(RING|bolt)$").select("p_partkey", "p_name").df
 
 
 @query("table_aggregate", """
