@@ -33,12 +33,12 @@ result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +50,8 @@ K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps.
-CACHED_EDGES = 4_000_000
-_WORD = regex.compile(rf"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+CACHED_EDGES = 6_000_000
+_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
 class Vocabulary:
@@ -113,9 +113,27 @@ class Vocabulary:
         return out[1:] if out[:1] == b" " else out
 
 
+class Growing:
+    """An array that grows at its end without copying all of it each time."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.data):
+            data = np.zeros(max(len(self.data) * 3 // 2, self.n + len(more)), self.data.dtype)
+            data[: self.n] = self.data[: self.n]
+            self.data = data
+        self.data[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Lattices:
     """Lattices of distinct words: nodes are places, edges sorted by node with
-    their share (``p``), its running sum (``upto``), log, next node and ids."""
+    their share (``p``), its running sum (``upto``), next node and ids."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -123,25 +141,32 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.root = np.zeros(0, np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.log, self.p, self.upto = (np.zeros(0) for _ in range(3))
-        self.next, self.id_first = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.held = {name: Growing(kind) for name, kind in (("root", np.int64), ("first", np.int64), ("p", np.float64), ("upto", np.float64), ("next", np.int32), ("id_first", np.int32), ("ids", np.int32))}
+        self.held["first"].add(np.zeros(1, np.int64))
+        self.held["id_first"].add(np.zeros(1, np.int32))
+        self.publish()
+
+    def publish(self) -> None:
+        self.root, self.first, self.p, self.upto, self.next, self.id_first, self.ids = (x.all() for x in self.held.values())
 
     def read(self, texts: list[list[str]]) -> np.ndarray:
         """Numbers of all words; learns new ones."""
-        if len(self.log) > CACHED_EDGES:
+        if len(self.p) > CACHED_EDGES:
             self.clear()
-        number, known = self.number, len(self.number)
-        out = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64, sum(map(len, texts)))
-        if len(number) > known:
-            self.learn([w for w, _ in zip(reversed(number), range(len(number) - known))][::-1])
-        return out
+        flat = [w for t in texts for w in t]
+        out = list(map(self.number.get, flat))
+        if None in out:
+            new = list(dict.fromkeys(w for w, i in zip(flat, out) if i is None))
+            known = len(self.number)
+            self.number.update(zip(new, range(known, known + len(new))))
+            self.learn(new)
+            out = list(map(self.number.__getitem__, flat))
+        return np.array(out, np.int64)
 
     def learn(self, words: list[str]) -> None:
         v = self.vocabulary
         char = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        char[char == 32] = ord(MARK)
         size = np.array([len(w) for w in words], np.int64)
         start = np.cumsum(size) - size
         end = np.repeat(start + size, size)
@@ -164,7 +189,7 @@ class Lattices:
         bare[src[0] if src else []] = False
         bare = np.flatnonzero(bare)
         src, length, piece = (np.concatenate([*x, y]) for x, y in ((src, bare), (length, np.ones(len(bare), np.int64)), (piece, -1 - char[bare])))
-        order = np.lexsort((length, src))
+        order = np.argsort(src, kind="stable")  # shorter pieces come first already
         src, length, piece = src[order], length[order], piece[order]
         many = np.ones(len(src), np.int64)
         spelled = np.flatnonzero(piece < 0)
@@ -176,7 +201,7 @@ class Lattices:
         here, there = src + word[src], src + word[src] + length
         back = np.zeros(len(char) + len(words))
         far = end[src] - src
-        by = np.lexsort((src, far))
+        by = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
         cut = np.concatenate(([0], np.flatnonzero(np.diff(far[by])) + 1, [len(by)])) if len(by) else np.zeros(1, np.int64)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             e = by[a:b]
@@ -198,13 +223,10 @@ class Lattices:
         ids[id_first[:-1][whole]] = piece[whole]
         for k, r in zip(spelled.tolist(), raw):
             ids[id_first[k] : id_first[k + 1]] = r
-        edges, base = len(self.log), len(self.first) - 1
-        self.root = np.concatenate((self.root, base + start + np.arange(len(words))))
-        self.first = np.concatenate((self.first, edges + first[1:]))
-        self.log, self.p, self.upto = (np.concatenate(x) for x in ((self.log, log), (self.p, p), (self.upto, upto)))
-        self.next = np.concatenate((self.next, base + there))
-        self.ids = np.concatenate((self.ids, ids))
-        self.id_first = np.concatenate((self.id_first, self.id_first[-1] + id_first[1:]))
+        edges, base, spelt = len(self.p), len(self.first) - 1, len(self.ids)
+        for name, x in (("root", base + start + np.arange(len(words))), ("first", edges + first[1:]), ("p", p), ("upto", upto), ("next", base + there), ("id_first", spelt + id_first[1:]), ("ids", ids)):
+            self.held[name].add(x)
+        self.publish()
 
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to its word's end, every edge by its share: edges of
@@ -241,7 +263,8 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(MARK + text.replace(" ", MARK))
+    """Words with the spaces before them; a space stands for its mark."""
+    return _WORD.findall(" " + text.replace(MARK, " "))
 
 
 def truncated(log_mass: np.ndarray, below: float | np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -258,12 +281,13 @@ class _Found:
 
     def __init__(self, parent, start, edges, units, before, value, noise, lattices, barred):
         self.parent, self.start, self.edges, self.units, self.value = parent, start, edges, units, value
-        log = lattices.log[edges]
+        p = lattices.p[edges]
+        log = np.log(p)
         self.upto = before + np.concatenate(([0.0], np.cumsum(log)))
         self.log = float(self.upto[-1])
         with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(1.0 - lattices.p[edges], 0.0))
-        rest[lattices.p[edges] >= 1.0 - 1e-12] = -np.inf
+            rest = np.log(np.maximum(1.0 - p, 0.0))
+        rest[p >= 1.0 - 1e-12] = -np.inf
         self.barred = {}
         if barred is not None:
             # Of the set that was taken off, what remains beside this edge.

@@ -164,11 +164,14 @@ class Words:
         texts = [bytes(raw[a:b]).split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
         if len(self.number) > self.limit:
             self.number.clear()
-        known = len(self.number)
-        number = self.number
-        index = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64, sum(map(len, texts)))
-        new = [] if len(number) == known else [w for w, i in zip(reversed(number), range(len(number) - known))][::-1]
-        return index, np.array([len(t) for t in texts], np.int64), (new if known else [None, *new])
+        known, number = len(self.number), self.number
+        flat = [w for t in texts for w in t]
+        index, new = list(map(number.get, flat)), []
+        if None in index:
+            new = list(dict.fromkeys(w for w, i in zip(flat, index) if i is None))
+            number.update(zip(new, range(known, known + len(new))))
+            index = list(map(number.__getitem__, flat))
+        return np.array(index, np.int64), np.array([len(t) for t in texts], np.int64), (new if known else [None, *new])
 
 
 _counters: dict[str, tuple[Merges, Words, list]] = {}
