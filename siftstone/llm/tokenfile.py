@@ -3,10 +3,11 @@
 Documents are range-partitioned and sorted by key, and every partition becomes
 one shard file, so the shards in order hold all documents in ascending order:
 
-    magic | ids of all documents, unsigned 32-bit little-endian, end id included
+    magic | ids of all documents, unsigned little-endian, end id included, of 16
+          | bits where the vocabulary fits, else 32
           | keys (int64), starts (uint64, count + 1 of them), has-key flags
           | index: level sizes, bits of all levels, fingerprints, record numbers
-          | footer: counts, places of the parts, magic
+          | footer: counts, bytes an id, places of the parts, magic
 
 The index is a minimal perfect hash of the shard's distinct keys.  At each
 level a key sets the bit its hash names; bits named once stay, the others go on
@@ -43,7 +44,7 @@ from .tokens import Words, public_path
 
 MAGIC = b"SIFTIDS1"
 END_ID = 2
-FOOTER = struct.Struct("<9Q8s")
+FOOTER = struct.Struct("<10Q8s")
 #: Words whose ids a worker keeps.
 CACHED = 400_000
 
@@ -98,6 +99,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         if self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids:
             raise ValueError("this tokenizer does not cut texts at white space")
         self.words = Words(CACHED)
@@ -149,6 +151,7 @@ def _write(folder: str, tokenizer: str, end: int):
         from pyspark import TaskContext
 
         encoder, out, keys, flags, counts = encoder_of(tokenizer), None, [], [], []
+        width = encoder.width if end < 1 << 16 else 4
         number = TaskContext.get().partitionId()
         name = f"shard-{number:06d}-{uuid.uuid4().hex}.ids"
         for batch in batches:
@@ -160,7 +163,7 @@ def _write(folder: str, tokenizer: str, end: int):
                     out.write(MAGIC)
                 get = lambda x, part=part: part.column(part.schema.get_field_index(x))
                 ids, n = encoder.encode(get("text"), end)
-                out.write(ids.astype("<u4").tobytes())
+                out.write(ids.astype(f"<u{width}").tobytes())
                 counts.append(n)
                 flags.append(np.asarray(get("key").is_valid()))
                 keys.append(np.asarray(get("key").fill_null(0), np.int64))
@@ -173,12 +176,12 @@ def _write(folder: str, tokenizer: str, end: int):
         slot = index.slots(keys[first])
         prints, record = np.zeros(len(first), np.uint32), np.zeros(len(first), np.uint32)
         prints[slot], record[slot] = key_prints(keys[first]), first
-        place, at = len(MAGIC) + 4 * int(starts[-1]), []
+        place, at = len(MAGIC) + width * int(starts[-1]), []
         for x in (keys.astype("<i8"), starts.astype("<u8"), flags.astype("u1"), index.sizes.astype("<i8"), index.bits.astype("<u8"), prints.astype("<u4"), record.astype("<u4")):
             at.append(place)
             out.write(x.tobytes())
             place += x.nbytes
-        out.write(footer(len(keys), len(first), *at))
+        out.write(footer(len(keys), len(first), width, *at))
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": [number], "file": [name], "n_docs": [len(keys)], "n_ids": [int(starts[-1])],
                                           "first_key": pa.array([int(keys[0]) if flags[0] else None], pa.int64()), "last_key": pa.array([int(keys[flags][-1]) if flags.any() else None], pa.int64())})
@@ -216,7 +219,7 @@ class Shard:
         system, where = open_fs(path)
         self.file = system.open_input_file(where)
         size = self.file.size()
-        self.n, self.distinct, *at, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        self.n, self.distinct, self.width, *at, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
         if magic != MAGIC or self.file.read_at(len(MAGIC), 0) != MAGIC:
             raise ValueError(f"{path} is not a token file")
         at.append(size - FOOTER.size)
@@ -240,7 +243,7 @@ class Shard:
     def ids(self, record: int, count: int = 1) -> np.ndarray:
         """The ids of ``count`` records, in one read."""
         a, b = int(self.starts[record]), int(self.starts[record + count])
-        return np.frombuffer(self.file.read_at(4 * (b - a), len(MAGIC) + 4 * a), "<u4")
+        return np.frombuffer(self.file.read_at(self.width * (b - a), len(MAGIC) + self.width * a), f"<u{self.width}").astype("<u4")
 
 
 def _read(folder: str, records: int = 256):
