@@ -50,7 +50,7 @@ K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps.
-CACHED_EDGES = 6_000_000
+CACHED_EDGES = 9_000_000
 _WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -88,8 +88,13 @@ class Vocabulary:
                     piece_at.append(-1)
             piece_at[at] = i
         keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array([*nodes.values()], np.int64)[order]
+        # An open hash table: probing arrays is cheaper than a binary search.
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.child = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        for k, slot, c in zip(keys.tolist(), self.slot(keys).tolist(), nodes.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.keys[slot], self.child[slot] = k, c
         self.piece_at = np.array(piece_at, np.int64)
         raw = [b""] * n
         for p, i in pieces.items():
@@ -102,9 +107,21 @@ class Vocabulary:
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The child of each trie node by a code point, or -1."""
         key = (node << 21) | char
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.child[at], -1)
+        slot = self.slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.child[slot], -1)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.child[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids stand for."""
