@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free, table
+from .common import Store, col, free, table
 from .textbatch import chunks, ranges
 from .tokens import Words
 
@@ -97,52 +97,45 @@ def swaps(features: set[str], seed: int) -> set[str] | None:
     return out if hit else None
 
 
-def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, fairness: float = FAIRNESS, ridge: float = RIDGE, limit: int = FEATURES) -> Model:
+def gain(absent: int, present: int, n0: int, n1: int) -> float:
+    """Log-likelihood ratio of a feature's presence against the label, from its
+    counts among negative and positive texts."""
+    n, both, out = n0 + n1, absent + present, 0.0
+    for k, m in ((absent, n0), (present, n1)):
+        for x, p in ((k, both / n), (m - k, 1 - both / n)):
+            if x and p:
+                out += x * math.log(x / m / p)
+    return out
+
+
+def identity_features() -> list[str]:
+    return sorted({f for g in IDENTITY.values() for t in g for f in features_of(t)})
+
+
+def solve(chosen: list[str], rows: list, swapped: list, y: np.ndarray, weights: np.ndarray, fairness: float = FAIRNESS, ridge: float = RIDGE) -> Model:
     """Newton's method on the weighted log loss, a ridge, and the mean squared
-    score change of counterfactual pairs."""
-    y = np.asarray(labels, np.float64)
-    total = float(weights.sum())
+    score change of counterfactual pairs.  ``rows`` and ``swapped`` hold places
+    in ``chosen``; a text without identity terms has None as its swap."""
+    y, total = np.asarray(y, np.float64), float(np.sum(weights))
     share = float((weights * y).sum() / total) if total else 0.0
     if not 0 < share < 1:
         return Model({}, 40.0 if share else -40.0)
-    sets = [text_features(t) for t in texts]
-    counts: dict[str, list[int]] = {}
-    for s, positive in zip(sets, (y > 0).astype(int).tolist()):
-        for f in s:
-            counts.setdefault(f, [0, 0])[positive] += 1
-    identity = {f for g in IDENTITY.values() for t in g for f in features_of(t)}
-    n1 = int(y.sum())
-    n0 = len(y) - n1
-
-    def gain(a: int, b: int) -> float:
-        # Log-likelihood ratio of presence against the label.
-        n, out = n0 + n1, 0.0
-        for k, m in ((a, n0), (b, n1)):
-            for x, p in ((k, (a + b) / n), (m - k, 1 - (a + b) / n)):
-                if x and p:
-                    out += x * math.log(x / m / p)
-        return out
-
-    frequent = [f for f, (a, b) in counts.items() if a + b >= LEAST and f not in identity]
-    chosen = sorted(frequent, key=lambda f: (-gain(*counts[f]), f))[:limit]
-    chosen += sorted(f for f in identity if f in counts)
-    place = {f: i for i, f in enumerate(chosen)}
     d = len(chosen)
-    x = np.zeros((len(sets), d + 1), np.float32)
+    x = np.zeros((len(rows), d + 1), np.float32)
     x[:, d] = 1
-    change = []
-    for i, s in enumerate(sets):
-        x[i, [place[f] for f in s if f in place]] = 1
-        other = swaps(s, i)
-        if other is not None:
-            row = np.zeros(d + 1, np.float32)
-            row[[place[f] for f in s if f in place]] += 1
-            row[[place[f] for f in other if f in place]] -= 1
-            change.append(row)
-    c = np.array(change, np.float32).reshape(-1, d + 1)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    pairs = [(r, s) for r, s in zip(rows, swapped) if s is not None]
+    change = np.zeros((d + 1, d + 1))
+    for r, s in pairs:
+        row = np.zeros(d + 1)
+        row[r] += 1
+        row[s] -= 1
+        at = np.flatnonzero(row)
+        change[np.ix_(at, at)] += np.outer(row[at], row[at])
     penalty = np.full(d + 1, ridge)
     penalty[d] = 1e-9
-    fixed = np.diag(penalty) + (fairness / max(1, len(c))) * (c.T @ c).astype(np.float64)
+    fixed = np.diag(penalty) + fairness / max(1, len(pairs)) * change
     w = np.zeros(d + 1)
     w[d] = math.log(share / (1 - share))
     weight = weights / total
@@ -150,35 +143,76 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray, fairne
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
         grad = x.T @ (weight * (p - y)).astype(np.float32) + fixed @ w
         curve = (weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
-        step = np.linalg.solve((x.T * curve) @ x + fixed, grad)
+        hessian = fixed.copy()
+        for a in range(0, len(x), 2048):
+            part = x[a : a + 2048]
+            hessian += part.T @ (part * curve[a : a + 2048, None])
+        step = np.linalg.solve(hessian, grad)
         w -= step
         if np.abs(step).max() < 1e-5:
             break
-    kept = {f: round(float(w[i]), 6) for f, i in place.items() if abs(w[i]) > 1e-6}
-    return Model(kept, round(float(w[d]), 6))
+    return Model({f: round(float(v), 6) for f, v in zip(chosen, w) if abs(v) > 1e-6}, round(float(w[d]), 6))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, **options) -> Model:
-    """Fit on at most ``max_rows`` of the labelled rows."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("train_id")).agg(F.max("toxic").cast("int").alias("train_label"))
-    counted = {r[0]: r[1] for r in marked.groupBy("train_label").count().collect()}
-    if not counted:
-        return Model({}, -40.0)
+def fit(texts: list[str | None], labels, weights=None, limit: int = FEATURES, **options) -> Model:
+    """Fit on texts at hand."""
+    sets, y = [text_features(t) for t in texts], np.asarray(labels, int)
+    counts: dict[str, list[int]] = {}
+    for s, positive in zip(sets, y.tolist()):
+        for f in s:
+            counts.setdefault(f, [0, 0])[positive] += 1
+    n1 = int(y.sum())
+    identity = identity_features()
+    free_ = [f for f, c in counts.items() if sum(c) >= LEAST and f not in set(identity)] if 0 < n1 < len(y) else []
+    chosen = sorted(free_, key=lambda f: (-gain(*counts[f], len(y) - n1, n1), f))[:limit] + identity
+    place = {f: i for i, f in enumerate(chosen)}
+    put = lambda s: None if s is None else [place[f] for f in s if f in place]
+    return solve(chosen, [put(s) for s in sets], [put(swaps(s, i)) for i, s in enumerate(sets)], y, np.ones(len(y)) if weights is None else np.asarray(weights), **options)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(text_features(t)) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], ["train_id", "label", "features"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, limit: int = FEATURES, **options) -> Model:
+    """Fit on at most ``max_rows`` of the labelled rows.  Features are counted
+    and chosen by the executors; the driver gets the places of chosen features
+    in each training text only."""
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("train_id")).agg(F.max("toxic").cast("int").alias("label"))
+    counted = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     order = F.xxhash64("train_id")
-    parts = []
-    for label in (0, 1):
-        ids = marked.where(F.col("train_label") == label).orderBy(order, "train_id").limit(max_rows // 2)
-        parts.append(ids)
+    parts = [marked.where(F.col("label") == label).orderBy(order, "train_id").limit(max_rows // 2) for label in (0, 1)]
     ids = parts[0].unionByName(parts[1])  # at most max_rows rows of two numbers
-    chosen = docs.select(col(id_col).cast("long").alias("train_id"), col(text_col).alias("train_text")).join(F.broadcast(ids), "train_id")
+    texts = docs.select(col(id_col).cast("long").alias("train_id"), col(text_col).alias("text")).join(F.broadcast(ids), "train_id")
     # A repeated id takes part once, so that the sample's bound holds.
-    rows = chosen.groupBy("train_id", "train_label").agg(F.min("train_text").alias("train_text")).toPandas().sort_values("train_id")
-    y = rows["train_label"].to_numpy()
-    weight = np.ones(len(y))
-    for label in (0, 1):
-        if (y == label).any():
-            weight[y == label] = counted.get(label, 0) / (y == label).sum()
-    return fit(rows["train_text"].tolist(), y, weight, **options)
+    texts = texts.groupBy("train_id", "label").agg(F.min("text").alias("text"))
+    rows = Store(docs.sparkSession).keep(texts.mapInArrow(_features, "train_id long, label int, features array<string>"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return Model({}, 40.0 if n1 else -40.0)
+    identity = identity_features()
+    counts = rows.select("label", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("label") == 0).alias("a"), F.count_if(F.col("label") == 1).alias("b"))
+    both = F.col("a") + F.col("b")
+    term = lambda k, m, p: F.when((k > 0) & (p > 0), k * F.log(k / m / p)).otherwise(0.0)
+    p = both / (n0 + n1)
+    ratio = term(F.col("a"), n0, p) + term(n0 - F.col("a"), n0, 1 - p) + term(F.col("b"), n1, p) + term(n1 - F.col("b"), n1, 1 - p)
+    best = counts.where((both >= LEAST) & ~F.col("f").isin(identity)).orderBy(F.round(ratio, 9).desc(), "f").limit(limit)
+    chosen = [r.f for r in best.select("f").collect()] + identity
+    place = {f: i for i, f in enumerate(chosen)}
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put = lambda s: None if s is None else sorted(place[f] for f in s if f in place)
+        for batch in batches:
+            sets = [set(x) for x in batch.column(2).to_pylist()]
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([put(s) for s in sets], ints), pa.array([put(swaps(s, k % 1000)) for s, k in zip(sets, batch.column(0).to_pylist())], ints)], ["train_id", "label", "own", "other"])
+
+    got = sorted(rows.mapInArrow(place_rows, "train_id long, label int, own array<int>, other array<int>").collect())
+    weight = {0: counted.get(0, 0) / n0, 1: counted.get(1, 0) / n1}
+    return solve(chosen, [r.own for r in got], [r.other for r in got], np.array([r.label for r in got]), np.array([weight[r.label] for r in got], np.float64), **options)
 
 
 class Scorer:
