@@ -50,7 +50,7 @@ K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps.
-CACHED_EDGES = 9_000_000
+CACHED_EDGES = 6_000_000
 _WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -138,7 +138,7 @@ class Growing:
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.data):
-            data = np.zeros(max(len(self.data) * 3 // 2, self.n + len(more)), self.data.dtype)
+            data = np.zeros(max(len(self.data) * 5 // 4, self.n + len(more)), self.data.dtype)
             data[: self.n] = self.data[: self.n]
             self.data = data
         self.data[self.n : self.n + len(more)] = more
@@ -150,7 +150,7 @@ class Growing:
 
 class Lattices:
     """Lattices of distinct words: nodes are places, edges sorted by node with
-    their share (``p``), its running sum (``upto``), next node and ids."""
+    their share (``p``), next node and id."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -158,13 +158,13 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.held = {name: Growing(kind) for name, kind in (("root", np.int64), ("first", np.int64), ("p", np.float64), ("upto", np.float64), ("next", np.int32), ("id_first", np.int32), ("ids", np.int32))}
-        self.held["first"].add(np.zeros(1, np.int64))
-        self.held["id_first"].add(np.zeros(1, np.int32))
+        self.held = {name: Growing(kind) for name, kind in (("root", np.int32), ("first", np.int32), ("p", np.float64), ("next", np.int32), ("id", np.int32), ("spelt", np.int32), ("spelt_first", np.int32))}
+        for name in ("first", "spelt_first"):
+            self.held[name].add(np.zeros(1, np.int32))
         self.publish()
 
     def publish(self) -> None:
-        self.root, self.first, self.p, self.upto, self.next, self.id_first, self.ids = (x.all() for x in self.held.values())
+        self.root, self.first, self.p, self.next, self.id, self.spelt, self.spelt_first = (x.all() for x in self.held.values())
 
     def read(self, texts: list[list[str]]) -> np.ndarray:
         """Numbers of all words; learns new ones."""
@@ -231,17 +231,13 @@ class Lattices:
         p = np.exp(log)
         nodes = len(back)
         first = np.searchsorted(here, np.arange(nodes + 1))
-        total = np.concatenate(([0.0], np.cumsum(p)))
-        upto = total[1:] - total[first[here]]
-        upto[first[here + 1] - 1] = 1.0
-        ids = np.zeros(int(many.sum()), np.int64)
-        id_first = np.concatenate(([0], np.cumsum(many)))
-        whole = piece >= 0
-        ids[id_first[:-1][whole]] = piece[whole]
-        for k, r in zip(spelled.tolist(), raw):
-            ids[id_first[k] : id_first[k + 1]] = r
-        edges, base, spelt = len(self.p), len(self.first) - 1, len(self.ids)
-        for name, x in (("root", base + start + np.arange(len(words))), ("first", edges + first[1:]), ("p", p), ("upto", upto), ("next", base + there), ("id_first", spelt + id_first[1:]), ("ids", ids)):
+        # An edge's id, or below zero the number of its byte spelling.
+        edges, base, spelt = len(self.p), len(self.first) - 1, len(self.spelt_first) - 1
+        ids = piece.copy()
+        ids[spelled] = -1 - spelt - np.arange(len(spelled))
+        flat = np.array([b for r in raw for b in r], np.int32)
+        bounds = len(self.spelt) + np.cumsum(many[spelled])
+        for name, x in (("root", base + start + np.arange(len(words))), ("first", edges + first[1:]), ("p", p), ("next", base + there), ("id", ids), ("spelt", flat), ("spelt_first", bounds)):
             self.held[name].add(x)
         self.publish()
 
@@ -256,11 +252,13 @@ class Lattices:
         while len(live):
             with np.errstate(over="ignore"):
                 u = uniform(key[live] + U64(step) * U64(0x9E3779B97F4A7C15))
-            e = self.first[node]
-            more = np.flatnonzero(self.upto[e] < u)
+            e, last = self.first[node], self.first[node + 1] - 1
+            u -= self.p[e]
+            more = np.flatnonzero((u > 0) & (e < last))
             while len(more):
                 e[more] += 1
-                more = more[self.upto[e[more]] < u[more]]
+                u[more] -= self.p[e[more]]
+                more = more[(u[more] > 0) & (e[more] < last[more])]
             taken.append((live, e))
             n[live] += 1
             node = self.next[e]
@@ -369,7 +367,7 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
                 continue
             step = int(at.bound.argmax())
             e = int(at.edges[step])
-            node = int(np.searchsorted(lattices.first, e, side="right")) - 1
+            node = int(np.searchsorted(lattices.first, np.int32(e), side="right")) - 1
             a, b = int(lattices.first[node]), int(lattices.first[node + 1])
             out = at.barred.get(step, [e])
             share = lattices.p[a:b].copy()
@@ -402,8 +400,16 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
 
 
 def edge_ids(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
-    n = lattices.id_first[edges + 1] - lattices.id_first[edges]
-    return lattices.ids[ranges(lattices.id_first[edges], n)]
+    ids = lattices.id[edges].astype(np.int64)
+    spelled = np.flatnonzero(ids < 0)
+    if not len(spelled):
+        return ids
+    k = -1 - ids[spelled]
+    many = np.ones(len(ids), np.int64)
+    many[spelled] = lattices.spelt_first[k + 1] - lattices.spelt_first[k]
+    out = np.repeat(ids, many)
+    out[out < 0] = lattices.spelt[ranges(lattices.spelt_first[k], many[spelled])]
+    return out
 
 
 _lattices: dict[str, Lattices] = {}

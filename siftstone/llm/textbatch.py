@@ -18,7 +18,7 @@ U64 = np.uint64
 BYTE_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD_BASE = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 #: Most bytes of text handled at once; a longer single text forms its own chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, CHUNK_BYTES + 64)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, U64)
