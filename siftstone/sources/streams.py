@@ -72,7 +72,8 @@ def parse_feed(xml: str) -> list[tuple[str, str, str, str | None]]:
 def feed_items(entries: DataFrame, as_of: Column, source: str = "rss") -> DataFrame:
     """Rows (entry_id, title, summary, time) to items: tags stripped, at most
     2000 characters, published or updated time, else ``as_of``."""
-    time = F.coalesce(F.try_to_timestamp("time"), F.try_to_timestamp("time", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), as_of)
+    day = F.regexp_replace("time", "^[A-Za-z]{3}, +", "")
+    time = F.coalesce(F.try_to_timestamp("time"), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")), as_of)
     text = F.substring(F.trim(strip_tags(F.concat_ws("\n", "title", "summary"))), 1, 2000)
     return entries.select(F.substring(F.md5("entry_id"), 1, 16).alias("id"), text.alias("content"), F.lit("news").alias("content_type"), time.alias("ts"), F.lit(source).alias("source"), "title", F.lit(3).alias("priority"), F.lit(None).cast("string").alias("level"))
 

@@ -87,7 +87,7 @@ class NearDuplicateSink:
         signed = dedup.signatures(batch.select(F.col("id"), F.col("content")), "id", "content").withColumn("batch", F.lit(number))
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         signed.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/signatures")
-        history = spark.read.parquet(f"{self.path}/signatures").where(F.col("batch") <= number)
+        history = spark.read.schema(signed.schema).parquet(f"{self.path}/signatures").where(F.col("batch") <= number)
         band = lambda df: df.select("id", "batch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(dedup.BANDS - 1)), lambda i: F.array_join(F.slice("signature", i * dedup.ROWS + 1, dedup.ROWS), ","))).alias("band", "bucket"))
         new = history.where(F.col("batch") == number)
         pairs = band(new).select(F.col("id").alias("n"), "band", "bucket").join(band(history).select(F.col("id").alias("o"), F.col("batch").alias("ob"), "band", "bucket"), ["band", "bucket"])
