@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,13 @@ from pyspark.sql import functions as F
 
 from .common import col, table
 from .textbatch import U64, chunks, mix, ranges
-from .tokens import public_path
+from .tokens import Numbered, public_path
 
 K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps.
-CACHED_EDGES = 6_000_000
+CACHED_EDGES = 10_000_000
 _WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -157,7 +158,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbered()
         self.held = {name: Growing(kind) for name, kind in (("root", np.int32), ("first", np.int32), ("p", np.float64), ("next", np.int32), ("id", np.int32), ("spelt", np.int32), ("spelt_first", np.int32))}
         for name in ("first", "spelt_first"):
             self.held[name].add(np.zeros(1, np.int32))
@@ -170,15 +171,11 @@ class Lattices:
         """Numbers of all words; learns new ones."""
         if len(self.p) > CACHED_EDGES:
             self.clear()
-        flat = [w for t in texts for w in t]
-        out = list(map(self.number.get, flat))
-        if None in out:
-            new = list(dict.fromkeys(w for w, i in zip(flat, out) if i is None))
-            known = len(self.number)
-            self.number.update(zip(new, range(known, known + len(new))))
+        out = self.number.number_all(chain.from_iterable(texts), sum(map(len, texts)))
+        new = self.number.take_new()
+        if new:
             self.learn(new)
-            out = list(map(self.number.__getitem__, flat))
-        return np.array(out, np.int64)
+        return out
 
     def learn(self, words: list[str]) -> None:
         v = self.vocabulary

@@ -27,10 +27,12 @@ follow it (ties are ordered by text hash).  An empty table writes no shard.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ MAGIC = b"SIFTIDS1"
 END_ID = 2
 FOOTER = struct.Struct("<10Q8s")
 #: Words whose ids a worker keeps.
-CACHED = 400_000
+CACHED = 1_000_000
 
 
 class PerfectHash:
@@ -96,6 +98,7 @@ class Encoder:
     """Texts to ids by the tokenizer, which is asked once for each word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -111,8 +114,8 @@ class Encoder:
         if new and new[0] is None:
             self.ids, self.first, new = np.zeros(0, np.uint32), np.zeros(1, np.int64), new[1:]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            self.ids = np.concatenate((self.ids, np.fromiter((x for g in got for x in g), np.uint32)))
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), np.uint32)))
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(g) for g in got])))
         counts = (self.first[1:] - self.first[:-1])[index]
         total = np.concatenate(([0], np.cumsum(counts)))

@@ -20,7 +20,8 @@ through.  An empty table gives an empty result.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .textbatch import buffer_of, chunks
 
 LIMIT = 2048
 #: Words whose tokens a worker keeps.
-CACHED = 400_000
+CACHED = 1_000_000
 
 
 def public_path(name: str) -> str:
@@ -149,29 +150,46 @@ class Merges:
         return total
 
 
+class Numbered(dict):
+    """Gives every key that it has not met the next number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def number_all(self, keys: Iterable, count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, count)
+
+    def take_new(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class Words:
-    """Numbers words as they come; ``learn`` gives what is kept of new ones."""
+    """Numbers words as they come; ``read`` also tells the new ones."""
 
     def __init__(self, limit: int = CACHED):
         self.limit = limit
-        self.number: dict[bytes, int] = {}
+        self.number = Numbered()
 
     def read(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
         """Word numbers of all texts, words of each text, and new words, whose
-        numbers follow those before; None first empties what was kept."""
+        numbers follow those before; a leading None first empties what was kept."""
         data, offs = buffer_of(batch)
-        raw = memoryview(data.tobytes())
-        texts = [bytes(raw[a:b]).split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        raw = data.tobytes()
+        texts = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
         if len(self.number) > self.limit:
-            self.number.clear()
-        known, number = len(self.number), self.number
-        flat = [w for t in texts for w in t]
-        index, new = list(map(number.get, flat)), []
-        if None in index:
-            new = list(dict.fromkeys(w for w, i in zip(flat, index) if i is None))
-            number.update(zip(new, range(known, known + len(new))))
-            index = list(map(number.__getitem__, flat))
-        return np.array(index, np.int64), np.array([len(t) for t in texts], np.int64), (new if known else [None, *new])
+            self.number = Numbered()
+        fresh = not self.number
+        sizes = np.array([len(t) for t in texts], np.int64)
+        index = self.number.number_all(chain.from_iterable(texts), int(sizes.sum()))
+        new = self.number.take_new()
+        return index, sizes, [None, *new] if fresh else new
 
 
 _counters: dict[str, tuple[Merges, Words, list]] = {}
