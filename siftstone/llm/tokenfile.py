@@ -105,18 +105,43 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         if self.tokenizer.encode("a b", add_special_tokens=False).ids != self.tokenizer.encode("a", add_special_tokens=False).ids + self.tokenizer.encode("b", add_special_tokens=False).ids:
             raise ValueError("this tokenizer does not cut texts at white space")
+        plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.cut = max(plain, key=lambda x: x[1], default=None)
         self.words = Words(CACHED)
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def encode_words(self, words: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has.  Words are handed over many
+        at a time with a special token between, which the tokenizer cuts at."""
+        if self.cut is None:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.array([len(g) for g in got], np.int64)
+        mark, number = self.cut
+        groups = [words[i : i + group] for i in range(0, len(words), group)]
+        found = self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
+        ids, sizes = [], []
+        for g, e in zip(groups, found):
+            own = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(own == number)
+            if len(at) == len(g) - 1:
+                bounds = np.concatenate(([-1], at, [len(own)]))
+                sizes.append(np.diff(bounds) - 1)
+                ids.append(np.delete(own, at))
+            else:  # a word holds the special token itself
+                alone = [x.ids for x in self.tokenizer.encode_batch_fast(g, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in alone], np.int64))
+                ids.append(np.fromiter(chain.from_iterable(alone), np.uint32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and how many each has."""
         index, sizes, new = self.words.read(texts)
         if new and new[0] is None:
             self.ids, self.first, new = np.zeros(0, np.uint32), np.zeros(1, np.int64), new[1:]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), np.uint32)))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(g) for g in got])))
+            ids, sizes_of = self.encode_words([w.decode("utf-8", "replace") for w in new])
+            self.ids = np.concatenate((self.ids, ids))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes_of)))
         counts = (self.first[1:] - self.first[:-1])[index]
         total = np.concatenate(([0], np.cumsum(counts)))
         ends = np.concatenate(([0], np.cumsum(sizes)))
