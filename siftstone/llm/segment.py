@@ -287,27 +287,14 @@ def truncated(log_mass: np.ndarray, below: float | np.ndarray, u: np.ndarray) ->
 
 class _Found:
     """A path found for a text: its edges from step ``start`` on (before that it
-    is its parent's), the words of these steps, and the frontier along them."""
+    is its parent's), the words of these steps, and the frontier along them:
+    the log mass before each step and the bound of its not taken siblings."""
 
     __slots__ = ("parent", "start", "edges", "units", "upto", "bound", "barred", "value", "log")
 
-    def __init__(self, parent, start, edges, units, before, value, noise, lattices, barred):
-        self.parent, self.start, self.edges, self.units, self.value = parent, start, edges, units, value
-        p = lattices.p[edges]
-        log = np.log(p)
-        self.upto = before + np.concatenate(([0.0], np.cumsum(log)))
-        self.log = float(self.upto[-1])
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(1.0 - p, 0.0))
-        rest[p >= 1.0 - 1e-12] = -np.inf
-        self.barred = {}
-        if barred is not None:
-            # Of the set that was taken off, what remains beside this edge.
-            node_first, node_last, out = barred
-            left = 1.0 - lattices.p[[*out, int(edges[0])]].sum()
-            rest[0] = np.log(left) if left > 1e-12 and len(out) + 1 < node_last - node_first else -np.inf
-            self.barred[0] = [*out, int(edges[0])]
-        self.bound = truncated(self.upto[:-1] + rest, value, noise)
+    def __init__(self, parent, start, edges, units, upto, bound, value, log, barred):
+        self.parent, self.start, self.edges, self.units, self.upto, self.bound, self.value, self.log = parent, start, edges, units, upto, bound, value, log
+        self.barred = {} if barred is None else {0: barred}
 
     def path(self, until: int | None = None) -> np.ndarray:
         own = self.edges if until is None else self.edges[: max(0, until - self.start)]
@@ -326,10 +313,6 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
         lane = lambda doc, turn: mix(seed[doc] + U64(turn + 1) * U64(0xD6E8FEB86659FD93))
         lane_of = lambda doc, unit, turn: mix(lane(doc, turn) + unit.astype(U64) * U64(0xE7037ED1A0B428DB))
 
-    def noise(doc: int, turn: int, start: int, n: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return uniform((lane(np.array([doc]), turn) ^ U64(0x1D8E4E27C47D124F)) + (start + np.arange(n)).astype(U64) * U64(0xEB44ACCAB455D165))
-
     def walk_all(docs: np.ndarray, unit: np.ndarray, node: np.ndarray, turn: int):
         # From the given node of the given word to the end of each text.
         tail = sizes[docs] - unit - 1
@@ -344,14 +327,32 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
         ends = np.cumsum(np.add.reduceat(n, np.cumsum(tail + 1) - tail - 1)) if len(n) else np.zeros(0, np.int64)
         return edges, units, np.concatenate(([0], ends))
 
+    def along(who, turn: int, parents, starts, before, values, edges, units, ends, barred) -> list[_Found]:
+        # Masses and bounds of all new paths at once.
+        size = np.diff(ends)
+        owner = np.repeat(np.arange(len(who)), size)
+        p = lattices.p[edges]
+        total = np.concatenate(([0.0], np.cumsum(np.log(p))))
+        upto = total[:-1] - (total[ends[:-1]] - before)[owner]
+        logs = before + total[ends[1:]] - total[ends[:-1]]
+        with np.errstate(divide="ignore", over="ignore"):
+            rest = np.where(p >= 1.0 - 1e-12, -np.inf, np.log(np.maximum(1.0 - p, 1e-300)))
+            for i, taken in enumerate(barred):
+                if taken is not None:  # of the set that was taken off, what remains beside this edge
+                    first_edge, last_edge, out = taken
+                    left = 1.0 - lattices.p[out].sum()
+                    rest[ends[i]] = np.log(left) if left > 1e-12 and len(out) < last_edge - first_edge else -np.inf
+            place = np.arange(len(edges)) + (starts - ends[:-1])[owner]
+            u = uniform((lane(who, turn) ^ U64(0x1D8E4E27C47D124F))[owner] + place.astype(U64) * U64(0xEB44ACCAB455D165))
+        bound = truncated(upto + rest, values[owner], u)
+        return [_Found(parents[i], int(starts[i]), edges[a:b], units[a:b], upto[a:b], bound[a:b], float(values[i]), float(logs[i]), None if barred[i] is None else barred[i][2])
+                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
+
     docs = np.arange(len(texts))
     edges, units, ends = walk_all(docs, np.zeros(len(docs), np.int64), lattices.root[words[first[:-1]]], 0)
-    with np.errstate(over="ignore"):
-        top = -np.log(-np.log(uniform(seed)))
-    found: list[list[_Found]] = []
-    for d in docs.tolist():
-        a, b = int(ends[d]), int(ends[d + 1])
-        found.append([_Found(None, 0, edges[a:b], units[a:b], 0.0, float(top[d]), noise(d, 0, 0, b - a), lattices, None)])
+    top = -np.log(-np.log(uniform(seed)))
+    zero = np.zeros(len(docs))
+    found = [[x] for x in along(docs, 0, [None] * len(docs), zero.astype(np.int64), zero, top, edges, units, ends, [None] * len(docs))]
     last = np.full(len(texts), -np.inf)
     for turn in range(1, k + 1):
         picks = []
@@ -374,18 +375,19 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
                 u = float(uniform(lane(np.array([d]), turn) ^ U64(0x589965CC75374CC3))[0])
             choice = a + min(int(np.searchsorted(running, u * running[-1], side="right")), int(np.flatnonzero(share)[-1]))
             at.bound[step] = -np.inf
-            picks.append((d, at, step, choice, best, (a, b, out)))
+            picks.append((d, at, step, choice, best, (a, b, [*out, choice])))
         if not picks:
             continue
-        who = np.array([p[0] for p in picks])
-        unit = np.array([int(p[1].units[p[2]]) for p in picks])
-        after = lattices.next[np.array([p[3] for p in picks])]
-        edges, units, ends = walk_all(who, unit, after, turn)
-        for i, (d, at, step, choice, best, barred) in enumerate(picks):
-            a, b = int(ends[i]), int(ends[i + 1])
-            start = at.start + step
-            own = np.concatenate(([choice], edges[a:b]))
-            found[d].append(_Found(at, start, own, np.concatenate(([unit[i]], units[a:b])), float(at.upto[step]), best, noise(d, turn, start, len(own)), lattices, barred))
+        who, parents, steps, choices, values, barred = zip(*picks)
+        who, choices = np.array(who), np.array(choices)
+        unit = np.array([int(x.units[k]) for x, k in zip(parents, steps)])
+        edges, units, ends = walk_all(who, unit, lattices.next[choices], turn)
+        edges, units = np.insert(edges, ends[:-1], choices), np.insert(units, ends[:-1], unit)
+        ends = ends + np.arange(len(ends))
+        starts = np.array([x.start + k for x, k in zip(parents, steps)])
+        before = np.array([float(x.upto[k]) for x, k in zip(parents, steps)])
+        for d, x in zip(who.tolist(), along(who, turn, parents, starts, before, np.array(values), edges, units, ends, barred)):
+            found[d].append(x)
     out = []
     for d, paths in enumerate(found):
         rows = []
@@ -409,6 +411,17 @@ def edge_ids(lattices: Lattices, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def ids_of(paths: list[np.ndarray], lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all paths one after the other, and where each begins."""
+    flat = np.concatenate(paths) if paths else np.zeros(0, np.int64)
+    code = lattices.id[flat].astype(np.int64)
+    many = np.ones(len(flat), np.int64)
+    k = -1 - code[code < 0]
+    many[code < 0] = lattices.spelt_first[k + 1] - lattices.spelt_first[k]
+    total = np.concatenate(([0], np.cumsum(many)))
+    return edge_ids(lattices, flat), total[np.concatenate(([0], np.cumsum([len(p) for p in paths], dtype=np.int64)))]
+
+
 _lattices: dict[str, Lattices] = {}
 
 
@@ -427,10 +440,13 @@ def _sample(path: str, k: int, digest: bool):
                 keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
                 rows = {x: [] for x in ("key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", "ids_crc32", "round_trip")}
                 got = sample(lattices, texts, np.asarray(keys.fill_null(0), np.int64), k)
+                all_ids, bounds = ids_of([f[0] for found in got for f in found], lattices)
+                place = 0
                 for key, text, found in zip(keys.to_pylist(), texts, got):
                     plain = text.replace(MARK, " ").encode() if digest else b""
-                    for i, (edges, log, value, inclusion) in enumerate(found):
-                        ids = edge_ids(lattices, edges)
+                    for i, (_, log, value, inclusion) in enumerate(found):
+                        ids = all_ids[bounds[place] : bounds[place + 1]]
+                        place += 1
                         for name, x in zip(rows, (key, i, len(ids), log, value, inclusion)):
                             rows[name].append(x)
                         if digest:
