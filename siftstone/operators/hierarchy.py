@@ -73,13 +73,21 @@ def parent_chain(nodes: DataFrame, hits: DataFrame, depth: int = DEPTH) -> DataF
     return walk.select("id", "path")
 
 
-def siblings(nodes: DataFrame, hits: DataFrame, most: int = 2) -> DataFrame:
-    """(id, sibling_id): children of the same parent, the nearest by position."""
-    mine = nodes.join(hits.select("id"), "id", "left_semi").select("id", "parent_id", F.col("position").alias("p"))
-    other = nodes.select(F.col("id").alias("sibling_id"), "parent_id", "position")
-    w = Window.partitionBy("id").orderBy("gap", "position", "sibling_id")
-    pairs = mine.join(other, "parent_id").where("id <> sibling_id").withColumn("gap", F.abs(F.col("position") - F.col("p")))
-    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("id", "sibling_id", "n")
+def siblings(nodes: DataFrame, hits: DataFrame | None = None, most: int = 2) -> DataFrame:
+    """(id, sibling_id, n): children of the same parent, the nearest by
+    position (positions differ within a parent; of equally near ones the
+    earlier).  Only ``most`` neighbours to either side are looked at, so a
+    parent with many children costs no pairs of all of them."""
+    w = Window.partitionBy("parent_id").orderBy("position", "id")
+    near = []
+    for k in range(1, most + 1):
+        for move in (F.lag, F.lead):
+            at = move("position", k).over(w)
+            near.append(F.when(at.isNotNull(), F.struct(F.abs(at - F.col("position")).alias("gap"), at.alias("position"), move("id", k).over(w).alias("sibling_id"))))
+    out = nodes.where("parent_id is not null").select("id", F.slice(F.array_sort(F.array_compact(F.array(*near))), 1, most).alias("near"))
+    if hits is not None:
+        out = out.join(hits.select("id"), "id", "left_semi")
+    return out.select("id", F.posexplode("near").alias("n", "x")).select("id", "x.sibling_id", (F.col("n") + 1).alias("n"))
 
 
 def drill_down(nodes: DataFrame, hits: DataFrame, n: int = 3, factor: float = 0.9) -> DataFrame:

@@ -185,10 +185,10 @@ def _graph(spark, sf_dir):
 
 
 @query("neighbors", f"""WITH {VERTICES}
-SELECT e.target AS node, v.id, e.type AS edge, v.name FROM edges e JOIN vertices v ON v.id = e.source WHERE e.type = 'LOCATED' AND e.target IN ('N1', 'N2', 'N3')""")
+SELECT e.target AS node, v.id, e.type AS edge, v.name FROM edges e JOIN vertices v ON v.id = e.source WHERE e.type = 'LOCATED'""")
 def neighbors(spark, sf_dir):
     v, e = _graph(spark, sf_dir)
-    asked = v.where(F.col("id").isin("N1", "N2", "N3"))
+    asked = v.where("type = 'nation'")
     return graph.neighbours(e, v.select("id", "name"), asked, "LOCATED", outgoing=False).select("node", "id", F.col("type").alias("edge"), "name")
 
 
@@ -202,10 +202,10 @@ def related_within_2(spark, sf_dir):
 
 @query("call_path", f"""WITH {VERTICES}
 SELECT a.source AS start, b.target AS id, a.source || '>' || a.target || '>' || b.target AS path
-FROM edges a JOIN edges b ON b.source = a.target WHERE a.source IN ('S1', 'S2', 'S3') AND b.target LIKE 'R%'""")
+FROM edges a JOIN edges b ON b.source = a.target WHERE a.source LIKE 'S%' AND b.target LIKE 'R%'""")
 def call_path(spark, sf_dir):
     v, e = _graph(spark, sf_dir)
-    found = graph.shortest_paths(e, v.where(F.col("id").isin("S1", "S2", "S3")).select("id"), v.where("type = 'region'").select("id"))
+    found = graph.shortest_paths(e, v.where("type = 'supplier'").select("id"), v.where("type = 'region'").select("id"))
     return found.select("start", "id", F.array_join("path", ">").alias("path"))
 
 

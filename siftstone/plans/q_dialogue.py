@@ -39,27 +39,26 @@ def section_tree(spark, sf_dir):
 
 
 @query("parent_chain", f"""WITH {TREE}
-SELECT n.id, p.parent_id || '>' || n.parent_id AS path FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.level = 2 AND n.position = 1""")
+SELECT n.id, p.parent_id || '>' || n.parent_id AS path FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.level = 2""")
 def parent_chain(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    chains = hierarchy.parent_chain(nodes, nodes.where("level = 2 and position = 1").select("id"), depth=2)
+    chains = hierarchy.parent_chain(nodes, nodes.where("level = 2").select("id"), depth=2)
     return chains.select("id", F.array_join("path", ">").alias("path"))
 
 
 @query("siblings", f"""WITH {TREE},
-p AS (SELECT a.id, b.id AS sibling_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.position - b.position), b.position, b.id) AS n
-  FROM nodes a JOIN nodes b ON a.parent_id = b.parent_id AND a.id <> b.id WHERE a.level = 1 AND a.position = 1)
+p AS (SELECT a.id, b.id AS sibling_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.position - b.position), b.position, b.id)::INT AS n
+  FROM nodes a JOIN nodes b ON a.parent_id = b.parent_id AND a.id <> b.id AND abs(a.position - b.position) <= 2)
 SELECT id, sibling_id, n FROM p WHERE n <= 2""")
 def siblings(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return hierarchy.siblings(nodes, nodes.where("level = 1 and position = 1").select("id"))
+    return hierarchy.siblings(_nodes(spark, sf_dir))
 
 
-@query("drill_down", f"""WITH {TREE}, h AS (SELECT 'd' || doc_id AS id, round(n_chars / 40000.0::DOUBLE, 6) AS score FROM documents WHERE lang = 'fr')
+@query("drill_down", f"""WITH {TREE}, h AS (SELECT 'd' || doc_id AS id, n_chars / 37000.0::DOUBLE AS score FROM documents)
 SELECT h.id AS hit, n.id, round(h.score * 0.9::DOUBLE, 6) AS score FROM h JOIN (
   SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY position, id) AS k FROM nodes) n ON n.parent_id = h.id WHERE k <= 3""")
 def drill_down(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.round(F.col("n_chars") / 40000.0, 6).alias("score"))
+    hits = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), (F.col("n_chars") / 37000.0).alias("score"))
     return hierarchy.drill_down(_nodes(spark, sf_dir), hits)
 
 

@@ -15,11 +15,11 @@ dense_all AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBL
 dense AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM dense_all ORDER BY score DESC, id LIMIT 20)"""
 
 
-def sparse_sql(kind: str, where: str = "lang = 'en'", k: int = 20) -> str:
+def sparse_sql(kind: str, k: int = 20) -> str:
     score = {"bm25": "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))",
              "tfidf": "tf::DOUBLE / dl * (ln((1 + n)::DOUBLE / (1 + df)) + 1)"}[kind]
     return f"""
-tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents WHERE {where}),
+tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
 tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
 tf AS (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tok) WHERE term IN ('from', 'that', 'with') GROUP BY id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -46,13 +46,13 @@ def _question(spark, sf_dir):
     return _vectors(spark, sf_dir).where("id = 0").select(F.col("id").alias("qid"), "embedding")
 
 
-def _english(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _lists(spark, sf_dir):
     dense = r.knn(_question(spark, sf_dir), _vectors(spark, sf_dir), 20).select("id", "score")
-    sparse = r.bm25(_english(spark, sf_dir), TERMS, 20).select("id", "score")
+    sparse = r.bm25(_texts(spark, sf_dir), TERMS, 20).select("id", "score")
     vectors = table(spark, sf_dir, "embeddings")
     same = vectors.join(F.broadcast(vectors.where("vec_id = 0").select("label")), "label")  # one row
     graph = r.top_k(same.select(F.col("vec_id").alias("id"), F.round(F.pow(F.lit(0.5), 1 + F.col("vec_id") % 3), 6).alias("score")), 10).select("id", "score")
@@ -97,12 +97,12 @@ def knn_lsh(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {sparse_sql('bm25')} SELECT id, score, matched_terms, rank FROM sparse")
 def bm25_topk(spark, sf_dir):
-    return r.bm25(_english(spark, sf_dir), TERMS, 20)
+    return r.bm25(_texts(spark, sf_dir), TERMS, 20)
 
 
 @query("tfidf_topk", f"WITH {sparse_sql('tfidf')} SELECT id, score, matched_terms, rank FROM sparse")
 def tfidf_topk(spark, sf_dir):
-    return r.tfidf(_english(spark, sf_dir), TERMS, 20)
+    return r.tfidf(_texts(spark, sf_dir), TERMS, 20)
 
 
 @query("fuse_rrf", f"""

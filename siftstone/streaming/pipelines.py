@@ -85,8 +85,7 @@ class NearDuplicateSink:
 
         spark = batch.sparkSession
         signed = dedup.signatures(batch.select(F.col("id"), F.col("content")), "id", "content").withColumn("batch", F.lit(number))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        signed.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/signatures")
+        signed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/signatures")
         history = spark.read.schema(signed.schema).parquet(f"{self.path}/signatures").where(F.col("batch") <= number)
         band = lambda df: df.select("id", "batch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(dedup.BANDS - 1)), lambda i: F.array_join(F.slice("signature", i * dedup.ROWS + 1, dedup.ROWS), ","))).alias("band", "bucket"))
         new = history.where(F.col("batch") == number)
@@ -97,4 +96,4 @@ class NearDuplicateSink:
         scored = scored.withColumn("similarity", F.round(equal_share(F.col("sn"), F.col("so")), 6)).where(F.col("similarity") >= self.threshold)
         best = scored.groupBy(F.col("n").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("o"))).alias("x")).select("id", F.col("x.o").alias("duplicate_of"))
         out = batch.join(best, "id", "left").withColumns({"is_duplicate": F.col("duplicate_of").isNotNull(), "batch": F.lit(number)})
-        out.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/items")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/items")
