@@ -50,8 +50,8 @@ from .tokens import Numbered, public_path
 K = 2
 OFFSET = 2.7
 MARK = "▁"
-#: Edges that a worker keeps.
-CACHED_EDGES = 10_000_000
+#: Edges that a worker keeps during a task, and from one task to the next.
+CACHED_EDGES, KEPT_EDGES = 10_000_000, 2_000_000
 _WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -164,6 +164,11 @@ class Lattices:
             self.held[name].add(np.zeros(1, np.int32))
         self.publish()
 
+    def end_task(self) -> None:
+        """Idle workers share the machine with what runs next."""
+        if len(self.p) > KEPT_EDGES:
+            self.clear()
+
     def publish(self) -> None:
         self.root, self.first, self.p, self.next, self.id, self.spelt, self.spelt_first = (x.all() for x in self.held.values())
 
@@ -457,6 +462,7 @@ def _sample(path: str, k: int, digest: bool):
                 kinds = {"key": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
                 names = [n for n in rows if (n not in ("ids_crc32", "round_trip") if not digest else n != "ids")]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[n]) for n in names], names)
+        lattices.end_task()
 
     return run
 

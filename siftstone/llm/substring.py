@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LAST_KEY, col, free, shuffle_width
-from .textbatch import U64, Words, chunks, covered, ranges, runs_of, spans
+from .textbatch import U64, Words, chunks, covered, end_task, ranges, runs_of, spans
 
 WINDOW = 13
 ANCHOR = 7
@@ -140,6 +140,7 @@ def _index(text: str, key: str, version: str, buckets: int, window: int, k: int)
                     out = _blobs(b, [np.zeros(len(first), U64), doc[later], place[later]], ids, extra)
                     out = out.set_column(1, "n", pa.array((-np.asarray(out.column(1))).astype(np.int32)))
                     yield out
+        end_task()
 
     return run
 
@@ -246,6 +247,7 @@ def _factor(text: str, key: str, version: str, found: str, buckets: int, window:
                     spot = int((U64(int(ids[d[0], 1]) & (2**63 - 1))) % U64(buckets))
                     out = _blobs(np.full(len(d), spot, np.int64), [np.zeros((len(d), 2), U64), d, start - words.first[d]], ids, (stop - words.first[d]).astype(np.uint32))
                     yield out.set_column(1, "n", pa.array((-np.asarray(out.column(1))).astype(np.int32)))
+        end_task()
 
     return run
 

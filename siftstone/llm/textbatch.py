@@ -118,6 +118,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def end_task() -> None:
+    """Give back the tables of powers; a task makes its own in milliseconds."""
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads all input bits (SplitMix64's)."""
     x = x ^ (x >> U64(30))
