@@ -42,13 +42,13 @@ from pyspark.sql.window import Window
 
 from .common import Store, col, shuffle_width, table
 from .textbatch import U64, chunks, mix, ranges
-from .tokens import Words, public_path
+from .tokens import Words, public_path, rows_of
 
 MAGIC = b"SIFTIDS1"
 END_ID = 2
 FOOTER = struct.Struct("<10Q8s")
 #: Words whose ids a worker keeps.
-CACHED = 1_000_000
+CACHED = 500_000
 
 
 class PerfectHash:
@@ -135,9 +135,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and how many each has."""
-        index, sizes, new = self.words.read(texts)
-        if new and new[0] is None:
-            self.ids, self.first, new = np.zeros(0, np.uint32), np.zeros(1, np.int64), new[1:]
+        index, sizes, new, keep = self.words.read(texts)
+        if keep is not None:
+            self.first, self.ids = rows_of(self.first, self.ids, keep)
         if new:
             ids, sizes_of = self.encode_words([w.decode("utf-8", "replace") for w in new])
             self.ids = np.concatenate((self.ids, ids))

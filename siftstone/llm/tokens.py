@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
-from .textbatch import buffer_of, chunks
+from .common import col, free
+from .textbatch import buffer_of, chunks, ranges
 
 LIMIT = 2048
 #: Words whose tokens a worker keeps.
-CACHED = 1_000_000
+CACHED = 500_000
 
 
 def public_path(name: str) -> str:
@@ -171,25 +171,44 @@ class Numbered(dict):
 
 
 class Words:
-    """Numbers words as they come; ``read`` also tells the new ones."""
+    """Numbers words as they come.  Beyond ``limit`` words, those that came
+    once since the last time are forgotten."""
 
     def __init__(self, limit: int = CACHED):
         self.limit = limit
         self.number = Numbered()
+        self.seen = np.zeros(0, np.int64)
 
-    def read(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
-        """Word numbers of all texts, words of each text, and new words, whose
-        numbers follow those before; a leading None first empties what was kept."""
+    def read(self, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray | None]:
+        """Word numbers of all texts, words of each text, new words (numbered
+        after those before), and None or the old numbers of the words that
+        were kept, which are numbered from 0 again."""
+        kept = None
+        if len(self.number) > self.limit:
+            least = 2
+            kept = np.flatnonzero(self.seen >= least)
+            while len(kept) > self.limit // 2:
+                least *= 2
+                kept = np.flatnonzero(self.seen >= least)
+            words = list(self.number)
+            self.number = Numbered()
+            self.number.update((words[k], i) for i, k in enumerate(kept.tolist()))
+            self.seen = np.ones(len(kept), np.int64)
         data, offs = buffer_of(batch)
         raw = data.tobytes()
         texts = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        if len(self.number) > self.limit:
-            self.number = Numbered()
-        fresh = not self.number
         sizes = np.array([len(t) for t in texts], np.int64)
         index = self.number.number_all(chain.from_iterable(texts), int(sizes.sum()))
-        new = self.number.take_new()
-        return index, sizes, [None, *new] if fresh else new
+        seen = np.bincount(index, minlength=len(self.number))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        return index, sizes, self.number.take_new(), kept
+
+
+def rows_of(first: np.ndarray, flat: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ragged rows the given ones: their bounds and values."""
+    n = (first[1:] - first[:-1])[keep]
+    return np.concatenate(([0], np.cumsum(n))), flat[ranges(first[:-1][keep], n)]
 
 
 _counters: dict[str, tuple[Merges, Words, list]] = {}
@@ -200,9 +219,9 @@ def count_texts(path: str, batch: pa.Array) -> np.ndarray:
     if path not in _counters:
         _counters[path] = Merges(path), Words(), [np.zeros(0, np.int64)]
     merges, words, kept = _counters[path]
-    index, sizes, new = words.read(batch)
-    if new and new[0] is None:
-        kept[0], new = np.zeros(0, np.int64), new[1:]
+    index, sizes, new, keep = words.read(batch)
+    if keep is not None:
+        kept[0] = kept[0][keep]
     if new:
         kept[0] = np.concatenate((kept[0], merges.count_words(new)))
     total = np.concatenate(([0], np.cumsum(kept[0][index])))
@@ -225,9 +244,10 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
     itself is dropped."""
     base = docs.drop("n_bytes", "n_tokens", "over_limit")
     names = [c for c in base.columns if c != text_col]
-    sized = base.select(*(col(c) for c in names), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), col(text_col).alias("text_of_row"))
-    out = sized.drop("text_of_row").withColumn("n_tokens", F.lit(0).cast("long")).schema
-    return sized.mapInArrow(_count("text_of_row", [*names, "n_bytes"], path), out).withColumn("over_limit", F.col("n_tokens") > limit)
+    (text,) = free(base, "text_of_row")
+    sized = base.select(*(col(c) for c in names), F.coalesce(F.octet_length(col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), col(text_col).alias(text))
+    out = sized.drop(text).withColumn("n_tokens", F.lit(0).cast("long")).schema
+    return sized.mapInArrow(_count(text, [*names, "n_bytes"], path), out).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

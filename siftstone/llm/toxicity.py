@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, col, free, table
 from .textbatch import chunks, ranges
-from .tokens import Words
+from .tokens import Words, rows_of
 
 #: Most labelled texts in the fit.
 MAX_ROWS = 16_000
@@ -226,9 +226,9 @@ class Scorer:
         self.has, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        index, sizes, new = self.words.read(texts)
-        if new and new[0] is None:
-            self.has, self.first, new = np.zeros(0, np.int64), np.zeros(1, np.int64), new[1:]
+        index, sizes, new, keep = self.words.read(texts)
+        if keep is not None:
+            self.first, self.has = rows_of(self.first, self.has, keep)
         if new:
             got = [[self.place[f] for f in features_of(w.decode("utf-8", "replace")) if f in self.place] for w in new]
             self.has = np.concatenate((self.has, np.array([i for g in got for i in g], np.int64)))

@@ -44,10 +44,22 @@ def test_leftmost_merging_gives_the_same():
 
 def test_word_cache_is_bounded():
     words = tokens.Words(limit=3)
-    index, sizes, new = words.read(pa.array(["a b c d", "a"]))
-    assert new == [None, b"a", b"b", b"c", b"d"] and index.tolist() == [0, 1, 2, 3, 0] and sizes.tolist() == [4, 1]
-    assert words.read(pa.array(["d e"]))[2] == [None, b"d", b"e"]
-    assert words.read(pa.array(["e f", None]))[2] == [b"f"]
+    index, sizes, new, kept = words.read(pa.array(["a b c d", "a d"]))
+    assert new == [b"a", b"b", b"c", b"d"] and index.tolist() == [0, 1, 2, 3, 0, 3] and sizes.tolist() == [4, 2] and kept is None
+    words.limit = 3
+    index, _, new, kept = words.read(pa.array(["d e", None]))
+    assert kept.tolist() == [] or kept.tolist() == [0, 3]
+    assert len(words.number) <= 4 and [list(words.number)[i] for i in index] == [b"d", b"e"]
+
+
+def test_small_caches_change_no_result(library):
+    texts = pa.array(["the cat sat on the mat", "a dog and the cat", None, "unhappily reunited cats", "the mat the mat"] * 3)
+    encoder = tokenfile.Encoder(BPE)
+    encoder.words.limit = 4
+    for i in range(len(texts)):
+        ids, n = encoder.encode(texts.slice(i, 1), 2)
+        assert ids.tolist() == [*library.encode(texts[i].as_py() or "", add_special_tokens=False).ids, 2] and n.tolist() == [len(ids)]
+    assert len(encoder.words.number) <= 12
 
 
 def test_perfect_hash_is_minimal():
