@@ -48,7 +48,7 @@ MAGIC = b"SIFTIDS1"
 END_ID = 2
 FOOTER = struct.Struct("<10Q8s")
 #: Words whose ids a worker keeps.
-CACHED = 500_000
+CACHED = 600_000
 
 
 class PerfectHash:
