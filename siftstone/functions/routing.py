@@ -42,7 +42,7 @@ def route(question: Column, tools: Sequence[str] = ("calculator", "datetime", "c
     """struct(route, tool, confidence); null where no rule decides."""
     asked, out = F.lower(question), None
     for name, tool, confidence, patterns in ROUTES:
-        if tool is None or tool in tools:
+        if tool is None or tool in set(tools):
             value = F.struct(F.lit(name).alias("route"), F.lit(tool).cast("string").alias("tool"), F.lit(confidence).alias("confidence"))
             out = F.when(matches_any(asked, patterns), value) if out is None else out.when(matches_any(asked, patterns), value)
     return out

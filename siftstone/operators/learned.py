@@ -35,3 +35,11 @@ def fuse(model: PipelineModel | None, features: DataFrame, hits: DataFrame, k: i
         return rrf(hits, k).select("id", "score", "rank")
     scored = model.transform(features).select("id", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6).alias("score"))
     return top_k(scored, k)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -56,6 +56,10 @@ class TableQuery:
     def rollup(self, column: str, how: str, *group: str) -> DataFrame:
         return self.df.rollup(*group).agg(aggregate(column, how).alias(f"{how}_{column}"))
 
+    def lookup(self, column: str, value) -> TableQuery:
+        """Rows with exactly that value."""
+        return self.filter(column, "==", value)
+
     def describe(self) -> dict:
         return {"rows": self.df.count(), "columns": self.df.columns, "sample": [r.asDict() for r in self.df.limit(3).collect()]}
 

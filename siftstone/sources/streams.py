@@ -129,6 +129,8 @@ class FeedSource(DataSource):
         return Reader()
 
 
+#: Words of made-up items.
+PHRASES = ("Just read about {}", "Thoughts on {}?", "Big day for {}", "Can't believe the news on {}")
 HEADLINES = ("Markets close higher", "New chip announced", "Storm warning issued", "Team wins final", "Study finds link")
 TOPICS = ("technology", "science", "sports", "politics", "health")
 
@@ -144,3 +146,13 @@ def simulated(numbered: DataFrame, seed: int = 42) -> DataFrame:
     pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (F.shiftright(h, salt) % len(xs) + 1).cast("int"))
     title = pick(HEADLINES, 3)
     return numbered.select(F.concat(F.lit("sim-"), F.col("value").cast("string")).alias("id"), F.concat(title, F.lit(" in "), pick(TOPICS, 17)).alias("content"), F.lit("news").alias("content_type"), "ts", F.lit("simulated").alias("source"), title.alias("title"), (F.shiftright(h, 29) % 5 + 1).cast("int").alias("priority"), F.lit(None).cast("string").alias("level"))
+
+
+def simulated_posts(numbered: DataFrame, seed: int = 42) -> DataFrame:
+    """Like ``simulated``, for short posts with made-up reactions."""
+    h = F.abs(F.xxhash64("value", F.lit(seed + 1)))
+    pick = lambda xs, salt: F.element_at(F.array(*map(F.lit, xs)), (F.shiftright(h, salt) % len(xs) + 1).cast("int"))
+    return numbered.select(
+        F.concat(F.lit("post-"), F.col("value").cast("string")).alias("id"), F.replace(pick(PHRASES, 5), F.lit("{}"), pick(TOPICS, 11)).alias("content"), F.lit("social").alias("content_type"), "ts", F.lit("simulated").alias("source"),
+        F.lit(None).cast("string").alias("title"), (F.shiftright(h, 29) % 5 + 1).cast("int").alias("priority"), F.lit(None).cast("string").alias("level"),
+        (F.shiftright(h, 20) % 1000).alias("likes"), (F.shiftright(h, 31) % 100).alias("shares"), (F.shiftright(h, 40) % 50).alias("replies"))
