@@ -151,7 +151,7 @@ class Growing:
 
 class Lattices:
     """Lattices of distinct words: nodes are places, edges sorted by node with
-    their share (``p``), next node and id."""
+    their share (``p``), next node (-1 at the word's end) and id."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -239,7 +239,7 @@ class Lattices:
         ids[spelled] = -1 - spelt - np.arange(len(spelled))
         flat = np.array([b for r in raw for b in r], np.int32)
         bounds = len(self.spelt) + np.cumsum(many[spelled])
-        for name, x in (("root", base + start + np.arange(len(words))), ("first", edges + first[1:]), ("p", p), ("next", base + there), ("id", ids), ("spelt", flat), ("spelt_first", bounds)):
+        for name, x in (("root", base + start + np.arange(len(words))), ("first", edges + first[1:]), ("p", p), ("next", np.where(length == end[src] - src, -1, base + there)), ("id", ids), ("spelt", flat), ("spelt_first", bounds)):
             self.held[name].add(x)
         self.publish()
 
@@ -248,24 +248,28 @@ class Lattices:
         all walks one after the other, and each walk's length.  ``key`` seeds
         each walk."""
         n = np.zeros(len(node), np.int64)
-        live, taken, step = np.arange(len(node)), [], 0
-        open_ = self.first[node + 1] > self.first[node]
-        live, node = live[open_], node[open_]
+        taken, step = [], 0
+        live = np.flatnonzero(node >= 0)
+        node = node[live]
         while len(live):
             with np.errstate(over="ignore"):
                 u = uniform(key[live] + U64(step) * U64(0x9E3779B97F4A7C15))
-            e, last = self.first[node], self.first[node + 1] - 1
+            e = self.first[node]
             u -= self.p[e]
-            more = np.flatnonzero((u > 0) & (e < last))
+            more = np.flatnonzero(u > 0)
+            last = self.first[node[more] + 1] - 1
             while len(more):
+                ok = e[more] < last  # the last edge takes what rounding leaves
+                more, last = more[ok], last[ok]
                 e[more] += 1
                 u[more] -= self.p[e[more]]
-                more = more[(u[more] > 0) & (e[more] < last[more])]
+                ok = u[more] > 0
+                more, last = more[ok], last[ok]
             taken.append((live, e))
             n[live] += 1
             node = self.next[e]
             step += 1
-            open_ = self.first[node + 1] > self.first[node]
+            open_ = np.flatnonzero(node >= 0)
             live, node = live[open_], node[open_]
         out = np.zeros(int(n.sum()), np.int64)
         at = np.cumsum(n) - n
