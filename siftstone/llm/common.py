@@ -64,6 +64,13 @@ class Store:
         self.spark = spark
         self.home = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
         self.made = 0
+        system, path = self._at(self.home)
+        system.mkdirs(path)
+        system.deleteOnExit(path)  # with the driver's end
+
+    def _at(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -73,5 +80,5 @@ class Store:
 
     def drop(self, number: int) -> None:
         """Delete the table kept as the given number, once nothing reads it."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._at(f"{self.home}/{number}")
+        system.delete(path, True)
