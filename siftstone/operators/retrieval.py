@@ -94,21 +94,29 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = True) -
     return top_k(out, k, "score", "id", "qid")
 
 
-def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 16, bits: int = 6, seed: int = 7, width: int = 64) -> DataFrame:
-    """Approximate neighbours: random-hyperplane buckets, then exact cosine of
-    the rows that share one with the query."""
+def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int = 8, seed: int = 7, width: int = 64, keep_self: bool = True) -> DataFrame:
+    """Approximate neighbours: rows are indexed by random-hyperplane buckets,
+    queries look into theirs and those one bit away, and exact cosine ranks
+    what they find.  Every row is indexed."""
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = (_vectors(batch.column(1), width) @ planes.T > 0).reshape(-1, tables, bits)
-            code = (side << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], ["id", "embedding", "codes"])
+    def coder(flips: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                side = (_vectors(batch.column(1), width) @ planes.T > 0).reshape(-1, tables, bits)
+                code = (side << np.arange(bits)).sum(2)
+                code = (code[:, :, None] ^ flips) + (np.arange(tables) << bits)[None, :, None]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(code.reshape(len(code), -1).astype(np.int64)), pa.list_(pa.int64()))], ["id", "embedding", "codes"])
+
+        return run
 
-    coded = lambda df: df.mapInArrow(run, "id long, embedding array<float>, codes array<long>")
-    rows = coded(corpus.select(F.col("id").cast("long"), F.col("embedding").cast("array<float>")))
-    asked = coded(queries.select(F.col("qid").cast("long").alias("id"), F.col("embedding").cast("array<float>")))
+    plain = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    schema = "id long, embedding array<float>, codes array<long>"
+    rows = plain(corpus, "id").mapInArrow(coder(np.zeros(1, np.int64)), schema)
+    asked = plain(queries, "qid").mapInArrow(coder(np.concatenate(([0], 1 << np.arange(bits)))), schema)
     pairs = asked.select(F.col("id").alias("qid"), F.explode("codes").alias("code")).join(rows.select("id", F.explode("codes").alias("code")), "code").select("qid", "id").distinct()
+    if not keep_self:
+        pairs = pairs.where("qid <> id")
     q = asked.select(F.col("id").alias("qid"), F.col("embedding").alias("qe"))
     scored = pairs.join(rows.select("id", "embedding"), "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
     return top_k(scored, k, "score", "id", "qid")

@@ -92,7 +92,7 @@ def knn_filtered(spark, sf_dir):
 @query("knn_lsh")
 def knn_lsh(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
-    return r.lsh_knn(vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), vectors, 5)
+    return r.lsh_knn(vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), vectors, 5, keep_self=False)
 
 
 @query("bm25_topk", f"WITH {sparse_sql('bm25')} SELECT id, score, matched_terms, rank FROM sparse")
