@@ -134,13 +134,16 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id
     (strata,) = free(counts, "strata")
     strata_n = counts.agg(F.count(F.lit(1)).alias(strata))
     counts = counts.join(F.broadcast(strata_n))  # one row
+    # A row for each stratum, rule and cutoff, so that the tail is one expression.
+    cells = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.col(f"{rule}_{i}").alias("k")) for rule, cuts in CUTOFFS.items() for i in range(len(cuts))))
+    tested = counts.select("stratum", "n_good", strata, F.inline(cells))
+    fails = binomial_tail(F.col("n_good"), F.col("k"), allowed / len(CUTOFFS)) > delta / len(CUTOFFS) / F.col(strata)
+    stops = tested.groupBy("stratum", "n_good", "rule").agg(F.min(F.when(fails, F.col("i"))).alias("stop"))
     chosen = []
     for rule, cuts in CUTOFFS.items():
-        level = delta / len(CUTOFFS) / F.col(strata)
-        fails = F.array(*(binomial_tail(F.col("n_good"), F.col(f"{rule}_{i}"), allowed / len(CUTOFFS)) > level for i in range(len(cuts))))
-        last = F.array_position(F.concat(fails, F.array(F.lit(True))), True).cast("int") - 2
-        chosen.append(F.get(F.array(*map(F.lit, cuts)), last).alias(f"{rule}_cutoff"))
-    return counts.select("stratum", "n_good", *chosen)
+        stop = F.max(F.when(F.col("rule") == rule, F.coalesce("stop", F.lit(len(cuts)))))
+        chosen.append(F.get(F.array(*map(F.lit, cuts)), stop - 1).alias(f"{rule}_cutoff"))
+    return stops.groupBy("stratum", "n_good").agg(*chosen)
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
