@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import mixing, quality, segment, simhash, substring
+from siftstone.llm import mixing, nearcopies, quality, segment, substring
 from siftstone.llm.common import Store, table
 from siftstone.llm.tokens import public_path
 
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked fingerprints."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """Keep one document of each group linked by Jaccard 0.8 or more of their
+    five-word shingles."""
+    return nearcopies.keep_one(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
