@@ -461,25 +461,25 @@ def _sample(path: str, k: int, digest: bool):
                         if digest:
                             rows["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
                             rows["round_trip"].append(lattices.vocabulary.decode(ids) == plain)
-                        else:
-                            rows["ids"].append(ids.astype(np.int32))
                 kinds = {"key": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
-                names = [n for n in rows if (n not in ("ids_crc32", "round_trip") if not digest else n != "ids")]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[n], kinds[n]) for n in names], names)
+                names = [n for n in rows if digest or n not in ("ids_crc32", "round_trip")]
+                # The ids of all rows lie one after the other already.
+                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(all_ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([held if n == "ids" else pa.array(rows[n], kinds[n]) for n in names], names)
         lattices.end_task()
 
     return run
 
 
-_BASE = "key long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double"
+_BASE = "key long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
 def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, digest: bool = False) -> DataFrame:
     """Rows (id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids), up
-    to k a document, in order of ``perturbed``; with ``digest`` the ids' crc32
-    and whether decoding gives the text back instead of ``ids``."""
+    to k a document, in order of ``perturbed``; with ``digest`` also the ids'
+    crc32 and whether decoding gives the text back."""
     slim = docs.select(col(id_col).cast("long").alias("key"), col(text_col).alias("text"))
-    out = slim.mapInArrow(_sample(path, k, digest), _BASE + (", ids_crc32 long, round_trip boolean" if digest else ", ids array<int>"))
+    out = slim.mapInArrow(_sample(path, k, digest), _BASE + (", ids_crc32 long, round_trip boolean" if digest else ""))
     return out.withColumnRenamed("key", id_col)
 
 
