@@ -23,9 +23,9 @@ def tokens(text: Column) -> Column:
 
 
 def shingle_words(text: Column) -> Column:
-    """Lower-cased words without punctuation, as shingles use them."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_À-ɏ\\s]", "")
-    return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    """Lower-cased words of any script without punctuation, as shingles use them."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\s\p{Z}]", "")
+    return F.filter(F.split(clean, r"[\s\p{Z}]+"), lambda w: w != "")
 
 
 def short_id(text: Column, length: int = 16) -> Column:
