@@ -13,7 +13,9 @@ Rendering all prefixes costs the square of a conversation's length; beyond
 ``PREFIXES`` turns prefixes are rendered in blocks: the conversation is cut into
 blocks of that many turns, a block is rendered after the block before it, and
 the block before it is also rendered alone, which costs a constant for each
-turn and still shows a rewrite of anything up to a block back.
+turn.  That holds only for templates to which earlier turns make no difference:
+if the blocks show a rewrite, or joined differ from the whole conversation's
+rendering, all prefixes are rendered after all.
 
 Rows: a null text or role is empty; turns are ordered by number (null first),
 then role and text, so that ties and repeated rows have one order and all stay;
@@ -77,11 +79,20 @@ def locate(render: Template, turns: Turns) -> tuple[str, list[tuple[int, int, in
     """The formatted conversation; for each turn its span and its text's span;
     and the first turn whose rendering changed what came before it, or None
     (spans stop there)."""
+    out = _locate(render, turns, PREFIXES)
+    # Up to the second block every prefix was whole.
+    if len(turns) > 2 * PREFIXES and (out[2] is not None or out[0] != render(turns)):
+        return _locate(render, turns, len(turns))
+    return out
+
+
+def _locate(render: Template, turns: Turns, size: int) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+    """``locate`` with prefixes in blocks of ``size`` turns."""
     formatted, found, done = "", [], ""
-    for start in range(0, len(turns), PREFIXES):
-        lead = turns[max(0, start - PREFIXES) : start]
+    for start in range(0, len(turns), size):
+        lead = turns[max(0, start - size) : start]
         before = base = render(lead) if lead else render([])
-        for i in range(start, min(start + PREFIXES, len(turns))):
+        for i in range(start, min(start + size, len(turns))):
             role, text = turns[i]
             context = lead + turns[start:i]
             now = render([*context, (role, text)])
