@@ -1,26 +1,25 @@
 """Chat formatting by incremental black-box rendering.
 
-A template is only asked to render lists of turns.  Successive prefixes of a
-conversation are rendered, and each output is compared with the one before: if
-it starts with it, the rest is the new turn's span; if not, the template has
-rewritten history, and the conversation is reported with the turn where that
-first shows.  Within a span the text's own place is found by rendering the last
-turn with two different probe characters: where those outputs first differ the
-text starts, and what follows the probe closes the turn.  Texts of the trained
-role make up the loss mask, in code points of the formatted text.
-
-Rendering all prefixes costs the square of a conversation's length; beyond
-``PREFIXES`` turns prefixes are rendered in blocks: the conversation is cut into
-blocks of that many turns, a block is rendered after the block before it, and
-the block before it is also rendered alone, which costs a constant for each
-turn.  That holds only for templates to which earlier turns make no difference:
-if the blocks show a rewrite, or joined differ from the whole conversation's
-rendering, all prefixes are rendered after all.
+A template is only asked to render lists of turns.  Every prefix of a
+conversation is rendered, at any length, and each output is compared with the
+one before: if it starts with it, the rest is the new turn's span; if not, the
+template has rewritten history, and the conversation is reported with the turn
+where that first shows.  Spans found before that turn stay as far as the whole
+conversation's rendering still begins with the text they were found in.  Within
+a span the text's own place is found by rendering the last turn with two
+different probe characters: where those outputs first differ the text starts,
+and what follows the probe closes the turn.  Only turns of the trained role are
+probed; their texts make up the loss mask, in code points of the formatted
+text.  The result is always what the template gives for the whole conversation.
+
+Rendering all prefixes costs the square of a conversation's length, about two
+renderings a turn; it is the price of trusting nothing about the template.
 
 Rows: a null text or role is empty; turns are ordered by number (null first),
 then role and text, so that ties and repeated rows have one order and all stay;
-a null conversation id is a conversation of its own.  An empty table gives an
-empty result.
+a row with a null conversation id is a conversation of its own, so that such rows
+form no group; columns other than the four are ignored.  A conversation without
+rows does not occur; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +38,6 @@ Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
 TRAINED = "assistant"
-PREFIXES = 64
 PROBES = ("\ue000", "\ue001")
 #: What the template writes itself, and its escape character.
 CONTROLS = ("\\", "###", "</turn>", ":")
@@ -75,43 +73,34 @@ def parse(formatted: str) -> Turns:
     return turns
 
 
-def locate(render: Template, turns: Turns) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
-    """The formatted conversation; for each turn its span and its text's span;
-    and the first turn whose rendering changed what came before it, or None
-    (spans stop there)."""
-    out = _locate(render, turns, PREFIXES)
-    # Up to the second block every prefix was whole.
-    if len(turns) > 2 * PREFIXES and (out[2] is not None or out[0] != render(turns)):
-        return _locate(render, turns, len(turns))
-    return out
-
-
-def _locate(render: Template, turns: Turns, size: int) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
-    """``locate`` with prefixes in blocks of ``size`` turns."""
-    formatted, found, done = "", [], ""
-    for start in range(0, len(turns), size):
-        lead = turns[max(0, start - size) : start]
-        before = base = render(lead) if lead else render([])
-        for i in range(start, min(start + size, len(turns))):
-            role, text = turns[i]
-            context = lead + turns[start:i]
-            now = render([*context, (role, text)])
-            if not now.startswith(before):
-                return render(turns), found, i
-            one, two = (render([*context, (role, p)]) for p in PROBES)
-            first = next((k for k, (a, b) in enumerate(zip(one, two)) if a != b), None)
-            shift = len(done) - len(base)
-            if first is None:  # the template does not show the text
-                inner = (len(now), len(now))
-            else:
+def shared(a: str, b: str) -> int:
+    """Length of the longest common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def locate(render: Template, turns: Turns, trained: str | None = None) -> tuple[str, list[tuple[int, int, int, int]], int | None]:
+    """The formatted conversation; for each turn its span and its text's span
+    (with ``trained``, the text's span is empty for other roles); and the first
+    turn whose rendering changed what came before it, or None (spans stop there,
+    and are those of the rendering before it)."""
+    before, found = render([]), []
+    for i, (role, text) in enumerate(turns):
+        now = render(turns[: i + 1])
+        if not now.startswith(before):
+            return render(turns), found, i
+        inner = (len(now), len(now))
+        if trained is None or role == trained:
+            one, two = (render([*turns[:i], (role, p)]) for p in PROBES)
+            first = shared(one, two)
+            if first < min(len(one), len(two)):  # else the template does not show the text
                 inner = (first, len(now) - (len(one) - first - 1))
-            found.append((len(before) + shift, len(now) + shift, inner[0] + shift, inner[1] + shift))
-            before = now
-        done += before[len(base) :] if start else before
-    if not turns:
-        return render(turns), [], None
-    formatted = done
-    return formatted, found, None
+        found.append((len(before), len(now), *inner))
+        before = now
+    return before, found, None
 
 
 _OUT = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("n_turns", pa.int64()),
@@ -124,11 +113,14 @@ def _format(render: Template, trained: str):
             rows = {name: [] for name in _OUT.names}
             for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pairs = [(t["role"] or "", t["text"] or "") for t in turns]
-                formatted, spans, broken = locate(render, pairs)
+                formatted, spans, broken = locate(render, pairs, trained)
+                if broken is not None:
+                    safe = shared(formatted, render(pairs[:broken]))
+                    spans = [s for s in spans if s[1] <= safe]
                 rows["conv_id"].append(conv)
                 rows["formatted"].append(formatted)
                 rows["n_turns"].append(len(pairs))
-                rows["loss_spans"].append([] if broken is not None else [{"start": s[2], "stop": s[3]} for (role, _), s in zip(pairs, spans) if role == trained])
+                rows["loss_spans"].append([{"start": s[2], "stop": s[3]} for (role, _), s in zip(pairs, spans) if role == trained])
                 rows["rewritten_at"].append(broken)
             yield pa.RecordBatch.from_pydict(rows, schema=_OUT)
 
@@ -137,10 +129,13 @@ def _format(render: Template, trained: str):
 
 def format_conversations(turns: DataFrame, render: Template = turn_template, trained: str = TRAINED) -> DataFrame:
     """Rows (conv_id, formatted, n_turns, loss_spans, rewritten_at).  Where the
-    template rewrites history the loss mask is empty and ``rewritten_at`` says
-    at which turn."""
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    whole = whole.select(F.col("conv_id").cast("long").alias("conv_id"), "turns")
+    template rewrites history ``rewritten_at`` says at which turn, and the loss
+    mask holds the spans that the rewriting left in place."""
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows without an id are dealt out one by one.
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    slim = turns.select(F.col("conv_id").cast("long").alias("conv_id"), alone.alias("alone"), turn.alias("t"))
+    whole = slim.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns")).select("conv_id", "turns")
     return whole.mapInArrow(_format(render, trained), "conv_id long, formatted string, n_turns long, loss_spans array<struct<start:int,stop:int>>, rewritten_at int")
 
 
@@ -165,3 +160,18 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     out = format_conversations(turns).select("conv_id", "formatted", "loss_spans")
     return out.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: The same rows: what the template adds is 14 characters a turn and one a control string.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(text) + len(regexp_extract_all(role, '\\|###|</turn>|:')) + len(regexp_extract_all(text, '\\|###|</turn>'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -25,8 +25,8 @@ def test_turns_and_mask_are_read_back():
     assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] == len(formatted)
 
 
-def test_long_conversations_are_cut_into_blocks():
-    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(3 * chat.PREFIXES + 5)]
+def test_long_conversations():
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(197)]
     formatted, spans, broken = chat.locate(chat.turn_template, turns)
     assert broken is None and formatted == chat.turn_template(turns)
     assert [formatted[s[2] : s[3]] for s in spans] == [t for _, t in turns]
@@ -48,12 +48,16 @@ def test_templates_that_rewrite_history_are_found(spark):
 
 
 def test_conversation_rows(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "assistant", "z"), (2, 0, "assistant", "z"), (2, None, "user", "first")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (None, 1, "assistant", "y"), (2, 0, "assistant", "z"), (2, 0, "assistant", "z"), (2, None, "user", "first")]
     schema = "conv_id long, turn long, role string, text string"
-    got = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(rows, schema)).collect()}
+    made = chat.format_conversations(spark.createDataFrame(rows, schema)).collect()
+    got = {r.conv_id: r for r in made if r.conv_id is not None}
     assert chat.parse(got[1].formatted) == [("user", ""), ("assistant", "b")]
     assert chat.parse(got[2].formatted) == [("user", "first"), ("assistant", "z"), ("assistant", "z")]
-    assert chat.parse(got[None].formatted) == [("", "x")] and got[None].loss_spans == []
+    alone = {r.formatted: len(r.loss_spans) for r in made if r.conv_id is None}
+    assert {f: chat.parse(f) for f in alone} == {f: [("", "x")] if n == 0 else [("assistant", "y")] for f, n in alone.items()} and len(alone) == 2
+    clash = spark.createDataFrame([(1, 0, "user", "q", 9, 9)], schema + ", turns long, formatted long")
+    assert chat.parse(chat.format_conversations(clash).first().formatted) == [("user", "q")]
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
 
 
