@@ -16,7 +16,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_file": tokenfile.op5_query,
     "op6_spotsigs": spotsigs.op6_query,
     "op7_simhash_dedup": simhash.op7_query,
-    "op1_chat_format": chat.OP1_SQL,
     "op8_source_mixing": mixing.op8_query,
     "op9_token_counts": tokens.op9_query,
     "op10_quality_rules": quality.op10_query,
