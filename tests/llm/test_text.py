@@ -173,6 +173,40 @@ def test_training_order(spark, docs, none):
     assert early["0"] / late["0"] == pytest.approx(3 / 5, rel=0.05) and early["1"] / late["1"] == pytest.approx(5 / 3, rel=0.05)
 
 
+def test_op8_query_equals_its_sql_and_the_order(spark, tmp_path, rows):
+    import duckdb
+
+    unique = list({r[0]: r for r in rows if r[0] is not None}.values()) + [(7000 + i, "", "en", "empty", 0) for i in range(30)]
+    spark.createDataFrame(unique, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op8_query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(mixing.OP8_SQL)
+    names = [d[0] for d in cur.description]
+    close = lambda x: tuple(round(v, 9) if isinstance(v, float) else v for v in x)
+    assert sorted(map(close, got.select(names).collect()), key=repr) == sorted(map(close, cur.fetchall()), key=repr) and sorted(names) == sorted(got.columns)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    order = [r.doc_id for r in mixing.mix(docs).collect()]
+    assert {r.doc_id: r.first_rank for r in got.collect()} == {d: order.index(d) if d in order else None for d, *_ in unique}
+    # The stored table gives the order back.
+    mixing.mix(docs, with_position=False).write.parquet(str(tmp_path / "mixed"))
+    stored = spark.read.parquet(str(tmp_path / "mixed"))
+    back = mixing.read_order(stored).collect()
+    assert stored.columns == docs.columns and sorted(r["rank"] for r in back) == list(range(len(order)))
+    assert [r.doc_id for r in sorted(back, key=lambda r: r["rank"])] == order
+    assert len({r["rank"] for r in mixing.read_order(mixing.mix(docs)).collect()}) == len(order)
+
+
+def test_mixing_edges(spark, none, tmp_path):
+    clash = spark.createDataFrame([(1, "a b", "x", 1, 2, 3.0, 4, 5), (None, None, None, None, None, None, None, None), (2, "c", "x", 1, 1, 1.0, 1, 1), (2, "c", "x", 1, 1, 1.0, 1, 1)], "doc_id long, text string, source string, SIZE int, target int, position double, mixed int, mix_key int")
+    got = mixing.mix(clash, with_position=False)
+    assert got.columns == clash.columns and {r.SIZE for r in got.collect()} <= {1, None}
+    assert sum(r.taken for r in mixing.plan_mix(clash).collect()) == sum(len(words(r.text)) for r in got.collect())
+    assert mixing.mix(clash).columns == ["doc_id", "text", "source", "SIZE", "target", "mixed", "mix_key", "position"]
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert mixing.op8_query(spark, str(tmp_path)).count() == 0 and mixing.read_order(none).count() == 0
+
+
 # --- SpotSigs
 
 
