@@ -1,20 +1,29 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base rules are fixed.  Further rules are ratios of a document; each rejects
-above a cutoff, and the cutoffs are chosen on labelled holdouts.  For every
-stratum (language) and rule the fixed, documented cutoffs are tested from the
-mildest to the strictest: the null hypothesis is that more than the allowed
-share of good documents (that pass the base rules) is rejected, and it is
-dropped where the exact binomial tail P(X <= rejected | n, allowed) is at most
-the level.  Testing stops at the first failure (a fixed sequence needs no
-further correction); over rules and strata the level is divided (Bonferroni).
-So, with probability 1 - DELTA over the holdouts, no stratum loses more than
-ALLOWED of its good documents.  Strata with too few labels reject nothing.
+above a cutoff, and the cutoffs are chosen on labelled holdouts, for every
+stratum (language) by itself.  The fixed, documented cutoffs form one path of
+joint levels, from mild to strict: at level i a document is rejected if any of its
+ratios is above that rule's i-th cutoff.  The levels are tested in this order: the
+null hypothesis is that more than the allowed share of good documents (that
+pass the base rules) is rejected, and it is dropped where the exact binomial tail
+P(X <= rejected | n, allowed) is at most the stratum's level.  Testing stops at
+the first failure (a fixed sequence needs no further correction); over strata the
+level is divided (Bonferroni).  So, with probability 1 - DELTA over the holdouts,
+no stratum loses more than ALLOWED of its good documents.
+
+What is proven of a level holds for every milder cutoff of each rule, so within
+the proven levels each rule's cutoff is free: the mildest that rejects most bad
+labelled documents less good ones, and none where that is not above 0.
+
+Without a false rejection a level is proven by ln(DELTA / strata) / ln(1 - ALLOWED)
+good labels: 217 for four strata.  Strata with fewer reject nothing.
 
 Rows: a null or wordless text has no words and fails the base rules; a null
 language is a stratum of its own; labels with null id or quality are unused, a
 document labelled twice is good if every row says so; repeated rows are each
-judged.  Empty tables give empty results.
+judged.  Columns of the input that have the name of a measure or ``kept`` are
+replaced.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Store, col, free
 
@@ -30,7 +40,7 @@ from .common import Store, col, free
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Largest share of good documents that all rules together may reject in a
-#: stratum, and the chance that any stratum's share exceeds its bound.
+#: stratum, and the chance that any stratum's share exceeds that bound.
 ALLOWED = 0.02
 DELTA = 0.05
 #: Cutoffs of each ratio, from mild to strict.
@@ -42,8 +52,6 @@ CUTOFFS = {
     "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *CUTOFFS)
-#: Terms of the binomial tail that are summed; beyond, a geometric bound holds.
-TERMS = 2000
 #: As many strata may be broadcast; more are joined by a shuffle.
 FEW = 10_000
 
@@ -91,7 +99,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             counted.alias("w"), distinct_lines.alias("l"),
             length(F.translate(text, BLANKS, "")).alias("chars"),
             (length(text) - length(F.translate(text, SYMBOLS, ""))).alias("symbols"),
-            F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")).alias("marks"),
+            F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]")).alias("marks"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).alias("upper")),
     })
     x = lambda name: F.col(f"{packed}.{name}")
@@ -113,37 +121,48 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(X <= k) for X of n trials with chance p, or an upper bound of it where
-    k exceeds TERMS; 1 where k is not below the mean."""
+    """P(X <= k) for X of n trials with chance p; 1 where k is not below the
+    mean.  Terms are summed from the k-th down: j places below it a term is less
+    than exp(-j * j / (2 n p)) of the k-th, so those beyond 9 * sqrt(n p) + 40
+    places cannot change a double."""
     n, k = n.cast("double"), k.cast("double")
     top = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
     down = lambda j: j / (n - j + 1) * ((1 - p) / p)
-    steps = F.sequence(F.lit(0), F.least(k, F.lit(float(TERMS))).cast("int"))
+    steps = F.sequence(F.lit(0), F.least(k, 9 * F.sqrt(n * p) + 40).cast("int"))
     start = F.struct(top.alias("term"), F.lit(0.0).alias("sum"))
     summed = F.aggregate(steps, start, lambda a, i: F.struct((a["term"] * down(k - i)).alias("term"), (a["sum"] + a["term"]).alias("sum")))
-    rest = let(summed, lambda s: s["sum"] + F.when(k > TERMS, s["term"] / (1 - down(k - TERMS))).otherwise(0.0))
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(rest, F.lit(1.0)))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(summed["sum"], F.lit(1.0)))
+
+
+LEVELS = len(CUTOFFS["symbol_ratio"])
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", allowed: float = ALLOWED, delta: float = DELTA) -> DataFrame:
-    """Rows (stratum, n_good, and a cutoff or null for each rule)."""
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min("quality").alias("q")).where("q = 1").select("good_id")
-    held = measured.where(~F.col("base_failed")).select(col(id_col).cast("long").alias("good_id"), col(stratum_col).alias("stratum"), *CUTOFFS).join(good, "good_id")
-    over = [F.count_if(F.col(rule) > cut).alias(f"{rule}_{i}") for rule, cuts in CUTOFFS.items() for i, cut in enumerate(cuts)]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *over)
-    (strata,) = free(counts, "strata")
-    strata_n = counts.agg(F.count(F.lit(1)).alias(strata))
-    counts = counts.join(F.broadcast(strata_n))  # one row
-    # A row for each stratum, rule and cutoff, so that the tail is one expression.
-    cells = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.col(f"{rule}_{i}").alias("k")) for rule, cuts in CUTOFFS.items() for i in range(len(cuts))))
-    tested = counts.select("stratum", "n_good", strata, F.inline(cells))
-    fails = binomial_tail(F.col("n_good"), F.col("k"), allowed / len(CUTOFFS)) > delta / len(CUTOFFS) / F.col(strata)
-    stops = tested.groupBy("stratum", "n_good", "rule").agg(F.min(F.when(fails, F.col("i"))).alias("stop"))
-    chosen = []
-    for rule, cuts in CUTOFFS.items():
-        stop = F.max(F.when(F.col("rule") == rule, F.coalesce("stop", F.lit(len(cuts)))))
-        chosen.append(F.get(F.array(*map(F.lit, cuts)), stop - 1).alias(f"{rule}_cutoff"))
-    return stops.groupBy("stratum", "n_good").agg(*chosen)
+    """Rows (stratum, n_good, level, and a cutoff or null for each rule);
+    ``level`` is the strictest proven one, from 0, or -1."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("held_id")).agg(F.min("quality").alias("held_quality"))
+    held = measured.where(~F.col("base_failed")).select(col(id_col).cast("long").alias("held_id"), col(stratum_col).alias("stratum"), *CUTOFFS).join(marks, "held_id")
+    # The first level that rejects a document, by each rule and by all together.
+    first = {rule: sum(((F.col(rule) <= cut).cast("int") for cut in cuts), F.lit(0)) for rule, cuts in CUTOFFS.items()}
+    first["all"] = F.least(*first.values())
+    cells = F.array(*(F.struct(F.lit(rule).alias("rule"), at.alias("first")) for rule, at in first.items()))
+    good = F.col("held_quality") == 1
+    counted = held.select("stratum", good.alias("good"), F.inline(cells)).groupBy("stratum", "rule", "first").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    # A row for each stratum, rule and level: how many of each are rejected.
+    listed = counted.groupBy("stratum", "rule").agg(F.collect_list(F.struct("first", "good", "bad")).alias("cells"), F.sum("good").alias("n_good"))
+    upto = lambda i, what: F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c["first"] <= i, c[what]).otherwise(0))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.struct(i.alias("i"), upto(i, "good").alias("k"), upto(i, "bad").alias("hit")))
+    listed = listed.where("n_good > 0").select("stratum", "rule", "n_good", levels.alias("levels"))
+    joint = listed.where("rule = 'all'").withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    tested = joint.select("stratum", "n_good", "strata", F.inline("levels"))
+    fails = binomial_tail(F.col("n_good"), F.col("k"), allowed) > F.lit(delta) / F.col("strata")
+    proven = tested.groupBy("stratum").agg((F.coalesce(F.min(F.when(fails, F.col("i"))), F.lit(LEVELS)) - 1).alias("level"))
+    within = listed.where("rule <> 'all'").join(proven.withColumnRenamed("stratum", "of"), F.col("stratum").eqNullSafe(F.col("of")))
+    gains = F.transform(F.filter("levels", lambda x: x["i"] <= F.col("level")), lambda x: F.struct((x["hit"] - x["k"]).alias("gain"), (-x["i"]).alias("milder")))
+    best = F.array_max(gains)
+    chosen = within.select("stratum", "n_good", "level", "rule", F.when(best["gain"] > 0, -best["milder"]).alias("at"))
+    cut = lambda rule, cuts: F.get(F.array(*map(F.lit, cuts)), F.max(F.when(F.col("rule") == rule, F.col("at")))).alias(f"{rule}_cutoff")
+    return chosen.groupBy("stratum", "n_good", "level").agg(*(cut(rule, cuts) for rule, cuts in CUTOFFS.items()))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
@@ -176,3 +195,59 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = apply_rules(docs, table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", *MEASURES[:6], "kept")
+
+
+def _sql() -> str:
+    rules = ", ".join(f"({rule!r}, {i}, {cut!r}::DOUBLE)" for rule, cuts in CUTOFFS.items() for i, cut in enumerate(cuts))
+    long = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {rule} AS x FROM held" for rule in CUTOFFS)
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS MATERIALIZED (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY doc_id, g HAVING count(*) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS r
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+counts AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
+    len(regexp_extract_all(t, '[^\p{{L}}\p{{N}}\x20\x09-\x0D]')) AS marks, len(regexp_extract_all(t, '\p{{Lu}}')) AS upper
+  FROM docs d LEFT JOIN repeats USING (doc_id)),
+measured AS MATERIALIZED (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_ratio,
+    coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS line_ratio, coalesce(marks / nullif(word_chars, 0), 0) AS mark_ratio,
+    coalesce(upper / nullif(word_chars, 0), 0) AS upper_ratio
+  FROM counts),
+marks AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS MATERIALIZED (SELECT m.*, q FROM measured m JOIN marks USING (doc_id) WHERE NOT base_failed),
+cuts(rule, i, cut) AS (VALUES {rules}),
+firsts AS (SELECT doc_id, rule, count(*) FILTER (x <= cut) AS first FROM ({long}) JOIN cuts USING (rule) GROUP BY doc_id, rule),
+cells AS (
+  SELECT rule, first, lang, q FROM firsts JOIN held USING (doc_id)
+  UNION ALL SELECT 'all', min(first), any_value(lang), any_value(q) FROM firsts JOIN held USING (doc_id) GROUP BY doc_id),
+levels AS (
+  SELECT coalesce('s' || lang, '') AS stratum, rule, i, count(*) FILTER (q = 1) AS n_good, count(*) FILTER (q = 1 AND first <= i) AS k, count(*) FILTER (q <> 1 AND first <= i) AS hit
+  FROM cells, (SELECT unnest(range({LEVELS})) AS i) GROUP BY ALL HAVING count(*) FILTER (q = 1) > 0),
+tails AS (
+  SELECT stratum, i, CASE WHEN k >= n_good * {ALLOWED} THEN 1 ELSE (
+    SELECT sum(exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({ALLOWED}) + (n_good - j) * ln(1 - {ALLOWED}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) END AS p
+  FROM levels WHERE rule = 'all'),
+proven AS (
+  SELECT stratum, coalesce(min(i) FILTER (p > {DELTA} / (SELECT count(DISTINCT stratum) FROM tails)), {LEVELS}) - 1 AS level FROM tails GROUP BY stratum),
+best AS (
+  SELECT stratum, rule, i FROM levels JOIN proven USING (stratum) WHERE rule <> 'all' AND i <= level AND hit > k
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY hit - k DESC, i) = 1),
+chosen AS (SELECT stratum, {", ".join(f"max(cut) FILTER (rule = {rule!r}) AS {rule}_cutoff" for rule in CUTOFFS)} FROM best JOIN cuts USING (rule, i) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(f"coalesce({rule} <= {rule}_cutoff, true)" for rule in CUTOFFS)} AS kept
+FROM measured LEFT JOIN chosen ON stratum = coalesce('s' || lang, '')
+"""
+
+
+#: The same rows for documents with distinct ids.
+OP10_SQL = _sql()

@@ -84,13 +84,82 @@ def test_counts_match_brute_force(spark, docs, rows):
 
 
 def test_binomial_tail_is_exact(spark):
-    cases = [(n, k) for n in (1, 10, 100, 1000, 50_000) for k in (0, 1, 3, 40, 190) if k <= n]
+    cases = [(n, k) for n in (1, 10, 100, 1000, 50_000, 3_000_000) for k in (0, 1, 3, 40, 190, 2600, 11_700) if k <= n]
     got = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality.binomial_tail(F.col("n"), F.col("k"), 0.004).alias("p")).collect()
     for r in got:
         exact = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(j + 1) - math.lgamma(r.n - j + 1) + j * math.log(0.004) + (r.n - j) * math.log1p(-0.004)) for j in range(r.k + 1))
         assert r.p == pytest.approx(1.0 if r.k >= r.n * 0.004 else exact, rel=1e-6)
 
 
+def chosen(measured, labels, allowed=quality.ALLOWED, delta=quality.DELTA):
+    """Brute force of the cutoffs: stratum to (n_good, level, cutoffs)."""
+    quality_of = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            quality_of[d] = min(q, quality_of.get(d, q))
+    held = defaultdict(list)
+    for r in measured:
+        if not r.base_failed and r.doc_id in quality_of:
+            held[r.lang].append((quality_of[r.doc_id] == 1, r))
+    held = {s: rs for s, rs in held.items() if any(g for g, _ in rs)}
+    out = {}
+    for s, rs in held.items():
+        n, level = sum(g for g, _ in rs), -1
+        for i in range(quality.LEVELS):
+            k = sum(g and any(r[rule] > cuts[i] for rule, cuts in quality.CUTOFFS.items()) for g, r in rs)
+            tail = 1.0 if k >= n * allowed else sum(math.comb(n, j) * allowed**j * (1 - allowed) ** (n - j) for j in range(k + 1))
+            if tail > delta / len(held):
+                break
+            level = i
+        cut = []
+        for rule, cuts in quality.CUTOFFS.items():
+            gain = [(sum((not g) - g for g, r in rs if r[rule] > c), -i) for i, c in enumerate(cuts[: level + 1])]
+            best = max(gain, default=(0, 0))
+            cut.append(cuts[-best[1]] if best[0] > 0 else None)
+        out[s] = (n, level, *cut)
+    return out
+
+
+def labelled(n=2500, seed=8):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.85
+        body = [f"w{rng.randrange(10**6)}" + ("!" if rng.random() < 0.05 else "") for _ in range(rng.randint(45, 90))]
+        junk = rng.random() * (0.03 if good else 0.6)
+        body = [b + ("###" if rng.random() < junk else "") for b in body]
+        if rng.random() < (0.004 if good else 0.4):
+            body += body[:20]
+        rows.append((i, " ".join(body), rng.choice(["en"] * 12 + ["de"] * 7 + [None])))
+        labels.append((i, int(good)))
+    return rows, [*labels, (None, 1), (3, None), (4, 0), (4, 1)]
+
+
+def test_cutoffs_match_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows, labels = labelled()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, marks = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    measured = quality.measure(docs).cache()
+    got = {r[0]: tuple(r)[1:] for r in quality.choose_cutoffs(measured, marks).collect()}
+    expected = chosen(measured.collect(), labels)
+    assert got == expected and expected["en"][1] > 0 and expected[None][1] == -1 and any(expected["de"][2:])
+    query = quality.op10_query(spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = con.execute(quality.OP10_SQL)
+    names = [d[0] for d in cur.description]
+    assert sorted(map(tuple, query.select(names).collect())) == sorted(cur.fetchall()) and sorted(names) == sorted(query.columns)
+    # The holdouts lose no more than the bound, and junk goes.
+    kept = {r.doc_id: r.kept for r in query.collect()}
+    failed = {r.doc_id for r in measured.collect() if r.base_failed}
+    good, bad = ([i for i, q in labels[:2500] if q == x and i not in failed] for x in (1, 0))
+    assert sum(not kept[i] for i in good) <= quality.ALLOWED * len(good) and sum(not kept[i] for i in bad) > 0.7 * len(bad)
+
+
 def test_cutoffs_limit_false_rejection(spark):
     rng = random.Random(3)
     rows, labels = [], []
