@@ -12,6 +12,9 @@ All occurrences of the pair in a sequence merge together, left to right, which
 equals merging one by one as long as no merge yields a pair of lower rank.
 That holds if a merge only joins symbols made by earlier merges; it is checked
 when the vocabulary is read, and otherwise only the leftmost pair merges.
+A sequence of more than ``LONG`` symbols (an unbroken run of letters) holds its
+pairs by rank, with links to their neighbours, so that a round costs what it
+merges and not the whole sequence.
 
 Rows: a null text is empty; rows repeat as they come; other columns pass
 through.  An empty table gives an empty result.
@@ -20,7 +23,9 @@ through.  An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,6 +37,8 @@ from .common import col, free
 from .textbatch import buffer_of, chunks, ranges
 
 LIMIT = 2048
+#: Symbols beyond which a sequence's pairs are held by rank.
+LONG = 256
 #: Words whose tokens a worker keeps.
 CACHED = 500_000
 
@@ -53,6 +60,7 @@ class Merges:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
+        self.unknown = model.get("unk_token")
         if model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("this kind of BPE is not supported")
         self.base = max(self.vocab.values()) + 1
@@ -65,6 +73,8 @@ class Merges:
         self.keys, last = np.unique(keys[::-1], return_index=True)
         rank = len(keys) - 1 - last
         self.rank, self.made = rank.astype(np.int64), made[rank]
+        self.rank_of = dict(zip(self.keys.tolist(), rank.tolist()))
+        self.made_by_rank = made.tolist()
         maker = np.full(self.base, -1, np.int64)
         np.maximum.at(maker, made, np.arange(len(made)))
         self.ordered = bool((np.maximum(maker[left], maker[right]) < np.arange(len(made))).all())
@@ -82,14 +92,66 @@ class Merges:
         return at
 
     def symbols(self, piece: str) -> list[int]:
-        """First symbols of one pre-token; the last carries the word end."""
+        """First symbols of one pre-token; the last carries the word end.
+        Characters that the vocabulary lacks are left out, as the library does
+        where no unknown token is named."""
         known = [self.vocab.get(c) for c in piece[:-1]] + [self.vocab.get(piece[-1] + self.suffix)]
+        if self.unknown is not None and None in known:
+            raise ValueError(f"a character of {piece[:20]!r} is not in the vocabulary; unknown tokens are not supported")
         return [x for x in known if x is not None]
 
+    def count_long(self, sequence: list[int]) -> int:
+        """Symbols left of one sequence, in rounds by rank: each merges all
+        places of the lowest rank that is left (only the leftmost, where a merge
+        may yield a pair of lower rank)."""
+        symbol, n, base, rank_of = list(sequence), len(sequence), self.base, self.rank_of
+        following, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        own = array("q", (rank_of.get(a * base + b, -1) for a, b in zip(symbol, symbol[1:])))
+        own.append(-1)
+        places: dict[int, list[int]] = {}
+        for i, r in enumerate(own):
+            if r >= 0:
+                places.setdefault(r, []).append(i)
+        ranks, left = list(places), n
+        heapify(ranks)
+        while ranks:
+            rank = heappop(ranks)
+            todo = sorted(places.pop(rank))
+            for k, i in enumerate(todo):
+                if own[i] != rank:
+                    continue
+                gone = following[i]
+                symbol[i], after = self.made_by_rank[rank], following[gone]
+                following[i], own[gone] = after, -1
+                left -= 1
+                if after < n:
+                    before[after] = i
+                for a in (before[i], i):
+                    if a < 0:
+                        continue
+                    b = following[a]
+                    own[a] = new = rank_of.get(symbol[a] * base + symbol[b], -1) if b < n else -1
+                    if new >= 0:
+                        if new not in places:
+                            places[new] = []
+                            heappush(ranks, new)
+                        places[new].append(a)
+                if not self.ordered:
+                    if k + 1 < len(todo):
+                        if rank not in places:
+                            places[rank] = []
+                            heappush(ranks, rank)
+                        places[rank] += todo[k + 1 :]
+                    break
+        return left
+
     def count_symbols(self, sequences: list[list[int]]) -> np.ndarray:
         """Symbols left of each sequence after all merges."""
+        long = {i: self.count_long(s) for i, s in enumerate(sequences) if len(s) > LONG}
+        sequences = [[] if i in long else s for i, s in enumerate(sequences)] if long else sequences
         sizes = np.array([len(s) for s in sequences], np.int64)
         left = sizes.copy()
+        left[list(long)] = list(long.values())
         flat = np.fromiter((x for s in sequences for x in s), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(sizes)), sizes)
         none = len(self.keys) + len(self.rank)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -42,6 +44,37 @@ def test_leftmost_merging_gives_the_same():
     assert (merges.count_symbols(sequences) == together).all()
 
 
+def test_long_words_take_time_in_proportion(library):
+    rng = random.Random(6)
+    merges = tokens.Merges(BPE)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé日") for _ in range(k))
+    for text in (letters(257), letters(5000), "a" * 1000 + "ab" * 900, "the" * 700, letters(300) + " " + "na" * 400 + "!" * 600):
+        for ordered in (True, False):
+            merges.ordered = ordered
+            assert merges.count_words([w.encode() for w in text.split()]).sum() == len(library.encode(text, add_special_tokens=False).ids)
+    took = []
+    for k in (20_000, 80_000):
+        began = time.process_time()
+        merges.count_words([letters(k).encode()])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_unknown_characters_are_not_dropped_silently():
+    merges = tokens.Merges(BPE)
+    merges.unknown = None
+    assert merges.symbols("\u4e00") == []  # pre-tokens are byte letters; this is none
+    merges.unknown = "<|endoftext|>"
+    with pytest.raises(ValueError):
+        merges.symbols("\u4e00")
+
+
+def test_clashing_columns_pass(spark):
+    df = spark.createDataFrame([(1, "a cat", 5, 6, "x")], "doc_id long, text string, N_TOKENS long, text_of_row long, over_limit string")
+    row = tokens.count_tokens(df, BPE).first()
+    assert row.n_tokens == 2 and row.n_bytes == 5 and row.over_limit is False and row.text_of_row == 6
+
+
 def test_word_cache_is_bounded():
     words = tokens.Words(limit=3)
     index, sizes, new, kept = words.read(pa.array(["a b c d", "a d"]))
