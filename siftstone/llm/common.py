@@ -32,9 +32,11 @@ def col(name: str) -> Column:
 
 def shuffle_width(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """How many partitions hold ``df`` at about ``bytes_each`` each, and at
-    least the session's shuffle partitions."""
+    least the session's shuffle partitions; these alone where the planner does
+    not know the size (rows that are not read from files)."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // bytes_each, 100_000))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if known >= 1 << 60 else max(least, min(known // bytes_each, 100_000))
 
 
 def ready_checkpoints(spark: SparkSession) -> None:

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL,
+    "op2_substring_dedup": substring.OP2_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }

@@ -20,13 +20,17 @@ duplicate spans.  The plan, linear in the corpus:
    be neither a copy nor a source, and is not sent.
 4. Spans from 2 and 3 return to their documents and are cut out.
 
-Every answer is per distinct anchor or run and batch, so a passage that many
-documents share costs one row a batch.  A bucket's memory is bounded by the
-number of buckets, which follows the input's size.
+Rows to a bucket are combined twice before the shuffle: within a batch, and by
+a table of fixed size that a task keeps of what it has met (``Met``), so that a
+passage which many documents share costs a few rows a task, not one a document:
+whoever comes after a smaller holder in its task is answered there.  A bucket's
+memory is bounded by the number of buckets, which follows the input's size.
+
+Words are compared by 64-bit hashes, runs by 128-bit ones.
 
 Rows: a null text has no words; a null id counts as larger than every id; rows
-that share an id are never references for each other, repeated rows are each
-kept.  Columns of the input pass through; result columns replace any of the
+that share an id are never references for each other; repeated rows are each
+kept, and share one answer.  Columns of the input pass through; result columns replace any of the
 same name.  An empty table gives an empty result.
 """
 
@@ -66,6 +70,38 @@ def anchors(words: Words, seed: np.ndarray, window: int, k: int) -> tuple[np.nda
     return np.arange(n) + at, ok[:n] == ok[window - 1 :]
 
 
+class Met:
+    """Hashes that a task has met with their least holder so far (key, version,
+    place): one slot for each of 2**bits remainders.  What is lost when two
+    hashes want a slot costs a row more, never an answer.  A hash that was met
+    again yields its slot only after as many others wanted it."""
+
+    def __init__(self, width: int, bits: int = 17):
+        self.bits = bits
+        self.hash = np.zeros((1 << bits, width), U64)
+        self.holder = np.zeros((1 << bits, 3), np.int64)
+        self.told = np.zeros(1 << bits, bool)
+        self.worth = np.full(1 << bits, -1, np.int64)  # below 0: free
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of distinct hashes (rows of ``width``), and whether each is there."""
+        slot = (hashes[:, 0] >> U64(64 - self.bits)).astype(np.int64)
+        there = (self.worth[slot] >= 0) & (self.hash[slot] == hashes).all(1)
+        self.worth[slot[there]] += 1
+        return slot, there
+
+    def put(self, hashes: np.ndarray, slot: np.ndarray, there: np.ndarray, holder: np.ndarray, told: np.ndarray) -> None:
+        """Remember the holders of these hashes, where a slot is to be had."""
+        other = ~there
+        self.worth[slot[other]] -= 1
+        ok = there | (self.worth[slot] < 0)
+        ok &= np.bincount(slot, minlength=1 << self.bits)[slot] == 1  # of several new ones none, for a batch
+        slot, again = slot[ok], there[ok]
+        self.hash[slot], self.holder[slot] = hashes[ok], holder[ok]
+        self.told[slot] = told[ok] | (again & self.told[slot])
+        self.worth[slot] = np.where(again, self.worth[slot], 0)
+
+
 def _blobs(bucket: np.ndarray, parts: list[np.ndarray], ids: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch | None:
     """One row for each bucket, holding what goes to it.  ``parts``: hash (of
     one or more values a row), text index, place; sorted by bucket."""
@@ -102,6 +138,7 @@ def _index(text: str, key: str, version: str, buckets: int, window: int, k: int)
     """Batches of texts to anchors for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met(1)
         for batch in batches:
             for part in chunks(batch, text):
                 words = Words(part.column(part.schema.get_field_index(text)))
@@ -121,23 +158,30 @@ def _index(text: str, key: str, version: str, buckets: int, window: int, k: int)
                 lead = np.flatnonzero(np.diff(h, prepend=~h[:1]))
                 group = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(h))))
                 own = ids[doc, 0]
-                later = own > own[lead][group]  # the batch has a smaller holder already
-                bucket = (h % U64(buckets)).astype(np.int64)
-                # Later holders are answered here; each group asks once for each
-                # place in its first document.
+                holder = np.column_stack((ids[doc[lead]], place[lead]))
+                slot, there = met.find(h[lead, None])
+                before = there & (met.holder[slot, 0] < holder[:, 0])
+                first = np.where(before[:, None], met.holder[slot], holder)
+                later = own > first[group, 0]  # a smaller holder is known already
+                # Later holders are answered here; the others ask, each for each
+                # place in its document, and say whether anyone else is known.
                 shared = np.zeros(len(lead), bool)
                 np.logical_or.at(shared, group, later)
                 ask = ~later
-                extra = shared[group].astype(np.uint8)
-                o = np.argsort(bucket[ask], kind="stable")
-                out = _blobs(bucket[ask][o], [h[ask][o], doc[ask][o], place[ask][o]], ids, extra[ask][o])
+                tell = np.flatnonzero(before & shared & ~met.told[slot])  # on behalf of an earlier batch's holder
+                met.told[slot[tell]] = True
+                b = (np.concatenate((h[ask], h[lead[tell]])) % U64(buckets)).astype(np.int64)
+                parts = [np.concatenate((h[ask], h[lead[tell]])), np.concatenate((doc[ask], len(ids) + np.arange(len(tell)))), np.concatenate((place[ask], first[tell, 2]))]
+                extra = np.concatenate((shared[group][ask], np.ones(len(tell), bool))).astype(np.uint8)
+                o = np.argsort(b, kind="stable")
+                out = _blobs(b[o], [x[o] for x in parts], np.concatenate((ids, first[tell, :2])), extra[o])
                 if out is not None:
                     yield out
+                met.put(h[lead[~before], None], slot[~before], there[~before], holder[~before], shared[~before])
                 if later.any():
-                    first = lead[group][later]
-                    extra = np.stack([own[first], place[first]], 1).astype(np.int64)
-                    b = np.full(len(first), int(h[0] % U64(buckets)), np.int64)
-                    out = _blobs(b, [np.zeros(len(first), U64), doc[later], place[later]], ids, extra)
+                    extra = first[group[later]][:, [0, 2]]
+                    b = np.full(len(extra), int(h[0] % U64(buckets)), np.int64)
+                    out = _blobs(b, [np.zeros(len(extra), U64), doc[later], place[later]], ids, extra)
                     out = out.set_column(1, "n", pa.array((-np.asarray(out.column(1))).astype(np.int32)))
                     yield out
         end_task()
@@ -173,6 +217,9 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     if not out:
         return _ANSWER.empty_table()
     pairs, places, ref, ref_place = (np.concatenate(x) for x in zip(*out))
+    # Repeated rows share their answers.
+    _, one = np.unique(np.column_stack((pairs, places, ref, ref_place)), axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, np.int64))
+    pairs, places, ref, ref_place = pairs[one], places[one], ref[one], ref_place[one]
     return pa.table([pairs[:, 0], pairs[:, 1], places.astype(np.int32), ref, ref_place.astype(np.int32)], schema=_ANSWER)
 
 
@@ -181,6 +228,7 @@ def _factor(text: str, key: str, version: str, found: str, buckets: int, window:
     rows) and to boundary runs for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met(2)
         for batch in batches:
             for part in chunks(batch, text):
                 get = lambda x, part=part: part.column(part.schema.get_field_index(x))
@@ -226,12 +274,17 @@ def _factor(text: str, key: str, version: str, found: str, buckets: int, window:
                     new = np.concatenate(([True], (both[1:] != both[:-1]).any(1)))
                     lead = np.flatnonzero(new)
                     group = np.cumsum(new) - 1
-                    later = owner > owner[lead][group]
+                    slot, there = met.find(both[lead])
+                    before = there & (met.holder[slot, 0] < owner[lead])
+                    first = np.where(before, met.holder[slot, 0], owner[lead])
+                    later = owner > first[group]
                     inside[send[later]] = True
+                    fresh = np.flatnonzero(~before)
+                    met.put(both[lead[fresh]], slot[fresh], there[fresh], np.column_stack([owner[lead[fresh]]] * 3), np.zeros(len(fresh), bool))
                     # Of the first document, all that ask, or else one row.
                     asks = np.zeros(len(lead), bool)
                     np.logical_or.at(asks, group, query & ~later)
-                    stay = ~later & (query | (new & ~asks[group]))
+                    stay = ~later & (query | (new & ~asks[group]))  # none of a group with an earlier holder
                     h, s, q = both[stay], send[stay], query[stay]
                     bucket = (h[:, 0] % U64(buckets)).astype(np.int64)
                     o = np.argsort(bucket, kind="stable")
@@ -277,6 +330,8 @@ def _answer_runs(window: int):
         if not out:
             return _SPAN.empty_table()
         pairs, start, stop = (np.concatenate(x) for x in zip(*out))
+        _, one = np.unique(np.column_stack((pairs, start, stop)), axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, np.int64))
+        pairs, start, stop = pairs[one], start[one], stop[one]
         return pa.table([pairs[:, 0], pairs[:, 1], start.astype(np.int32), stop.astype(np.int32)], schema=_SPAN)
 
     return run
@@ -340,20 +395,21 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
         raise ValueError("anchor words must overlap: 2 * anchor must exceed window")
     base = docs.drop("n_words", "n_removed", "kept_text", "duplicate_spans")
     key, version, found = free(base, "row_key", "row_version", "found")
-    buckets = 2 * shuffle_width(base)
+    width = shuffle_width(base)
+    buckets = 2 * width
     keyed = base.withColumns({key: F.coalesce(col(id_col).cast("long"), F.lit(LAST_KEY)), version: F.xxhash64(col(text_col))})
 
     slim = keyed.select(F.col(key), F.col(version), col(text_col).alias("text"))
     asked = slim.mapInArrow(_index("text", key, version, buckets, window, anchor), _BLOB)
-    answers = asked.groupBy("bucket").applyInArrow(_answer_anchors, "key long, version long, place int, ref long, ref_place int")
-    by_doc = answers.groupBy("key", "version").agg(F.collect_list(F.struct("place", "ref", "ref_place")).alias(found))
+    answers = asked.repartition(width, "bucket").groupBy("bucket").applyInArrow(_answer_anchors, "key long, version long, place int, ref long, ref_place int")
+    by_doc = answers.groupBy("key", "version").agg(F.collect_set(F.struct("place", "ref", "ref_place")).alias(found))
     by_doc = by_doc.withColumnsRenamed({"key": key, "version": version})
     passes = keyed.schema
     passed = base.columns
     # Both joins deal the same columns out by the same key: one exchange serves both.
     runs = keyed.join(by_doc, [key, version], "inner").mapInArrow(_factor(text_col, key, version, found, buckets, window, anchor), _BLOB)
-    cuts = runs.groupBy("bucket").applyInArrow(_answer_runs(window), "key long, version long, start int, stop int")
-    cuts = cuts.groupBy("key", "version").agg(F.collect_list(F.struct("start", "stop")).alias(found))
+    cuts = runs.repartition(width, "bucket").groupBy("bucket").applyInArrow(_answer_runs(window), "key long, version long, start int, stop int")
+    cuts = cuts.groupBy("key", "version").agg(F.collect_set(F.struct("start", "stop")).alias(found))
     cuts = cuts.withColumnsRenamed({"key": key, "version": version})
     full = keyed.join(cuts, [key, version], "left")
     result = T.StructType([f for f in passes if f.name in passed] + list(T._parse_datatype_string(_MADE_SQL)))
@@ -366,3 +422,17 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
 
     out = remove_duplicate_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same rows: windows as strings of 13 words (words hold no spaces).
+OP2_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS d FROM wins GROUP BY k HAVING min(doc_id) < max(doc_id)),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM wins JOIN firsts USING (k) WHERE doc_id > d),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM docs),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS s FROM words ANTI JOIN covered USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""

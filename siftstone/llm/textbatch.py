@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes (any odd 64-bit numbers do).
-BYTE_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd multipliers of the hashes (any odd 64-bit numbers do).
+LANE_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of a word that are hashed eight at a time; longer ones go to XXH64.
+SHORT = 32
 WORD_BASE = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 #: Most bytes of text handled at once; a longer single text forms its own chunk.
 CHUNK_BYTES = 1 << 20
@@ -91,13 +93,32 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts())
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        power, inverse = powers(BYTE_BASE[which], len(self.buf) + 1)
-        total = np.empty(len(self.buf) + 1, U64)
-        total[0] = 0
-        np.cumsum((self.buf.astype(U64) + U64(1)) * power[: len(self.buf)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
-
+        """A 64-bit hash of each word: its length and its bytes, eight at a
+        time, each step a bijection of what came before."""
+        size = self.end - self.start
+        padded = np.zeros(len(self.buf) + 8, np.uint8)
+        padded[: len(self.buf)] = self.buf
+        lanes = np.ndarray((len(self.buf) + 1,), "<u8", padded, 0, (1,))
+        base = U64(LANE_BASE[which])
+        out = mix(size.astype(U64) * base)
+        todo = np.flatnonzero(size <= SHORT)
+        for at in range(0, SHORT, 8):
+            todo = todo[size[todo] > at]
+            if not len(todo):
+                break
+            lane = lanes[self.start[todo] + at] & _MASKS[np.minimum(size[todo] - at, 8)]
+            out[todo] = mix((out[todo] ^ lane) * base)
+        rest = np.flatnonzero(size > SHORT)
+        if len(rest):
+            import xxhash
+
+            raw = memoryview(padded)
+            out[rest] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], which) for a, b in zip(self.start[rest].tolist(), self.end[rest].tolist())), U64, len(rest))
+        return out
+
+
+#: Keep the first 0 to 8 bytes of eight.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

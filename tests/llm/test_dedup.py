@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import xxhash
 from conftest import made_documents, words  # noqa: F401
 from pyspark.sql import functions as F
 
-from siftstone.llm import components, simhash, substring
+from siftstone.llm import components, simhash, substring, textbatch
 from siftstone.llm.common import LAST_KEY, Store
 
 
@@ -60,6 +63,77 @@ def test_substring_dedup_edges(spark, none):
         substring.remove_duplicate_spans(clash, window=13, anchor=3)
 
 
+def found_by(df, **options):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_duplicate_spans(df, **options).collect()), key=repr)
+
+
+def test_words_that_differ_in_a_pattern_are_told_apart(spark):
+    # Thue-Morse words defeat polynomials modulo 2**64.
+    bits = lambda n: [i.bit_count() % 2 for i in range(n)]
+    twelve = " ".join(f"w{i}" for i in range(12))
+    rows = []
+    for n in (8, 16, 32, 64, 1024, 2048, 4096):
+        for flip in (0, 1):
+            rows.append((len(rows), f"{twelve} {''.join('ab'[b ^ flip] for b in bits(n))}"))
+    assert found_by(spark.createDataFrame(rows, "doc_id long, text string")) == removed(rows, 13)
+    w = textbatch.Words(pa.array([" ".join(r[1].split()[-1] for r in rows), "a ab abc aaaaaaaa aaaaaaaaa a\x00 a"]))
+    for which in (0, 1):
+        h = w.hashes(which)
+        assert len(set(h.tolist())) == len(h) - 1 and h[-1] == h[len(rows)]
+
+
+def test_repeated_rows_and_hot_passages(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda k: " ".join(f"v{rng.randrange(300)}" for _ in range(k))
+    hot = text(40)
+    rows = [(7, hot + " " + text(20), 0)] * 500 + [(None, hot, 0)] * 300
+    rows += [(i, f"{text(rng.randint(0, 9))} {hot if i % 3 else hot[:90]} {text(rng.randint(0, 30))}", 0) for i in rng.sample(range(10, 2000), 400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, found int")
+    assert found_by(df.repartition(3)) == removed(rows, 13)
+    # Many batches in a task, whose table of met hashes is too small for them.
+    few = substring.Met
+    for bits in (17, 4):
+        got = []
+        monkeypatch.setattr(substring, "Met", lambda width, bits=bits: few(width, bits))
+        monkeypatch.setattr(substring, "chunks", lambda batch, text: textbatch.chunks(batch, text, 600))
+        table = pa.table({"text": [r[1] for r in rows], "key": [LAST_KEY if r[0] is None else r[0] for r in rows], "version": [hash(r[1]) for r in rows]})
+        asked = list(substring._index("text", "key", "version", 4, 13, 7)(iter(table.to_batches())))
+        asks = sum(n for b in asked for n in b.column(1).to_pylist() if n > 0)
+        answers = {}
+        for b in range(4):
+            part = [x.filter(pa.compute.equal(x.column(0), b)) for x in asked]
+            for r in substring._answer_anchors(pa.Table.from_batches(part)).to_pylist():
+                answers.setdefault((r["key"], r["version"]), set()).add((r["place"], r["ref"], r["ref_place"]))
+        found = pa.array([[dict(zip(("place", "ref", "ref_place"), a)) for a in sorted(answers.get((k, v), ()))] for k, v in zip(table["key"].to_pylist(), table["version"].to_pylist())], pa.list_(pa.struct([("place", pa.int32()), ("ref", pa.int64()), ("ref_place", pa.int32())])))
+        runs = list(substring._factor("text", "key", "version", "found", 4, 13, 7)(iter(table.append_column("found", found).to_batches())))
+        for b in range(4):
+            part = [x.filter(pa.compute.equal(x.column(0), b)) for x in runs]
+            got += substring._answer_runs(13)(pa.Table.from_batches(part)).to_pylist()
+        cut = {}
+        for r in got:
+            cut.setdefault((r["key"], r["version"]), set()).update(range(r["start"], r["stop"]))
+        kept = sorted(((r[0], len(words(r[1])), len(cut.get((LAST_KEY if r[0] is None else r[0], hash(r[1])), ())), " ".join(w for i, w in enumerate(words(r[1])) if i not in cut.get((LAST_KEY if r[0] is None else r[0], hash(r[1])), ()))) for r in rows), key=repr)
+        assert kept == removed(rows, 13)
+        if bits == 17:
+            once = asks
+    assert once < asks
+
+
+def test_op2_query_equals_its_sql(spark, rows, tmp_path):
+    import duckdb
+
+    unique = list({r[0]: r for r in rows if r[0] is not None}.values())
+    spark.createDataFrame(unique, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = substring.op2_query(spark, str(tmp_path))
+    cur = con.execute(substring.OP2_SQL)
+    assert [d[0] for d in cur.description] == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(cur.fetchall())
+    assert {(r.doc_id, r.n_removed, r.kept_sha256) for r in got.collect()} == {(i, n, hashlib.sha256(t.encode()).hexdigest()) for i, _, n, t in removed(unique, 13)}
+
+
 def print_of(text):
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
     w = [x.encode() if isinstance(x, str) else x for x in low.split()]
