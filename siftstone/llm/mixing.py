@@ -72,13 +72,14 @@ MADE = ("size", "source_size", "target", "taken", "positions")
 def _planned(docs: DataFrame, into: str, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
     """``docs`` and the column ``into``, a struct of MADE and of ``tie``, a hash
     of the text."""
-    key, order, part, mine, upto = free(docs.withColumn(into, F.lit(0)), "mix_key", "mix_order", "mix_slice", "mix_size", "mix_upto")
+    key, order, part, mine, tie, upto = free(docs.withColumn(into, F.lit(0)), "mix_key", "mix_order", "mix_slice", "mix_size", "mix_tie", "mix_upto")
     slices = max(SLICES, SLICES_EACH * shuffle_width(docs))
     text = col(text_col)
     sized = docs.withColumns({
         key: F.coalesce(F.concat(F.lit("s"), col(source_col)), F.lit("")),
         order: F.md5(F.concat(F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(f"|{seed}"))),
         mine: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        tie: F.xxhash64(text),
     })
     share = F.conv(F.substring(F.col(order), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     sized = sized.withColumn(part, (share * slices).cast("int"))
@@ -89,7 +90,7 @@ def _planned(docs: DataFrame, into: str, id_col: str, text_col: str, source_col:
     before = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranges = ranges.join(targets, "k").select(F.struct("offset", "source_size", "target", "slope").alias(upto), F.col("k").alias(key), F.col("p").alias(part))
-    inner = Window.partitionBy(key, part).orderBy(order, col(id_col), mine, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(key, part).orderBy(order, col(id_col), mine, tie).rowsBetween(Window.unboundedPreceding, -1)
     run = sized.withColumn(into, F.coalesce(F.sum(mine).over(inner), F.lit(0)))
     out = run.join(ranges, [key, part])
     at = F.col(f"{upto}.offset") + F.col(into) + F.col(mine) / 2
@@ -98,7 +99,7 @@ def _planned(docs: DataFrame, into: str, id_col: str, text_col: str, source_col:
     copies = F.filter(copies, lambda u: u <= target)
     invert = lambda x: (F.sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope)
     positions = F.transform(copies, lambda u: F.when(target > 0, invert(u / target)).otherwise(share))
-    made = F.struct(F.col(mine).alias("size"), F.col(f"{upto}.source_size").alias("source_size"), target.alias("target"), (F.col(mine) * F.size(copies)).alias("taken"), positions.alias("positions"), F.xxhash64(text).alias("tie"))
+    made = F.struct(F.col(mine).alias("size"), F.col(f"{upto}.source_size").alias("source_size"), target.alias("target"), (F.col(mine) * F.size(copies)).alias("taken"), positions.alias("positions"), F.col(tie).alias("tie"))
     return out.select(*(col(c) for c in docs.columns), made.alias(into))
 
 
