@@ -355,6 +355,29 @@ def test_op6_query(spark, tmp_path, rows):
         assert g.near_edited == pytest.approx(jaccard(spots(t), spots(edited))) and g.near_next == pytest.approx(jaccard(spots(t), spots(n)))
 
 
+def test_ids_that_fill_ranges(spark):
+    # A third of the rows without an id, a third with the same one.
+    rows = [(None, f"n{i}") for i in range(200)] + [(77, f"h{i}") for i in range(200)] + [(i, f"t{i}") for i in range(200)]
+    out = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.xxhash64("text")), "doc_id", ["doc_id", "text"], F.col("version")).collect()
+    following = {(r.doc_id, r.text): (r.next_doc_id, r.next_text) for r in out}
+    assert len(out) == 600 == len(following) == len(set(following.values()))
+    at, seen = (0, "t0"), []
+    for _ in range(600):
+        seen.append(at)
+        at = following[at]
+    assert at == (0, "t0") and [s[0] for s in seen] == sorted([r[0] for r in rows if r[0] is not None]) + [None] * 200
+
+
+def test_spotsigs_edges(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert spotsigs.op6_query(spark, str(tmp_path)).count() == 0
+    pairs, members = spotsigs.similar_pairs(none)
+    assert pairs.count() == members.count() == 0
+    clash = spark.createDataFrame([(1, "the cat sat down", 5, 6, 7)], "doc_id long, text string, SIGNATURES int, fingerprint int, sigs_of_row int")
+    got = spotsigs.fingerprints(clash)
+    assert got.columns == ["doc_id", "text", "sigs_of_row", "signatures", "fingerprint"] and len(got.first().signatures) == len(spots("the cat sat down"))
+
+
 # --- toxicity
 
 
