@@ -30,6 +30,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def least_rows(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Of the rows that share the keys the least by the named columns (those
+    that cannot be ordered are left out of the order), with these columns."""
+    ordered = [f.name for f in rows.schema if f.name in names and f.dataType.typeName() not in ("map", "variant")]
+    of = lambda some: F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate(some)))
+    least = F.min(of(names)) if len(ordered) == len(names) else F.min_by(of(names), of(ordered))
+    found = rows.groupBy(*(col(k) for k in keys)).agg(least.alias("least_of_rows"))
+    return found.select(*(F.col(f"least_of_rows.c{i}").alias(c) for i, c in enumerate(names)))
+
+
 def shuffle_width(df: DataFrame, bytes_each: int = 32 << 20) -> int:
     """How many partitions hold ``df`` at about ``bytes_each`` each, and at
     least the session's shuffle partitions; these alone where the planner does

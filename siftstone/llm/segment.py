@@ -16,16 +16,20 @@ edges is chosen by mass, and the rest of the path follows by sampling.
 No piece has a space after another character, so a word with the spaces before
 it is a lattice of its own, and the masses behind any place of it come from a
 backward sum that is made once for each distinct word and kept by the worker
-(bounded, emptied when full).  All words of a chunk take their steps together.
+(bounded; when full, and after a task, the words that came most often stay).  All
+words of a chunk take their steps together.
 
 ``log_inclusion`` is the log chance that the segmentation enters the sample
 given the value that the (k+1)-th would have.  Random numbers are functions of
-the row's key, the sample's number and the place in the text only.
+the row's key (its id, or a column that is named), the sample's number and the
+place in the text only.
 
 Decoding joins the pieces, spaces for their marks and bytes for byte pieces,
 and drops the space that encoding put in front.
 
-Rows: a null text is empty; an empty text has the one segmentation of the
+Rows: U+2581 in a text is taken for a space, as the vocabulary has it stand for
+one, so such texts do not come back as they were (``round_trip`` is false); a
+null text is empty; an empty text has the one segmentation of the
 leading space; texts with fewer than k segmentations give fewer rows; repeated
 rows give equal rows; a null key counts as 0.  An empty table gives an empty
 result.
@@ -33,10 +37,8 @@ result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, table
-from .textbatch import U64, chunks, mix, ranges
-from .tokens import Numbered, public_path
+from .textbatch import U64, Numbered, chunks, hash_spans, mix, ranges
+from .tokens import public_path
 
 K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps during a task, and from one task to the next.
 CACHED_EDGES, KEPT_EDGES = 10_000_000, 2_000_000
-_WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 
 
 class Vocabulary:
@@ -124,10 +125,15 @@ class Vocabulary:
         with np.errstate(over="ignore"):
             return ((key.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
+    def spell(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, list[int]]:
+        """UTF-8 of what rows of ids (one after the other) stand for, still with
+        the space in front, and where each row begins."""
+        n = self.raw_first[ids + 1] - self.raw_first[ids]
+        return self.raw[ranges(self.raw_first[ids], n)].tobytes(), np.concatenate(([0], np.cumsum(n)))[bounds].tolist()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that the ids stand for."""
-        n = self.raw_first[ids + 1] - self.raw_first[ids]
-        out = self.raw[ranges(self.raw_first[ids], n)].tobytes()
+        out, _ = self.spell(ids, np.array([0, len(ids)]))
         return out[1:] if out[:1] == b" " else out
 
 
@@ -139,7 +145,7 @@ class Growing:
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.data):
-            data = np.zeros(max(len(self.data) * 5 // 4, self.n + len(more)), self.data.dtype)
+            data = np.zeros(max(len(self.data) * 3 // 2, self.n + len(more)), self.data.dtype)
             data[: self.n] = self.data[: self.n]
             self.data = data
         self.data[self.n : self.n + len(more)] = more
@@ -158,7 +164,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.number = Numbered()
+        self.number, self.seen = Numbered(), np.zeros(0, np.int64)
         self.held = {name: Growing(kind) for name, kind in (("root", np.int32), ("first", np.int32), ("p", np.float64), ("next", np.int32), ("id", np.int32), ("spelt", np.int32), ("spelt_first", np.int32))}
         for name in ("first", "spelt_first"):
             self.held[name].add(np.zeros(1, np.int32))
@@ -167,20 +173,53 @@ class Lattices:
     def end_task(self) -> None:
         """Idle workers share the machine with what runs next."""
         if len(self.p) > KEPT_EDGES:
-            self.clear()
+            self.forget()
+
+    def forget(self) -> None:
+        """Keep the words that came most often, with ``KEPT_EDGES`` edges at most."""
+        ends = np.append(self.root[1:], len(self.first) - 1)
+        edges = (self.first[ends] - self.first[self.root]).astype(np.int64)
+        least = 2
+        while edges[self.seen >= least].sum() > KEPT_EDGES:
+            least *= 2
+        keep = np.flatnonzero(self.seen >= least)
+        words = list(self.number)
+        words = [words[k] for k in keep.tolist()]
+        root, size, edges = self.root[keep].astype(np.int64), (ends - self.root)[keep].astype(np.int64), edges[keep]
+        node, edge = ranges(root, size), ranges(self.first[root], edges)
+        out = self.first[node + 1] - self.first[node]
+        moved = np.cumsum(size) - size
+        next_ = self.next[edge]
+        next_ = np.where(next_ < 0, -1, next_ + np.repeat(moved - root, edges))
+        id_, p = self.id[edge].astype(np.int64), self.p[edge].copy()
+        spelled = np.flatnonzero(id_ < 0)
+        k = -1 - id_[spelled]
+        many = (self.spelt_first[k + 1] - self.spelt_first[k]).astype(np.int64)
+        spelt = self.spelt[ranges(self.spelt_first[k], many)]
+        id_[spelled] = -1 - np.arange(len(spelled))
+        self.clear()
+        self.number.update((w, i) for i, w in enumerate(words))
+        self.seen = np.ones(len(words), np.int64)
+        for name, x in (("root", moved), ("first", np.cumsum(out)), ("p", p), ("next", next_), ("id", id_), ("spelt", spelt), ("spelt_first", np.cumsum(many))):
+            self.held[name].add(x)
+        self.publish()
 
     def publish(self) -> None:
         self.root, self.first, self.p, self.next, self.id, self.spelt, self.spelt_first = (x.all() for x in self.held.values())
 
-    def read(self, texts: list[list[str]]) -> np.ndarray:
-        """Numbers of all words; learns new ones."""
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, and how many each text has; learns new ones."""
         if len(self.p) > CACHED_EDGES:
-            self.clear()
-        out = self.number.number_all(chain.from_iterable(texts), sum(map(len, texts)))
-        new = self.number.take_new()
-        if new:
-            self.learn(new)
-        return out
+            self.forget()
+        buf, start, end, sizes = words_of(texts)
+        out, at = self.number.number(hash_spans(buf, start, end))
+        seen = np.bincount(out, minlength=len(self.number))
+        seen[: len(self.seen)] += self.seen
+        self.seen = seen
+        if len(at):
+            raw = memoryview(buf)
+            self.learn([str(raw[a:b], "utf-8") for a, b in zip(start[at].tolist(), end[at].tolist())])
+        return out, sizes
 
     def learn(self, words: list[str]) -> None:
         v = self.vocabulary
@@ -283,15 +322,25 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def words_of(text: str) -> list[str]:
-    """Words with the spaces before them; a space stands for its mark."""
-    return _WORD.findall(" " + text.replace(MARK, " "))
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 of all texts, each with a space in front and spaces for marks; the
+    bounds of their words; and how many words each text has.  A word is a line
+    feed, or spaces and what follows them up to the next space or line feed."""
+    raw = [(" " + t.replace(MARK, " ")).encode() for t in texts]
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    first = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    space, feed = buf == 32, buf == 10
+    starts = feed | space
+    starts[1:] &= feed[1:] | ~space[:-1]
+    starts[1:] |= feed[:-1]
+    starts[first[:-1]] = True
+    start = np.flatnonzero(starts)
+    return buf, start, np.append(start[1:], len(buf)), np.diff(np.searchsorted(start, first))
 
 
 def truncated(log_mass: np.ndarray, below: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel(log_mass) given that it is less than ``below``."""
-    with np.errstate(divide="ignore"):
-        return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-below, np.log(-np.log(u)) - log_mass))
+    return -np.logaddexp(-below, np.log(-np.log(u)) - log_mass)
 
 
 class _Found:
@@ -313,9 +362,7 @@ class _Found:
 def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its sample: (edges, log probability, perturbed value, log
     inclusion), best first."""
-    cut = [words_of(t) for t in texts]
-    words = lattices.read(cut)
-    sizes = np.array([len(c) for c in cut], np.int64)
+    words, sizes = lattices.read(texts)
     first = np.concatenate(([0], np.cumsum(sizes)))
     with np.errstate(over="ignore"):
         seed = mix(keys.astype(np.int64).view(U64) ^ U64(0xA0761D6478BD642F))
@@ -344,16 +391,19 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = K) -
         total = np.concatenate(([0.0], np.cumsum(np.log(p))))
         upto = total[:-1] - (total[ends[:-1]] - before)[owner]
         logs = before + total[ends[1:]] - total[ends[:-1]]
-        with np.errstate(divide="ignore", over="ignore"):
-            rest = np.where(p >= 1.0 - 1e-12, -np.inf, np.log(np.maximum(1.0 - p, 1e-300)))
-            for i, taken in enumerate(barred):
-                if taken is not None:  # of the set that was taken off, what remains beside this edge
-                    first_edge, last_edge, out = taken
-                    left = 1.0 - lattices.p[out].sum()
-                    rest[ends[i]] = np.log(left) if left > 1e-12 and len(out) < last_edge - first_edge else -np.inf
-            place = np.arange(len(edges)) + (starts - ends[:-1])[owner]
-            u = uniform((lane(who, turn) ^ U64(0x1D8E4E27C47D124F))[owner] + place.astype(U64) * U64(0xEB44ACCAB455D165))
-        bound = truncated(upto + rest, values[owner], u)
+        rest = 1.0 - p
+        rest[p >= 1.0 - 1e-12] = 0.0
+        for i, taken in enumerate(barred):
+            if taken is not None:  # of the set that was taken off, what remains beside this edge
+                first_edge, last_edge, out = taken
+                left = 1.0 - lattices.p[out].sum()
+                rest[ends[i]] = left if left > 1e-12 and len(out) < last_edge - first_edge else 0.0
+        open_ = np.flatnonzero(rest)
+        by = owner[open_]
+        with np.errstate(over="ignore"):
+            u = uniform((lane(who, turn) ^ U64(0x1D8E4E27C47D124F))[by] + (open_ + (starts - ends[:-1])[by]).astype(U64) * U64(0xEB44ACCAB455D165))
+        bound = np.full(len(edges), -np.inf)
+        bound[open_] = truncated(upto[open_] + np.log(rest[open_]), values[by], u)
         return [_Found(parents[i], int(starts[i]), edges[a:b], units[a:b], upto[a:b], bound[a:b], float(values[i]), float(logs[i]), None if barred[i] is None else barred[i][2])
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist()))]
 
@@ -446,40 +496,45 @@ def _sample(path: str, k: int, digest: bool):
         lattices = lattices_of(path)
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
-                keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
-                rows = {x: [] for x in ("key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", "ids_crc32", "round_trip")}
-                got = sample(lattices, texts, np.asarray(keys.fill_null(0), np.int64), k)
+                keys, texts, seeds = part.column(0), [t or "" for t in part.column(1).to_pylist()], part.column(2)
+                rows = {x: [] for x in ("key", "seed", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", "ids_crc32", "round_trip")}
+                got = sample(lattices, texts, np.asarray(seeds.fill_null(0), np.int64), k)
                 all_ids, bounds = ids_of([f[0] for found in got for f in found], lattices)
+                narrow = all_ids.astype("<i4")
+                if digest:
+                    raw, spelt = lattices.vocabulary.spell(all_ids, bounds)
                 place = 0
-                for key, text, found in zip(keys.to_pylist(), texts, got):
-                    plain = text.replace(MARK, " ").encode() if digest else b""
+                for key, seed, text, found in zip(keys.to_pylist(), seeds.to_pylist(), texts, got):
+                    plain = text.encode() if digest else b""
                     for i, (_, log, value, inclusion) in enumerate(found):
-                        ids = all_ids[bounds[place] : bounds[place + 1]]
-                        place += 1
-                        for name, x in zip(rows, (key, i, len(ids), log, value, inclusion)):
+                        a, b = int(bounds[place]), int(bounds[place + 1])
+                        for name, x in zip(rows, (key, seed, i, b - a, log, value, inclusion)):
                             rows[name].append(x)
                         if digest:
-                            rows["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
-                            rows["round_trip"].append(lattices.vocabulary.decode(ids) == plain)
-                kinds = {"key": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
+                            rows["ids_crc32"].append(zlib.crc32(narrow[a:b]))
+                            rows["round_trip"].append(raw[spelt[place] + 1 : spelt[place + 1]] == plain)
+                        place += 1
+                kinds = {"key": pa.int64(), "seed": pa.int64(), "sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "log_inclusion": pa.float64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "round_trip": pa.bool_()}
                 names = [n for n in rows if digest or n not in ("ids_crc32", "round_trip")]
                 # The ids of all rows lie one after the other already.
-                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(all_ids.astype(np.int32)))
+                held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(narrow))
                 yield pa.RecordBatch.from_arrays([held if n == "ids" else pa.array(rows[n], kinds[n]) for n in names], names)
         lattices.end_task()
 
     return run
 
 
-_BASE = "key long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids array<int>"
+_BASE = "key long, seed long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
-def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, digest: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = K, digest: bool = False, seed_col: str | None = None) -> DataFrame:
     """Rows (id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids), up
     to k a document, in order of ``perturbed``; with ``digest`` also the ids'
-    crc32 and whether decoding gives the text back."""
-    slim = docs.select(col(id_col).cast("long").alias("key"), col(text_col).alias("text"))
+    crc32 and whether decoding gives the text back.  The id seeds a row's random
+    numbers, or else the column ``seed_col``, which then follows the id."""
+    slim = docs.select(col(id_col).cast("long").alias("key"), col(text_col).alias("text"), col(seed_col or id_col).cast("long").alias("seed"))
     out = slim.mapInArrow(_sample(path, k, digest), _BASE + (", ids_crc32 long, round_trip boolean" if digest else ""))
+    out = out.withColumnRenamed("seed", seed_col) if seed_col else out.drop("seed")
     return out.withColumnRenamed("key", id_col)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LAST_KEY, Store, col, free
+from .common import LAST_KEY, Store, col, free, least_rows
 from .components import components
 from .textbatch import U64, Words, chunks, ranges
 
@@ -196,13 +196,14 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each component: of its least id (a null id counts as the
-    largest), and among rows that share the id, of the least text hash."""
+    largest), among rows that share the id, of the least text hash, and among
+    rows that share both the least by their other columns."""
     key, version = free(docs, "row_key", "row_version")
     groups = clusters(docs, id_col, text_col, distance)
     first = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("id", F.lit(LAST_KEY)).alias("id"), "version")).alias("x"))
     first = first.select(F.col("x.id").alias(key), F.col("x.version").alias(version))
     keyed = docs.withColumns({key: F.coalesce(col(id_col).cast("long"), F.lit(LAST_KEY)), version: F.xxhash64(col(text_col))})
-    return keyed.join(first, [key, version], "left_semi").dropDuplicates([key, version]).drop(key, version)
+    return least_rows(keyed.join(first, [key, version], "left_semi"), docs.columns, [key, version])
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ is bounded in bytes unless a single text is longer.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -93,28 +94,46 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts())
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word: its length and its bytes, eight at a
-        time, each step a bijection of what came before."""
-        size = self.end - self.start
-        padded = np.zeros(len(self.buf) + 8, np.uint8)
-        padded[: len(self.buf)] = self.buf
-        lanes = np.ndarray((len(self.buf) + 1,), "<u8", padded, 0, (1,))
-        base = U64(LANE_BASE[which])
-        out = mix(size.astype(U64) * base)
-        todo = np.flatnonzero(size <= SHORT)
-        for at in range(0, SHORT, 8):
-            todo = todo[size[todo] > at]
-            if not len(todo):
-                break
-            lane = lanes[self.start[todo] + at] & _MASKS[np.minimum(size[todo] - at, 8)]
-            out[todo] = mix((out[todo] ^ lane) * base)
-        rest = np.flatnonzero(size > SHORT)
-        if len(rest):
-            import xxhash
-
-            raw = memoryview(padded)
-            out[rest] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], which) for a, b in zip(self.start[rest].tolist(), self.end[rest].tolist())), U64, len(rest))
-        return out
+        return hash_spans(self.buf, self.start, self.end, which)
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: of its length and its bytes, eight
+    at a time, each step a bijection of what came before."""
+    size = end - start
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    base = U64(LANE_BASE[which])
+    out = mix(size.astype(U64) * base)
+    todo = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        todo = todo[size[todo] > at]
+        if not len(todo):
+            break
+        lane = lanes[start[todo] + at] & _MASKS[np.minimum(size[todo] - at, 8)]
+        out[todo] = mix((out[todo] ^ lane) * base)
+    rest = np.flatnonzero(size > SHORT)
+    if len(rest):
+        import xxhash
+
+        raw = memoryview(padded)
+        out[rest] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], which) for a, b in zip(start[rest].tolist(), end[rest].tolist())), U64, len(rest))
+    return out
+
+
+class Numbered(dict):
+    """Gives every hash that it has not met the next number."""
+
+    def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all, and for each new number the place where it came."""
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = np.fromiter(map(self.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(known < 0)
+        new = new[np.argsort(at[new])]
+        known[new] = len(self) + np.arange(len(new))
+        self.update(zip(distinct[new].tolist(), known[new].tolist()))
+        return known[which], at[new]
 
 
 #: Keep the first 0 to 8 bytes of eight.

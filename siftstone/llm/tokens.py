@@ -24,17 +24,17 @@ from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbatch
 from .common import col, free
-from .textbatch import buffer_of, chunks, ranges
+from .textbatch import Numbered, chunks, ranges
 
 LIMIT = 2048
 #: Symbols beyond which a sequence's pairs are held by rank.
@@ -212,28 +212,8 @@ class Merges:
         return total
 
 
-class Numbered(dict):
-    """Gives every key that it has not met the next number."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        self[key] = number = len(self)
-        self.new.append(key)
-        return number
-
-    def number_all(self, keys: Iterable, count: int) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, count)
-
-    def take_new(self) -> list:
-        new, self.new = self.new, []
-        return new
-
-
 class Words:
-    """Numbers words as they come.  Beyond ``limit`` words, those that came
+    """Numbers words (by their hashes) as they come.  Beyond ``limit`` words, those that came
     once since the last time are forgotten."""
 
     def __init__(self, limit: int = CACHED):
@@ -256,15 +236,14 @@ class Words:
             self.number = Numbered()
             self.number.update((words[k], i) for i, k in enumerate(kept.tolist()))
             self.seen = np.ones(len(kept), np.int64)
-        data, offs = buffer_of(batch)
-        raw = data.tobytes()
-        texts = [raw[a:b].split() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        index = self.number.number_all(chain.from_iterable(texts), int(sizes.sum()))
+        words = textbatch.Words(batch)
+        index, at = self.number.number(words.hashes())
+        raw = memoryview(words.buf)
+        new = [bytes(raw[a:b]) for a, b in zip(words.start[at].tolist(), words.end[at].tolist())]
         seen = np.bincount(index, minlength=len(self.number))
         seen[: len(self.seen)] += self.seen
         self.seen = seen
-        return index, sizes, self.number.take_new(), kept
+        return index, words.counts(), new, kept
 
 
 def rows_of(first: np.ndarray, flat: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
