@@ -132,7 +132,39 @@ def find_symbol(units: DataFrame, name: str, fuzzy: bool = False) -> DataFrame:
     return units.where((c.contains(name.lower())) | (F.levenshtein(c, F.lit(name.lower())) <= 2)) if fuzzy else units.where(F.col("name") == name)
 
 
-def file_summary(units: DataFrame) -> DataFrame:
-    """Names of classes, functions and methods of each file."""
+def parse_imports(files: DataFrame) -> DataFrame:
+    """(path, module, names, level) of the imports of Python files."""
+    schema = pa.schema([("path", pa.string()), ("module", pa.string()), ("names", pa.list_(pa.string())), ("level", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([i for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in imports_of(p, s or "")], schema=schema)
+
+    return files.select("path", "source").mapInArrow(run, "path string, module string, names array<string>, level int")
+
+
+def script_imports(files: DataFrame) -> DataFrame:
+    """(path, module) of the imports and requires of JavaScript or TypeScript."""
+    pattern = r"""(?:\bfrom\s*|\bimport\s*\(?\s*|\brequire\s*\(\s*)['"]([^'"\n]+)['"]"""
+    return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("source", F.lit(pattern), F.lit(1)))).alias("module"))
+
+
+def importers(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, importer): which files import a file, by its dotted path (or that
+    of its folder, for ``__init__``)."""
+    dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/__init__$", ""), "/", ".")
+    return files.select("path", dotted.alias("module")).join(imports.select(F.col("path").alias("importer"), "module").distinct(), "module").where("path <> importer").select("path", "importer")
+
+
+def file_summary(units: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """Names of classes, functions and methods of each file, and with its
+    imports also these and the files that import it."""
     names = lambda kinds: F.array_sort(F.collect_list(F.when(F.col("type").isin(*kinds), F.col("name"))))
-    return units.groupBy("path").agg(names(["class"]).alias("classes"), names(["function", "async_function"]).alias("functions"), names(["method", "property"]).alias("methods"))
+    out = units.groupBy("path").agg(names(["class"]).alias("classes"), names(["function", "async_function"]).alias("functions"), names(["method", "property"]).alias("methods"))
+    if imports is None:
+        return out
+    none = F.array().cast("array<string>")
+    mine = imports.groupBy("path").agg(F.array_sort(F.collect_set("module")).alias("imports"))
+    theirs = importers(imports, out.select("path")).groupBy("path").agg(F.array_sort(F.collect_set("importer")).alias("importers"))
+    out = out.join(mine, "path", "left").join(theirs, "path", "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("imports", "importers")})

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import routing
 from siftstone.functions.arrays import bind
+from siftstone.functions.lineage import kept
 from siftstone.functions.text import truncate
 from siftstone.functions.times import freshness
 from siftstone.operators import code, conversation, graph, hierarchy, retrieval, timeindex, tools
@@ -108,3 +109,58 @@ def search_pages(pages: DataFrame, terms: Sequence[str], k: int = 5) -> DataFram
 
     texts = pages.select(F.col("page_id").alias("doc_id"), strip_tags(F.col("html")).alias("text"))
     return pages.select(F.col("page_id").alias("id"), "url").join(F.broadcast(retrieval.bm25(texts, terms, k)), "id")
+
+
+def retrieve_by_words(questions: DataFrame, knowledge: DataFrame, k: int = 3) -> DataFrame:
+    """(qid, id, score, rank): records by how many of a question's words of four
+    letters or more they hold, ties by id.  Words are joined by key."""
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]{4,})"), F.lit(1)))).alias("w")
+    hits = questions.select("qid", words("question")).join(knowledge.select("id", words("content")), "w").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("score"))
+    return retrieval.top_k(hits, k, "score", "id", "qid")
+
+
+def converse(turns: DataFrame, knowledge: DataFrame, ask: Callable[[str], str], k: int = 3, held: int = 6) -> DataFrame:
+    """Every user turn of a chat from rewriting to answer: (conv_id, turn,
+    question, rewritten, cited, answer).
+
+    A question that refers back is rewritten with what the turns before cited
+    (for their questions as they stood), then ``k`` records are retrieved and
+    cited in rank order, and a provider answers from records, history and question.
+    ``cited`` is the memory that later turns refer to."""
+    asked = conversation.history(turns, held).where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"), "history")
+    asked = asked.withColumn("qid", F.struct("conv_id", "turn"))
+    cited = lambda q: retrieve_by_words(q, knowledge, k).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("cited"))
+    first = asked.join(cited(asked.select("qid", "question")), "qid", "left").withColumn("best", F.concat(F.lit("source "), F.get("cited", F.lit(0)).cast("string")))
+    before = conversation.recent(first, "best", 5, "cites").drop("cited", "best")
+    plain = F.array().cast("array<string>")
+    ready = before.withColumn("rewritten", F.when(routing.needs_rewriting(F.col("question")), routing.rewrite(F.col("question"), F.col("cites"), plain)))
+    ready = ready.withColumn("query", F.coalesce("rewritten", "question")).drop("cites")
+    found = ready.join(cited(ready.select("qid", F.col("query").alias("question"))), "qid", "left").withColumn("cited", F.coalesce("cited", F.array().cast("array<bigint>")))
+    sources = F.array_join(F.transform("cited", lambda x: F.concat(F.lit("source "), x.cast("string"))), ", ")
+    prompt = F.concat_ws("\n\n", F.nullif("history", F.lit("")), F.nullif(sources, F.lit("")), F.concat(F.lit("user: "), "query"))
+    done = tools.generate(found.select("conv_id", "turn", "question", "rewritten", "cited", prompt.alias("prompt")), ask)
+    return done.drop("prompt")
+
+
+def hierarchical(nodes: DataFrame, hits: DataFrame, summaries: DataFrame, refs: DataFrame, k: int = 5, most: int = 3, targets: DataFrame | None = None) -> DataFrame:
+    """Hierarchical retrieval in one flow: documents by summary, nodes within
+    them, and beside every hit its ancestors, siblings, up to ``most`` referred
+    nodes, its citation (by the deepest section above it) and its context."""
+    best = hierarchy.retrieve(hits, summaries, k=k, targets=targets).select("id", "document_id", "score")
+    best = kept(retrieval.top_k(best, k))
+    chain = hierarchy.parent_chain(nodes, best).select("id", F.posexplode_outer("path").alias("depth", "above"))
+    titles = nodes.select(F.col("id").alias("above"), "node_type", "level", "title")
+    line = hierarchy.context(F.col("level"), F.col("title"), F.lit(""))
+    up = chain.join(titles, "above", "left").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("depth", "above"))), lambda x: x["above"]).alias("parents"),
+        F.max_by("title", F.when(F.col("node_type") == "section", F.col("depth"))).alias("section"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("depth", line.alias("line"))))), lambda x: x["line"]), "\n").alias("above_lines"))
+    beside = hierarchy.siblings(nodes, best).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "sibling_id"))), lambda x: x["sibling_id"]).alias("siblings"))
+    far = refs.where("target_id is not null").select(F.col("source_id").alias("id"), F.col("target_id")).distinct().join(best.select("id"), "id", "left_semi")
+    far = far.join(nodes.select(F.col("id").alias("target_id"), "node_type", "title", "content"), "target_id").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("target_id", F.concat(F.lit("- ["), "node_type", F.lit("] "), F.coalesce("title", F.lit("")), F.lit(": "), truncate(F.col("content"), 200)).alias("line")))), 1, most).alias("far"))
+    rows = best.join(up, "id", "left").join(beside, "id", "left").join(far, "id", "left").join(nodes.select("id", "content"), "id")
+    none = F.array().cast("array<string>")
+    cite = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] document "), F.col("document_id").cast("string"), F.coalesce(F.concat(F.lit(" > "), "section"), F.lit("")))
+    related = F.transform("far", lambda x: x["line"])
+    text = F.concat_ws("\n", F.nullif("above_lines", F.lit("")), F.col("content"), F.when(F.size("far") > 0, F.concat(F.lit("Related:\n"), F.array_join(related, "\n"))))
+    return rows.select("rank", "id", "score", F.coalesce("parents", none).alias("parents"), F.coalesce("siblings", none).alias("siblings"), F.coalesce(F.transform("far", lambda x: x["target_id"]), none).alias("referred"), cite.alias("citation"), text.alias("context"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,3 +71,18 @@ def save_sessions(turns: DataFrame, path: str, user_col: str = "user_id") -> Non
 def load_sessions(spark, path: str, schema: str, user_id: str | None = None) -> DataFrame:
     found = spark.read.schema(schema).json(path)
     return found if user_id is None else found.where(F.col("user_id") == user_id)
+
+
+def extract_facts(turns: DataFrame, ask: Callable[[str], str], n: int = 5, last: int = 10, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, order, fact, category): at every n-th turn a provider is asked for
+    facts in the last turns, as a JSON array; replies without one give none, a
+    missing category is ``general``, an empty fact is no fact."""
+    from siftstone.functions.text import json_array
+    from siftstone.operators.tools import generate
+
+    w = Window.partitionBy(key).orderBy(order)
+    said = F.concat(F.upper(F.coalesce("role", F.lit(""))), F.lit(": "), F.coalesce("text", F.lit("")))
+    held = turns.select(key, order, F.row_number().over(w).alias("number"), F.array_join(F.collect_list(said).over(w.rowsBetween(1 - last, 0)), "\n").alias("prompt"))
+    replies = generate(held.where(F.col("number") % n == 0).drop("number"), ask)
+    found = replies.select(key, order, F.explode(F.from_json(json_array(F.col("answer")), "array<struct<fact:string,category:string>>")).alias("x"))
+    return found.where("x.fact <> ''").select(key, order, "x.fact", F.coalesce("x.category", F.lit("general")).alias("category"))

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.arrays import windows
+from siftstone.functions.lineage import kept
 from siftstone.functions.text import shingle_words
 from siftstone.functions.vectors import equal_share
 
 #: Fixed values of the signature: a Mersenne prime and the seed of its multipliers.
 PRIME, SEED = 2**31 - 1, 42
 HASHES, BANDS, ROWS, SHINGLE, THRESHOLD = 128, 16, 8, 3, 0.8
+#: Classes of a bucket that one task pairs with the rest of it.
+PART = 1024
 
 
 def multipliers(n: int = HASHES, seed: int = SEED) -> list[tuple[int, int]]:
@@ -51,12 +54,21 @@ def classes(signed: DataFrame) -> DataFrame:
     return signed.groupBy("signature").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"))
 
 
+def buckets(signature: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """One hash for each band of a signature."""
+    return F.array(*(F.xxhash64(F.lit(i), F.slice(signature, i * rows + 1, rows)) for i in range(bands)))
+
+
 def candidates(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Pairs (a, b) of classes that share a band."""
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.array_join(F.slice("signature", i * rows + 1, rows), ",").alias("bucket")) for i in range(bands)))
-    banded = sets.select("class_id", F.inline(keys))
-    left, right = banded.withColumnRenamed("class_id", "a"), banded.withColumnRenamed("class_id", "b")
-    return left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    """Pairs (a, b) of classes that share a band.  Buckets of one class go
+    before the join; one side of a crowded bucket is dealt into parts of about
+    ``PART`` classes, so that no key's pairs are the work of one task."""
+    banded = sets.select("class_id", F.explode(buckets(F.col("signature"), bands, rows)).alias("bucket"))
+    crowded = banded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    held = banded.join(crowded, "bucket")
+    left = held.select("bucket", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"), F.col("class_id").alias("a"))
+    right = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("class_id").alias("b"))
+    return left.join(right, ["bucket", "part"]).where("a < b").select("a", "b").distinct()
 
 
 def near_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -74,8 +86,8 @@ def first_match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("h"))
     firsts = hashed.groupBy("h").agg(F.min("id").alias("first"))
     exact = hashed.join(firsts, "h").select("id", F.when(F.col("first") < F.col("id"), F.col("first")).alias("same"))
-    signed = signatures(docs, id_col, text_col)
-    sets = classes(signed)
+    signed = kept(signatures(docs, id_col, text_col))
+    sets = kept(classes(signed))
     best = near_pairs(sets, threshold).groupBy(F.col("b").alias("class_id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("a"))).alias("x"))
     member = signed.join(sets.select("signature", "class_id"), "signature").select("id", "class_id")
     near = member.join(best, "class_id", "left").select("id", F.when(F.col("class_id") < F.col("id"), F.col("class_id")).otherwise(F.col("x.a")).alias("near"), F.when(F.col("class_id") < F.col("id"), 1.0).otherwise(-F.col("x.s")).alias("s"))

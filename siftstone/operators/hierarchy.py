@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftstone.functions.lineage import kept
+
 MIN_PARAGRAPH = 50
-DEPTH = 10
 
 
 def line_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,15 +63,23 @@ def references(nodes: DataFrame) -> DataFrame:
     return found.join(targets, ["document_id", "key", "kind"], "left").select("source_id", "document_id", "text", "kind", "target_id", F.col("target_id").isNotNull().alias("resolved"))
 
 
-def parent_chain(nodes: DataFrame, hits: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(id, path): each hit's ancestors from the root down; a missing parent
-    ends the chain."""
+def parent_chain(nodes: DataFrame, hits: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, path): each hit's ancestors from the root down, all of them, or at
+    most ``depth``.  A missing parent ends the chain, and so does one that is in
+    it already.  A round is one join of what has not ended, which is written."""
     up = nodes.select(F.col("id").alias("node"), "parent_id")
-    walk = hits.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path"))
-    for _ in range(depth):
+    walk = kept(hits.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("path")))
+    done, rounds = None, 0
+    while depth is None or rounds < depth:
         step = walk.join(up, walk["at"] == up["node"], "left")
-        walk = step.select("id", F.col("parent_id").alias("at"), F.when(F.col("parent_id").isNotNull(), F.concat(F.array("parent_id"), "path")).otherwise(F.col("path")).alias("path"))
-    return walk.select("id", "path")
+        ends = F.col("parent_id").isNull() | (F.col("parent_id") == F.col("id")) | F.array_contains("path", F.col("parent_id"))
+        step = kept(step.select("id", F.when(~ends, F.col("parent_id")).alias("at"), F.when(ends, F.col("path")).otherwise(F.concat(F.array("parent_id"), "path")).alias("path")))
+        ended = step.where("at is null").select("id", "path")
+        done, walk, rounds = ended if done is None else done.unionByName(ended), step.where("at is not null"), rounds + 1
+        if walk.isEmpty():
+            break
+    rest = walk.select("id", "path")
+    return rest if done is None else done.unionByName(rest)
 
 
 def siblings(nodes: DataFrame, hits: DataFrame | None = None, most: int = 2) -> DataFrame:

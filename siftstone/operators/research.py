@@ -1,19 +1,28 @@
 """A bounded loop of research and verification over JSON replies.
 
-The model is any function from a prompt to text; replies are parsed as tables,
-and claims that stay unresolved after the last round are carried as unknown.
+The model is any function from a prompt to text; replies are parsed as tables.
+The first reply gives findings and contradictions; each round of verification
+asks about what is open, and what stays uncertain is asked again as a pair of
+unknown claims, until nothing is or the rounds are used up.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROUNDS = 3
+#: The keys of each kind of reply item, with what stands for a missing one.
+FINDING = {"claim": "", "sources": [], "confidence": "medium", "notes": ""}
+CONTRADICTION = {"topic": "", "claim_a": "", "source_a": "", "claim_b": "", "source_b": ""}
+RESOLVED = {"original_contradiction": "", "verified_fact": "", "explanation": "", "confidence": "medium", "sources": []}
+UNCERTAIN = {"topic": "", "reason": "", "recommendation": ""}
 
 
 @dataclass
@@ -37,22 +46,45 @@ def rescue(reply: str) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+def items(reply: dict, key: str, kind: dict) -> list[dict]:
+    """The objects under a key of a reply, in the shape of their kind."""
+    listed = reply.get(key)
+    return [{k: x.get(k, default) for k, default in kind.items()} for x in listed if isinstance(x, dict)] if isinstance(listed, list) else []
+
+
 def research(question: str, ask: Callable[[str], str], rounds: int = ROUNDS) -> Research:
-    first = rescue(ask(f"Research: {question}"))
-    out = Research(question, first.get("findings") or [], first.get("contradictions") or [], summary=first.get("summary") or "")
-    open_ = list(out.contradictions)
-    while open_ and out.iterations < rounds:
+    """One question's research.  An unreadable first reply gives an empty
+    result without a round, an unreadable later one ends the loop."""
+    out, first = Research(question), rescue(ask(f"Research: {question}"))
+    if not first:
+        return out
+    out.iterations, out.summary = 1, first.get("summary") or ""
+    out.findings, out.contradictions = items(first, "findings", FINDING), items(first, "contradictions", CONTRADICTION)
+    open_ = out.contradictions
+    while open_ and out.iterations <= rounds:
         out.iterations += 1
         reply = rescue(ask("Verify: " + json.dumps(open_, ensure_ascii=False)))
-        out.resolved += reply.get("resolved") or []
-        still = reply.get("still_uncertain") or []
-        out.findings += reply.get("new_findings") or []
-        open_ = still
-    out.uncertain = [{"claim": c.get("claim", "Unknown"), "reason": c.get("reason", "unresolved")} if isinstance(c, dict) else {"claim": str(c), "reason": "unresolved"} for c in open_]
+        if not reply:
+            break
+        out.resolved += items(reply, "resolved_claims", RESOLVED)
+        still = items(reply, "still_uncertain", UNCERTAIN)
+        out.uncertain += still
+        open_ = [CONTRADICTION | {"topic": u["topic"], "claim_a": "Unknown", "claim_b": "Unknown"} for u in still]
     return out
 
 
-def as_table(spark: SparkSession, results: list[Research]) -> DataFrame:
-    """A row a question with counts and the whole result as JSON."""
-    rows = [(r.question, len(r.findings), len(r.contradictions), len(r.resolved), len(r.uncertain), r.iterations, json.dumps(asdict(r), sort_keys=True)) for r in results]
-    return spark.createDataFrame(rows, "question string, findings int, contradictions int, resolved int, uncertain int, iterations int, result string")
+_OUT = "question string, findings int, contradictions int, resolved int, uncertain int, iterations int, result string"
+
+
+def research_all(questions: DataFrame, ask: Callable[[str], str], rounds: int = ROUNDS, column: str = "question") -> DataFrame:
+    """A row a question with counts and the whole result as JSON; ``ask`` runs
+    on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [research(q, ask, rounds) for q in batch.column(0).to_pylist() if q is not None]
+            lists = ([r.question for r in made], *([len(getattr(r, k)) for r in made] for k in ("findings", "contradictions", "resolved", "uncertain")), [r.iterations for r in made], [json.dumps(asdict(r), sort_keys=True) for r in made])
+            kinds = [pa.string(), *[pa.int32()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds)], [c.split()[0] for c in _OUT.split(", ")])
+
+    return questions.select(F.col(column).alias("question")).mapInArrow(run, _OUT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,11 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftstone.functions.lineage import kept
 from siftstone.functions.text import tokens
 from siftstone.functions.vectors import cosine
 
-#: Queries compared in one pass over the corpus.
-BLOCK = 4096
+#: Queries that a task holds, rows that it meets at once, and rows of a cell of
+#: the grid of many queries and a corpus.
+BLOCK, CHUNK, CELL = 4096, 1024, 200_000
+#: Rows that a bucket of the approximate index holds on average, and those of a
+#: crowded one that a task meets.
+BUCKET, PART = 512, 4096
 K1, B, RRF = 1.5, 0.75, 60
 
 
@@ -44,60 +50,107 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "id", *
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best ids of each query so far, by score, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of all queries for these ids.  Only what reaches a query's
+        last place is sorted."""
+        last = self.score[:, -1:]
+        row, col_ = np.nonzero((score > last) | ((score == last) & (ids < self.id[:, -1:]) & ~np.isneginf(score)))
+        if not len(row):
+            return
+        hit = np.unique(row)
+        rows = np.concatenate((np.repeat(hit, self.k), row))
+        s = np.concatenate((self.score[hit].ravel(), score[row, col_]))
+        i = np.concatenate((self.id[hit].ravel(), ids[col_]))
+        order = np.lexsort((i, -s, rows))
+        rows, s, i = rows[order], s[order], i[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < self.k
+        self.score[rows[keep], place[keep]], self.id[rows[keep], place[keep]] = s[keep], i[keep]
+
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        found = ~np.isneginf(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.sum(1))), pa.array(self.id[found]), pa.array(self.score[found])], ["qid", "id", "score"])
+
+
+def _meet(ids: np.ndarray, q: np.ndarray, k: int, keep_self: bool, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The k best of some corpus rows for each unit query."""
+    best, size = _Best(len(ids), k), 64
+    for own, vectors in parts:
+        at = 0
+        while at < len(own):  # few rows first, so that soon little is left to sort
+            some = own[at : at + size]
+            score = np.round(q @ _unit(vectors[at : at + size]).T, 6) + 0.0
+            if not keep_self:
+                score[ids[:, None] == some[None, :]] = -np.inf
+            best.add(score, some)
+            at, size = at + size, min(2 * size, CHUNK)
+    return best.batch(ids)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, keep_self: bool = True) -> DataFrame:
     """Exact cosine neighbours: (qid, id, score, rank); scores at 6 places.
 
-    ``queries`` has qid and embedding, ``corpus`` id and embedding.  Blocks of
-    queries meet the corpus as one matrix product a batch, every partition
+    ``queries`` has qid and embedding, ``corpus`` id and embedding; vectors of
+    another length than the longest query are like none (score 0).  Up to
+    ``BLOCK`` queries go to every task with the plan and meet its rows as matrix
+    products.  More are dealt into blocks, and the corpus into parts: a block
+    meets a part in a task of its own, so that no task holds more than ``BLOCK``
+    queries and ``CELL`` rows, and nothing passes through the driver.  Every cell
     keeps its own k best of each query, and only those are shuffled.
     """
     schema = "qid long, id long, score double"
-    out = None
-    listed = queries.select(F.col("qid").cast("long"), "embedding").orderBy("qid")
-    block: list = []
-
-    def scan(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows], np.int64)
-        width = max(len(r[1]) for r in rows)
-        q = np.zeros((len(rows), width))
-        for i, r in enumerate(rows):
-            q[i, : len(r[1])] = r[1]
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.size("embedding") > 0)
+    rows = corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    few = asked.limit(BLOCK + 1).collect()
+    if not few:
+        return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(few) <= BLOCK:
+        width = max(len(r[1]) for r in few)
+        ids, q = np.array([r[0] for r in few], np.int64), np.zeros((len(few), width))
+        for i, r in enumerate(few):
+            if len(r[1]) == width:
+                q[i] = r[1]
         q = _unit(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                own = np.asarray(batch.column(0), np.int64)
-                score = np.round(q @ _unit(_vectors(batch.column(1), width)).T, 6) + 0.0
-                if not keep_self:
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                s = np.concatenate((best_s, score), 1)
-                i = np.concatenate((best_i, np.broadcast_to(own, score.shape)), 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            keep = ~np.isneginf(best_s.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep]), pa.array(best_i.ravel()[keep]), pa.array(best_s.ravel()[keep])], ["qid", "id", "score"])
-
-        return corpus.select(F.col("id").cast("long"), "embedding").mapInArrow(run, schema)
-
-    for row in listed.toLocalIterator():
-        if row[1]:
-            block.append(row)
-        if len(block) == BLOCK:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
-    if block or out is None:
-        if not block:
-            return corpus.sparkSession.createDataFrame([], f"{schema}, rank int")
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return top_k(out, k, "score", "id", "qid")
-
-
-def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int = 8, seed: int = 7, width: int = 64, keep_self: bool = True) -> DataFrame:
+            yield _meet(ids, q, k, keep_self, ((np.asarray(b.column(0), np.int64), _vectors(b.column(1), width)) for b in batches))
+
+        return top_k(rows.mapInArrow(run, schema), k, "score", "id", "qid")
+
+    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        own = np.asarray(left["qid"], np.int64)
+        some = ((np.asarray(b.column(2), np.int64), _vectors(b.column(3), width)) for b in right.to_batches(max_chunksize=CHUNK))
+        return pa.Table.from_batches([_meet(own, _unit(_vectors(left["embedding"].combine_chunks(), width)), k, keep_self, some)])
+
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks, parts = n // BLOCK + 1, rows.count() // CELL + 1
+    deal = lambda df, name, n, other, m: df.select(F.pmod(F.xxhash64(name), F.lit(n)).alias(other[0]), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other[1]), name, "embedding")
+    left = deal(asked, "qid", blocks, ("block", "part"), parts).select(F.col("block").cast("int").alias("block"), F.col("part").cast("int").alias("part"), "qid", "embedding")
+    right = deal(rows, "id", parts, ("part", "block"), blocks).select(F.col("block").cast("int").alias("block"), F.col("part").cast("int").alias("part"), "id", "embedding")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, schema)
+    return top_k(found, k, "score", "id", "qid")
+
+
+def lsh_bits(rows: int) -> int:
+    """Bits of a bucket's code: buckets of about ``BUCKET`` rows at any size."""
+    return max(8, min(40, math.ceil(math.log2(max(rows, 1) / BUCKET))))
+
+
+def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int | None = None, seed: int = 7, width: int = 64, keep_self: bool = True) -> DataFrame:
     """Approximate neighbours: rows are indexed by random-hyperplane buckets,
-    queries look into theirs and those one bit away, and exact cosine ranks
-    what they find.  Every row is indexed."""
+    whose number grows with the corpus, queries look into theirs and those one
+    bit away (two, where codes have more than 12 bits), and exact cosine ranks what they find.  Every row is indexed; a
+    crowded bucket's rows are dealt into parts of about ``PART`` for the join.
+    Rows are found by likeness alone: corpora without near neighbours are
+    served better by ``knn``, which is exact."""
+    bits = bits or lsh_bits(corpus.count())
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
 
     def coder(flips: np.ndarray):
@@ -106,19 +159,27 @@ def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bit
                 side = (_vectors(batch.column(1), width) @ planes.T > 0).reshape(-1, tables, bits)
                 code = (side << np.arange(bits)).sum(2)
                 code = (code[:, :, None] ^ flips) + (np.arange(tables) << bits)[None, :, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(code.reshape(len(code), -1).astype(np.int64)), pa.list_(pa.int64()))], ["id", "embedding", "codes"])
+                code = code.reshape(len(code), -1).astype(np.int64)
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], ["id", "embedding", "codes"])
 
         return run
 
     plain = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
     schema = "id long, embedding array<float>, codes array<long>"
     rows = plain(corpus, "id").mapInArrow(coder(np.zeros(1, np.int64)), schema)
-    asked = plain(queries, "qid").mapInArrow(coder(np.concatenate(([0], 1 << np.arange(bits)))), schema)
-    pairs = asked.select(F.col("id").alias("qid"), F.explode("codes").alias("code")).join(rows.select("id", F.explode("codes").alias("code")), "code").select("qid", "id").distinct()
+    one = 1 << np.arange(bits)
+    two = (one[:, None] | one[None, :])[np.triu_indices(bits, 1)] if bits > 12 else one[:0]
+    asked = plain(queries, "qid").mapInArrow(coder(np.concatenate(([0], one, two))), schema)
+    indexed = kept(rows.select("id", F.explode("codes").alias("code")))
+    crowded = indexed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = indexed.join(crowded, "code").select("code", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    probes = asked.select(F.col("id").alias("qid"), F.explode("codes").alias("code")).join(crowded, "code").select("qid", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = probes.join(dealt, ["code", "part"]).select("qid", "id").distinct()
     if not keep_self:
         pairs = pairs.where("qid <> id")
-    q = asked.select(F.col("id").alias("qid"), F.col("embedding").alias("qe"))
-    scored = pairs.join(rows.select("id", "embedding"), "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    vectors, q = plain(corpus, "id"), plain(queries, "qid").select(F.col("id").alias("qid"), F.col("embedding").alias("qe"))
+    scored = pairs.join(vectors, "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
     return top_k(scored, k, "score", "id", "qid")
 
 

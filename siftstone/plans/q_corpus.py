@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftstone.functions import times
+from siftstone.functions.lineage import kept
 from siftstone.operators import dedup, graph, state, timeindex
 from siftstone.plans.registry import query, table
 
@@ -12,7 +13,7 @@ _AB = dedup.multipliers()
 _LIMBS = "0::BIGINT"
 for _i in range(4):
     _LIMBS = f"(({_LIMBS}) * 4294967296 + CAST('0x' || substr(d, {1 + 8 * _i}, 8) AS BIGINT)) % 2147483647"
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_À-ɏ\\s]', '', 'g'), '\\s+'), lambda x: x <> '')"
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}_\\s\\p{Z}]', '', 'g'), '[\\s\\p{Z}]+'), lambda x: x <> '')"
 
 
 def _shingle_sql(name: str, source: str, key: str, n: int) -> str:
@@ -45,18 +46,18 @@ def minhash_signature(spark, sf_dir):
 
 @query("lsh_candidates", f"WITH {SIGNED} SELECT a, b FROM cand")
 def lsh_candidates(spark, sf_dir):
-    return dedup.candidates(dedup.classes(dedup.signatures(_docs(spark, sf_dir))))
+    return dedup.candidates(kept(dedup.classes(dedup.signatures(_docs(spark, sf_dir)))))
 
 
 @query("near_dup_pairs", f"WITH {SIGNED} SELECT a, b, similarity FROM pairs WHERE similarity >= 0.8")
 def near_dup_pairs(spark, sf_dir):
     """Links between classes of equal signatures."""
-    return dedup.near_pairs(dedup.classes(dedup.signatures(_docs(spark, sf_dir))))
+    return dedup.near_pairs(kept(dedup.classes(dedup.signatures(_docs(spark, sf_dir)))))
 
 
 @query("near_dup_members", f"WITH {SIGNED} SELECT s.id, c.class_id, c.n FROM signed s JOIN classes c USING (signature)")
 def near_dup_members(spark, sf_dir):
-    signed = dedup.signatures(_docs(spark, sf_dir))
+    signed = kept(dedup.signatures(_docs(spark, sf_dir)))
     return signed.join(dedup.classes(signed), "signature").select("id", "class_id", "n")
 
 
@@ -221,10 +222,11 @@ def call_chain(spark, sf_dir):
 @query("entity_search", f"""WITH RECURSIVE {VERTICES},
 w AS (SELECT id, 1.0::DOUBLE AS score, [id] AS path FROM vertices WHERE id IN ('N1', 'N4') UNION ALL
   SELECT two.target, score * weight * 0.5::DOUBLE, list_append(path, two.target) FROM w JOIN two ON two.source = w.id WHERE len(path) <= 2 AND NOT list_contains(path, two.target))
-SELECT id, round(max(score), 6) AS score FROM w WHERE len(path) > 1 AND id NOT IN ('N1', 'N4') GROUP BY id""")
+SELECT id, round(max(score), 6) AS score, array_to_string(arg_min(path, (-round(score, 6), path)), '>') AS path FROM w WHERE len(path) > 1 AND id NOT IN ('N1', 'N4') GROUP BY id""")
 def entity_search(spark, sf_dir):
     v, e = _graph(spark, sf_dir)
-    return graph.entity_search(e, v.where(F.col("id").isin("N1", "N4")).select("id"), 2)
+    found = graph.entity_search(e, v.where(F.col("id").isin("N1", "N4")).select("id"), 2)
+    return found.select("id", "score", F.array_join("path", ">").alias("path"))
 
 
 @query("entities_in_question", """

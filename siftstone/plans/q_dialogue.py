@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from siftstone.functions import calculator, routing, text, times
+from siftstone.functions.lineage import kept
 from siftstone.operators import chunking, code, conversation, hierarchy, learned, research, tools
 from siftstone.plans.q_corpus import AS_OF, _as_of
 from siftstone.plans.q_retrieval import _hits
@@ -42,7 +45,7 @@ def section_tree(spark, sf_dir):
 SELECT n.id, p.parent_id || '>' || n.parent_id AS path FROM nodes n JOIN nodes p ON p.id = n.parent_id WHERE n.level = 2""")
 def parent_chain(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    chains = hierarchy.parent_chain(nodes, nodes.where("level = 2").select("id"), depth=2)
+    chains = hierarchy.parent_chain(nodes, nodes.where("level = 2").select("id"))
     return chains.select("id", F.array_join("path", ">").alias("path"))
 
 
@@ -293,12 +296,21 @@ def html_text(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "pages"), lambda h: [table_sources.visible_text(h)], "page_id", "html").select(F.col("id").alias("page_id"), F.col("chunk").alias("text"))
 
 
-@query("html_tables")
+@query("html_tables", """
+SELECT o_orderkey::BIGINT AS id, t AS table_index, 0 AS row_idx, c AS col_idx, CASE WHEN t = 0 THEN ['key', 'who & what'][c + 1] ELSE 'only' END AS col,
+  CASE WHEN t = 0 AND c = 0 THEN CAST(o_orderkey AS VARCHAR) WHEN t = 0 THEN o_orderpriority ELSE 'status ' || o_orderstatus END AS value
+FROM orders, (VALUES (0, 0), (0, 1), (1, 0)) AS v(t, c)""")
 def html_tables(spark, sf_dir):
-    return table_sources.extract_tables(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Two tables on a page for every order, one with a head section."""
+    cell = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    page = cell("<html><body><p>Order</p><table><caption> of one </caption><thead><tr><th>key</th><th>who &amp; what</th></tr></thead><tr><td>", F.col("o_orderkey"), "</td><td> <b>", F.col("o_orderpriority"),
+                "</b>\n</td></tr></table><div><table><tr><th>only</th></tr><tr><td>status <i>", F.col("o_orderstatus"), "</i></td></tr></table></div></body></html>")
+    return table_sources.table_cells(table_sources.extract_tables(table(spark, sf_dir, "orders").select("o_orderkey", page.alias("html")), "o_orderkey", "html"))
+
 
 
-@query("md_tables")
+@query("md_tables", """
+SELECT o_orderkey::BIGINT AS id, 0 AS table_index, 0 AS row_idx, unnest([0, 1]) AS col_idx, unnest(['key', 'priority']) AS col, unnest([CAST(o_orderkey AS VARCHAR), o_orderpriority]) AS value FROM orders""")
 def md_tables(spark, sf_dir):
     rows = F.concat_ws("\n", F.lit("Sales:"), F.lit("| key | priority |"), F.lit("|---|:-:|"), F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderpriority"), F.lit(" |")), F.lit("end"))
     docs = table(spark, sf_dir, "orders").select("o_orderkey", rows.alias("md"))
@@ -310,7 +322,18 @@ def chunk_chars(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), chunking.by_chars)
 
 
-@query("chunk_words")
+@query("chunk_words", r"""WITH RECURSIVE
+d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+e AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+s AS MATERIALIZED (SELECT doc_id, i, word, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS stop FROM e),
+-- a chunk from word i ends before the first later word that does not fit
+jump AS MATERIALIZED (
+  SELECT a.doc_id, a.i, greatest(coalesce(b.i, 0), a.i) + 1 AS next
+  FROM (SELECT doc_id, i, stop - length(word) + 1000 AS fits FROM s) a ASOF LEFT JOIN s b ON a.doc_id = b.doc_id AND a.fits >= b.stop),
+c AS (
+  SELECT doc_id, 0 AS n, 1::BIGINT AS i FROM d WHERE len(w) > 0 UNION ALL
+  SELECT c.doc_id, n + 1, next FROM c JOIN jump j ON j.doc_id = c.doc_id AND j.i = c.i WHERE next <= (SELECT len(w) FROM d WHERE d.doc_id = c.doc_id))
+SELECT c.doc_id::BIGINT AS id, n::INT AS chunk_index, array_to_string(w[c.i : next - 1], ' ') AS chunk FROM c JOIN jump j ON j.doc_id = c.doc_id AND j.i = c.i JOIN d ON d.doc_id = c.doc_id""")
 def chunk_words(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), chunking.by_words)
 
@@ -325,45 +348,65 @@ def embed_hash(spark, sf_dir):
     return tools.embed(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-SOURCE = '''
-import os
+#: A module for every customer; # stands for the customer's number.
+SOURCE = '''import os
 LIMIT = 10
 
-class Base:
+class Base#:
     """A base."""
     def run(self, x: int = 1) -> int:
-        return helper(x) if x and x > 0 else 0
+        return helper#(x) if x and x > 0 else 0
 
-class Child(Base):
+class Child#(Base#):
     @property
     def name(self):
         return [c for c in os.name if c]
 
-async def fetch(url, *args, **kw):
+async def fetch#(url, *args, **kw):
     for a in args:
         await a
-    return helper(url)
+    return helper#(url)
 
-def helper(v):
+def helper#(v):
     return v
 
-def test_helper():
-    assert helper(1) == 1
+def test_helper#():
+    assert helper#(1) == 1
 '''
-
-
-def _units(spark):
-    return code.parse_units(spark.createDataFrame([("app/main.py", SOURCE), ("app/broken.py", "def (:")], "path string, source string"))
-
-
-@query("ast_units")
+_PARSED = """
+parsed(name, type, start_line, end_line, signature, docstring, parent_class, decorators, parameters, calls, bases, is_async, is_test, complexity) AS (VALUES
+  ('LIMIT', 'constant', 2, 2, NULL, NULL, NULL, '', '', '', '', false, false, NULL),
+  ('Base#', 'class', 4, 7, 'class Base#', 'A base.', NULL, '', '', 'helper#', '', false, false, NULL),
+  ('run', 'method', 6, 7, 'def run(self, x: int = ...) -> int', NULL, 'Base#', '', 'self,x: int = ...', 'helper#', '', false, false, 2),
+  ('Child#', 'class', 9, 12, 'class Child#(Base#)', NULL, NULL, '', '', '', 'Base#', false, false, NULL),
+  ('name', 'property', 11, 12, 'def name(self)', NULL, 'Child#', 'property', 'self', '', '', false, false, 2),
+  ('fetch#', 'async_function', 14, 17, 'async def fetch#(url, *args, **kw)', NULL, NULL, '', 'url,*args,**kw', 'helper#', '', true, false, 2),
+  ('helper#', 'function', 19, 20, 'def helper#(v)', NULL, NULL, '', 'v', '', '', false, false, 1),
+  ('test_helper#', 'function', 22, 23, 'def test_helper#()', NULL, NULL, '', '', 'helper#', '', false, true, 1))"""
+_FILLED = lambda c: f"replace({c}, '#', c_custkey::VARCHAR) AS {c}"
+
+
+def _units(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("app/m"), key, F.lit(".py")).alias("path"), F.replace(F.lit(SOURCE), F.lit("#"), key).alias("source"))
+    broken = files.select(F.concat(F.lit("broken/"), "path").alias("path"), F.lit("def (:").alias("source"))
+    return code.parse_units(files.unionByName(broken))
+
+
+@query("ast_units", f"""WITH {_PARSED}
+SELECT 'app/m' || c_custkey || '.py' AS path, replace('app/m#.py::' || coalesce(parent_class || '.', '') || name, '#', c_custkey::VARCHAR) AS id, {", ".join(map(_FILLED, ("name", "signature", "parent_class", "calls", "bases")))},
+  type, start_line, end_line, docstring, decorators, parameters, is_async, false AS is_private, is_test, complexity::INT AS complexity FROM customer, parsed""")
 def ast_units(spark, sf_dir):
-    return _units(spark)
+    joined = {c: F.array_join(c, ",") for c in ("decorators", "parameters", "calls", "bases")}
+    return _units(spark, sf_dir).withColumns(joined)
 
 
-@query("code_graph")
+@query("code_graph", """
+SELECT replace('app/m#.py::' || a, '#', c_custkey::VARCHAR) AS source, replace('app/m#.py::' || b, '#', c_custkey::VARCHAR) AS target, type, 1.0::DOUBLE AS weight FROM customer, (VALUES
+  ('Base#.run', 'helper#', 'calls'), ('fetch#', 'helper#', 'calls'), ('test_helper#', 'helper#', 'calls'), ('Child#', 'Base#', 'extends'),
+  ('Base#', 'Base#.run', 'contains'), ('Child#', 'Child#.name', 'contains'), ('test_helper#', 'helper#', 'tests')) AS v(a, b, type)""")
 def code_graph(spark, sf_dir):
-    return code.code_edges(_units(spark))
+    return code.code_edges(kept(_units(spark, sf_dir)))
 
 
 @query("learned_fusion")
@@ -374,24 +417,37 @@ def learned_fusion(spark, sf_dir):
     return learned.fuse(learned.train(features, labels), features, hits, 10)
 
 
-@query("tool_results")
+@query("tool_results", """
+SELECT n_nationkey, true AS success, n_nationkey * n_nationkey + 4::DOUBLE AS output, false AS bad_success, NULL::VARCHAR AS bad_output, true AS told FROM nation""")
 def tool_results(spark, sf_dir):
     registry = tools.standard()
     sums = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.col("n_nationkey").cast("string"), F.lit(" ^ 2 / (3 - n)")).alias("bad"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" ^ 2 + sqrt(16)")).alias("sum"))
-    return sums.select("n_nationkey", registry.execute("calculator", F.col("sum")).alias("ok"), registry.execute("calculator", F.col("bad")).alias("bad"))
+    done = sums.select("n_nationkey", registry.execute("calculator", F.col("sum")).alias("ok"), registry.execute("calculator", F.col("bad")).alias("bad"))
+    return done.select("n_nationkey", F.col("ok.success").alias("success"), F.col("ok.output").cast("double").alias("output"), F.col("bad.success").alias("bad_success"), F.col("bad.output").alias("bad_output"), F.col("bad.error").isNotNull().alias("told"))
 
 
-@query("classify_json")
+@query("classify_json", """
+SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN octet_length(encode(text)) % 2 = 1 THEN 'chart' ELSE 'other' END AS kind, 'd' AS description, '' AS text FROM benchmark""")
 def classify_json(spark, sf_dir):
     images = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
     return tools.describe_images(images, lambda b: '{"kind": "%s", "description": "d", "text": ""}' % ("chart" if len(b) % 2 else "unknown"))
 
 
-@query("research_loop")
+@query("research_loop", """
+WITH q AS (SELECT item_id, length(text) AS n, length(text) % 4 AS open FROM benchmark)
+SELECT item_id::VARCHAR AS question, (n % 3)::INT AS findings, open::INT AS contradictions, CASE WHEN open > 0 THEN open * (open + 1) // 2 - CASE WHEN open > 3 THEN 1 ELSE 0 END ELSE 0 END::INT AS resolved,
+  CASE WHEN open > 0 THEN open * (open - 1) // 2 ELSE 0 END::INT AS uncertain, (1 + open)::INT AS iterations FROM q""")
 def research_loop(spark, sf_dir):
-    def ask(prompt: str) -> str:
-        if prompt.startswith("Research"):
-            return 'Here: {"findings": [{"claim": "a"}], "contradictions": [{"claim": "x"}, {"claim": "y"}], "summary": "s"}'
-        return '{"resolved": [{"claim": "x"}], "still_uncertain": [{"claim": "y"}]}'
+    """A stand-in model that leaves one item fewer open after every round."""
 
-    return research.as_table(spark, [research.research("q", ask)])
+    def ask(prompt: str) -> str:
+        kind, rest = prompt.split(": ", 1)
+        if kind == "Research":
+            n = len(rest.split("|", 1)[1])
+            return "Here: " + json.dumps({"findings": [{"claim": "a"}] * (n % 3), "contradictions": [{"topic": str(i)} for i in range(n % 4)], "summary": "s"}) + " done."
+        left = json.loads(rest)
+        return json.dumps({"resolved_claims": [{"verified_fact": x["topic"]} for x in left], "still_uncertain": [{"topic": x["topic"]} for x in left[1:]]})
+
+    asked = table(spark, sf_dir, "benchmark").select(F.concat_ws("|", F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).alias("question"))
+    out = research.research_all(asked, ask)
+    return out.select(F.substring_index("question", "|", 1).alias("question"), "findings", "contradictions", "resolved", "uncertain", "iterations")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import functions as F
 
-from siftstone.operators import compose, hierarchy, tables, tools
-from siftstone.plans.q_corpus import _as_of, _items
+from siftstone.functions.lineage import kept
+from siftstone.operators import compose, conversation, hierarchy, tables, tools
+from siftstone.plans.q_corpus import _AGE, _EXP, _PRIO_SQL, AS_OF, _as_of, _items
 from siftstone.plans.q_dialogue import ASKED, _asked, _units
 from siftstone.plans.registry import query, table
 from siftstone.operators import code
@@ -55,7 +58,12 @@ def reference_counts(spark, sf_dir):
     return refs.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("resolved").alias("resolved"))
 
 
-@query("adaptive_retrieve")
+@query("adaptive_retrieve", """
+WITH p AS (SELECT 'd' || n_nationkey || x AS id, n_nationkey AS d, round(1 / (1 + position + n_nationkey)::DOUBLE, 6) AS score FROM nation, (VALUES ('.p1', 1), ('.p6', 6)) AS v(x, position)),
+best AS (SELECT n_nationkey AS d FROM nation WHERE round(0.9 - n_nationkey / 50, 6) >= 0.5 ORDER BY 0.9 - n_nationkey / 50 DESC, n_nationkey LIMIT 3),
+hits AS (SELECT id, d, score FROM p WHERE d IN (SELECT d FROM best) ORDER BY score DESC, id LIMIT 5),
+far AS (SELECT DISTINCT 'd' || d || CASE WHEN id LIKE '%.p1' THEN '.s5' ELSE '.s0' END AS id FROM hits)
+SELECT id, score FROM hits UNION ALL SELECT id, 0.5::DOUBLE FROM far""")
 def adaptive_retrieve(spark, sf_dir):
     nodes = hierarchy.markdown_tree(_manual(spark, sf_dir))
     hits = nodes.where("node_type = 'paragraph'").select("id", "document_id", F.round(1 / (1 + F.col("position") + F.col("document_id")), 6).alias("score"))
@@ -63,21 +71,31 @@ def adaptive_retrieve(spark, sf_dir):
     return compose.adaptive("what is linked and related to this", nodes, hits, summaries, hierarchy.references(nodes))
 
 
-@query("timed_summary")
+@query("timed_summary", f"""
+WITH s AS (SELECT event_id AS id, ts, 'user' || user_id AS source, round(value / 1000, 6) AS similarity, {_PRIO_SQL} AS priority, {_AGE} AS h FROM events),
+t AS (SELECT *, round(least(CASE WHEN h <= 1 THEN 1.5 * {_EXP} ELSE {_EXP} END, 1.0), 6) AS time_score FROM s),
+u AS (SELECT * FROM t ORDER BY round(0.6::DOUBLE * similarity + 0.3::DOUBLE * time_score + 0.1::DOUBLE * priority / 5, 6) DESC, id LIMIT 10),
+n AS (SELECT min(ts) AS oldest, max(ts) AS newest, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 1e6 AS age FROM u)
+SELECT CASE WHEN age < 60 THEN 'Based on data from the last minute'
+  WHEN age < 3600 THEN 'As of ' || CAST(floor(age / 60) AS BIGINT) || ' minute' || CASE WHEN floor(age / 60) = 1 THEN '' ELSE 's' END || ' ago'
+  WHEN age < 86400 THEN 'As of ' || CAST(floor(age / 3600) AS BIGINT) || ' hour' || CASE WHEN floor(age / 3600) = 1 THEN '' ELSE 's' END || ' ago'
+  ELSE 'As of ' || strftime(newest, '%Y-%m-%d %H:%M') || ' UTC' END AS note, oldest, newest, sources FROM n""")
 def timed_summary(spark, sf_dir):
-    return compose.timed_context(_items(spark, sf_dir), _as_of())[1]
+    out = compose.timed_context(_items(spark, sf_dir), _as_of())[1]
+    return out.select("note", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("oldest", "newest")), F.array_join("sources", ",").alias("sources"))
 
 
-@query("trace_flow")
+@query("trace_flow", """
+SELECT p || 'fetch1' AS start, p || 'helper1' AS id, unnest([0, 1]) AS step, unnest([p || 'fetch1', p || 'helper1']) AS unit FROM (SELECT 'app/m' || c_custkey || '.py::' AS p FROM customer WHERE c_custkey = 1)""")
 def trace_flow(spark, sf_dir):
-    units = _units(spark)
-    return compose.trace_flow(units, code.code_edges(units), "fetch", "helper")
+    units = kept(_units(spark, sf_dir))
+    return compose.trace_flow(units, code.code_edges(units), "fetch1", "helper1")
 
 
 @query("code_context")
 def code_context(spark, sf_dir):
-    units = _units(spark)
-    return compose.code_context(units, code.code_edges(units), compose.code_search(units, "helper", "helper", 3).select("id"))
+    units = kept(_units(spark, sf_dir))
+    return compose.code_context(units, code.code_edges(units), compose.code_search(units, "helper1", "helper1", 3).select("id"))
 
 
 @query("agentic_results", f"""WITH {ASKED},
@@ -90,7 +108,14 @@ def agentic_results(spark, sf_dir):
     return compose.agentic(asked, tools.standard(), knowledge, _as_of()).select("qid", "route")
 
 
-@query("agentic_answers")
+@query("agentic_answers", f"""WITH {ASKED},
+q AS (SELECT conv_id * 100 + turn AS qid, conv_id, question, lower(question) AS q FROM asked),
+r AS (SELECT *, CASE WHEN contains(q, 'calculate') OR contains(q, 'what is 5') THEN 'tool_use' WHEN contains(q, 'what time') THEN 'tool_use' WHEN regexp_matches(q, '\\bwrite\\b.*\\bcode\\b') THEN 'tool_use' WHEN contains(q, 'latest') THEN 'web_search'
+  WHEN contains(q, 'according to') OR regexp_matches(q, '\\bfind\\b.*\\bdocument\\b') THEN 'retrieval' ELSE 'direct' END AS route,
+  CASE WHEN contains(q, 'calculate') OR contains(q, 'what is 5') THEN 'calculator' WHEN contains(q, 'what time') THEN 'datetime' WHEN regexp_matches(q, '\\bwrite\\b.*\\bcode\\b') THEN 'code_executor' WHEN contains(q, 'latest') THEN 'web_search' END AS tool FROM q),
+held AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS w FROM benchmark),
+found AS (SELECT qid, count(DISTINCT item_id) || ' documents' AS result FROM (SELECT qid, unnest(list_distinct(regexp_extract_all(q, '[a-z0-9]{{4,}}'))) AS w FROM r WHERE tool IS NULL OR tool NOT IN ('calculator', 'datetime')) JOIN held USING (w) GROUP BY qid)
+SELECT r.qid, route, tool, CASE tool WHEN 'datetime' THEN '{AS_OF}' WHEN 'calculator' THEN 'error: ValueError: unexpected ' || chr(39) || r.conv_id || chr(39) ELSE found.result END AS result FROM r LEFT JOIN found ON found.qid = r.qid""".replace("\\\\", "\\"))
 def agentic_answers(spark, sf_dir):
     asked = _asked(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), "question")
     knowledge = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
@@ -104,17 +129,77 @@ def chat_prompts(spark, sf_dir):
     return compose.turns_with_context(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.md5("prompt").alias("prompt"))
 
 
-@query("web_search")
+@query("web_search", """
+WITH p AS (SELECT page_id AS id, url, regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')), '[a-z0-9]+') AS w FROM pages),
+totals AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM p),
+c AS (SELECT id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM p, (SELECT unnest(['that', 'from', 'with']) AS term) WHERE list_contains(w, term)),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+s AS (SELECT id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score, array_to_string(list_sort(list(c.term)), ',') AS matched_terms
+  FROM c JOIN f USING (term), totals GROUP BY id)
+SELECT s.id, url, score, matched_terms, row_number() OVER (ORDER BY score DESC, s.id)::INT AS rank FROM s JOIN p ON p.id = s.id ORDER BY score DESC, s.id LIMIT 5""")
 def web_search(spark, sf_dir):
-    return compose.search_pages(table(spark, sf_dir, "pages"), ["that", "from", "with"])
+    out = compose.search_pages(table(spark, sf_dir, "pages"), ["that", "from", "with"])
+    return out.select("id", "url", "score", F.array_join("matched_terms", ",").alias("matched_terms"), "rank")
 
 
-@query("entity_extraction")
+@query("entity_extraction", r"""
+WITH m AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]{3,}\b') AS w FROM benchmark),
+f AS (SELECT item_id, x, min(i) AS i FROM (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM m) GROUP BY item_id, x)
+SELECT item_id || '_entity_' || n AS id, x AS name, 'name' AS type FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS n FROM f) WHERE n < 10""")
 def entity_extraction(spark, sf_dir):
-    name = re.compile(r"\b[A-Z][a-z]{3,}\b")
+    name = re.compile(r"\b[A-Z][a-z]{3,}\b", re.A)
     return tools.extract_entities(table(spark, sf_dir, "benchmark"), lambda t: [(n, "name") for n in dict.fromkeys(name.findall(t))], "item_id")[0]
 
 
-@query("provider_answers")
+@query("provider_answers", "SELECT item_id, 'answer-' || sha256('Answer: ' || text)[1:12] AS answer FROM benchmark")
 def provider_answers(spark, sf_dir):
     return tools.generate(table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("Answer: "), "text").alias("prompt")), tools.provider("offline")).select("item_id", "answer")
+
+
+_SHARED = """
+words AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower({q}), '[a-z0-9]{{4,}}'))) AS w FROM {t}),
+held AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}'))) AS w FROM benchmark),
+hits AS (SELECT conv_id, turn, item_id, count(*) AS score FROM words JOIN held USING (w) GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, item_id) AS rank FROM hits)"""
+
+
+@query("chat_turns", f"""
+WITH u AS (SELECT *, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS history FROM conversations),
+asked AS (SELECT conv_id, turn, coalesce(text, '') AS question, history, lower(coalesce(text, '')) AS q FROM u WHERE role = 'user'),
+{_SHARED.format(q="question", t="asked")},
+cited AS (SELECT conv_id, turn, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS cited, string_agg('source ' || item_id, ', ' ORDER BY rank) AS sources FROM top WHERE rank <= 3 GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(cited, '') AS cited, 'answer-' || sha256(concat_ws(chr(10) || chr(10), nullif(history, ''), sources, 'user: ' || question))[1:12] AS answer FROM asked LEFT JOIN cited USING (conv_id, turn)""")
+def chat_turns(spark, sf_dir):
+    """Questions of the table do not refer back; those that do are in tests."""
+    knowledge = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    out = compose.converse(table(spark, sf_dir, "conversations"), knowledge, tools.provider("offline"))
+    return out.select("conv_id", "turn", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "answer")
+
+
+@query("conversation_facts", """
+WITH n AS (SELECT conv_id, turn, row_number() OVER w AS k, string_agg(upper(coalesce(role, '')) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS prompt
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, 'knows ' || sha256(prompt)[1:12] AS fact, CASE WHEN length(prompt) % 2 = 0 THEN 'context' ELSE 'general' END AS category FROM n WHERE k % 5 = 0""")
+def conversation_facts(spark, sf_dir):
+    def ask(prompt: str) -> str:
+        fact = {"fact": f"knows {hashlib.sha256(prompt.encode()).hexdigest()[:12]}"} | ({"category": "context"} if len(prompt) % 2 == 0 else {})
+        return f"Facts: {json.dumps([fact, {'fact': ''}])} as asked"
+
+    return conversation.extract_facts(table(spark, sf_dir, "conversations"), ask)
+
+
+@query("hierarchical_context", """
+WITH best AS (SELECT n_nationkey AS d, n_name FROM nation WHERE round(0.9 - n_nationkey / 50, 6) >= 0.5 ORDER BY 0.9 - n_nationkey / 50 DESC, n_nationkey LIMIT 3),
+p AS (SELECT d, n_name, 'd' || d || x AS id, x, round(1 / (1 + position + d)::DOUBLE, 6) AS score FROM best, (VALUES ('.p1', 1), ('.p6', 6)) AS v(x, position)),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM p ORDER BY score DESC, id LIMIT 5)
+SELECT rank::INT AS rank, id, score, CASE WHEN x = '.p1' THEN replace('d#,d#.s0', '#', d::VARCHAR) ELSE replace('d#,d#.s4,d#.s5', '#', d::VARCHAR) END AS parents,
+  CASE WHEN x = '.p1' THEN 'd' || d || '.s2' ELSE '' END AS siblings, 'd' || d || CASE WHEN x = '.p1' THEN '.s5' ELSE '.s0' END AS referred,
+  '[' || rank || '] document ' || d || ' > ' || CASE WHEN x = '.p1' THEN 'About ' || n_name ELSE 'Deep' END AS citation,
+  CASE WHEN x = '.p1' THEN '  About ' || n_name || ': ' || chr(10) || 'This paragraph on ' || n_name || ' is long enough to count; see Section 2.1 and [3] too.' || chr(10) || 'Related:' || chr(10) || '- [section] Deep: ## 2.1 Deep'
+    ELSE '  More: ' || chr(10) || '    Deep: ' || chr(10) || 'Another long paragraph that refers to Section 9 and to Section 1, number ' || d || ', at length.' || chr(10) || 'Related:' || chr(10) || '- [section] About ' || n_name || ': # 1 About ' || n_name END AS context FROM r""")
+def hierarchical_context(spark, sf_dir):
+    nodes = kept(hierarchy.markdown_tree(_manual(spark, sf_dir)))
+    hits = nodes.where("node_type = 'paragraph'").select("id", "document_id", F.round(1 / (1 + F.col("position") + F.col("document_id")), 6).alias("score"))
+    summaries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("document_id"), F.round(0.9 - F.col("n_nationkey") / 50, 6).alias("score"))
+    out = compose.hierarchical(nodes, hits, summaries, hierarchy.references(nodes))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("parents", "siblings", "referred")})

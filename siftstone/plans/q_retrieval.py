@@ -150,12 +150,17 @@ def compare_methods(spark, sf_dir):
 
 
 @query("hybrid_search", f"""
-WITH {HITS}, f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM hits GROUP BY id),
+WITH {HITS.replace("(SELECT label FROM embeddings WHERE vec_id = 0)", "(SELECT label FROM embeddings WHERE vec_id = 0) AND vec_id <> 0")}, f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM hits GROUP BY id),
 t AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f ORDER BY score DESC, id LIMIT 10)
 SELECT t.id, t.score, t.rank, d.source, d.lang FROM t JOIN documents d ON d.doc_id = t.id""")
 def hybrid_search(spark, sf_dir):
     """Dense, sparse and graph lists, fused, then joined with their records."""
-    fused = r.rrf(_hits(spark, sf_dir), 10).select("id", "score", "rank")
+    from siftstone.operators import compose
+
+    vectors = table(spark, sf_dir, "embeddings")
+    seed = vectors.where("vec_id = 0").select(F.col("vec_id").alias("source"), "label")
+    edges = vectors.where("vec_id <> 0").join(F.broadcast(seed), "label").select("source", F.col("vec_id").alias("target"), F.pow(F.lit(0.5), F.col("vec_id") % 3).alias("weight"))  # one seed
+    fused = compose.hybrid(_question(spark, sf_dir), _vectors(spark, sf_dir), _texts(spark, sf_dir), TERMS, edges, seed.select(F.col("source").alias("id"))).select("id", "score", "rank")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     return docs.join(F.broadcast(fused), "id").select("id", "score", "rank", "source", "lang")
 

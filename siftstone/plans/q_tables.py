@@ -143,7 +143,10 @@ def delete_by_id(spark, sf_dir):
 @query("export_json", """
 SELECT n_nationkey, '{"id":' || n_nationkey || ',"label":"' || n_name || '","group":' || n_regionkey || '}' AS node FROM nation""")
 def export_json(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("group"))).alias("node"))
+    from siftstone.operators import graph
+
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("group"))
+    return graph.export(nodes, nodes)[0].select(F.get_json_object("json", "$.id").cast("int").alias("n_nationkey"), F.col("json").alias("node"))
 
 
 @query("full_outer_ids", """
@@ -156,7 +159,9 @@ def full_outer_ids(spark, sf_dir):
     return a.join(b, "nationkey", "full_outer").na.fill(0)
 
 
-@query("describe_table", "SELECT count(*) AS n_rows, 6 AS n_columns, count(o_custkey) AS with_customer, min(o_orderdate) AS first_date FROM orders")
+@query("describe_table", """
+SELECT (SELECT count(*) FROM orders) AS n_rows, count(*) AS n_columns, string_agg(column_name, ',' ORDER BY column_index) AS columns, least(3, (SELECT count(*) FROM orders)) AS n_sample
+FROM duckdb_columns() WHERE table_name = 'orders'""")
 def describe_table(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return orders.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(orders.columns)).alias("n_columns"), F.count("o_custkey").alias("with_customer"), F.min("o_orderdate").alias("first_date"))
+    told = tables.TableQuery(table(spark, sf_dir, "orders")).describe()
+    return spark.createDataFrame([(told["rows"], len(told["columns"]), ",".join(told["columns"]), len(told["sample"]))], "n_rows long, n_columns long, columns string, n_sample long")

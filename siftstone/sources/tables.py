@@ -22,14 +22,28 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or an object whose first array holds them; missing
-    values are empty text."""
-    raw = spark.read.json(path, multiLine=True)
-    arrays = [f.name for f in raw.schema.fields if f.dataType.typeName() == "array"]
-    if len(arrays) and len(arrays) <= len(raw.columns) and raw.limit(2).count() == 1:
-        raw = raw.select(F.explode(f"`{arrays[0]}`").alias("x"))
-        raw = raw.select("x.*") if raw.schema["x"].dataType.typeName() == "struct" else raw.select(F.col("x").alias("col_0"))
-    return raw.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in raw.columns))
+    """A document that is an array of rows, or an object whose first array, in
+    the document's order, holds them.  Rows are objects, with the first one's
+    keys as columns, or arrays, with as many columns ``col_0``, ... as the first.
+    Values are text, white space squeezed; missing ones are empty.  An object
+    without an array is an error, an empty array a table without columns."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^[\x{FEFF}\s]+", "").alias("v"))
+    members = F.from_json("v", "map<string,string>")
+    keys = F.filter(F.json_object_keys("v"), lambda k: F.element_at(members, k).startswith("["))
+    held = whole.select(F.when(F.col("v").startswith("["), F.col("v")).otherwise(F.element_at(members, F.get(keys, F.lit(0)))).alias("v"))
+    rows = held.select(F.explode_outer(F.from_json("v", "array<string>")).alias("x"), F.col("v").isNull().alias("none"))
+    first = rows.select("x", "none", F.json_object_keys("x").alias("keys"), F.size(F.from_json("x", "array<string>")).alias("n")).first()
+    if first is None or first.none:
+        raise ValueError("the document holds no array")
+    if first.x is None:
+        return spark.createDataFrame([], "").limit(0)
+    if first.x.lstrip().startswith("["):
+        cells = F.from_json("x", "array<string>")
+        return rows.select(*(squeeze(F.get(cells, F.lit(i))).alias(f"col_{i}") for i in range(first.n)))
+    if first["keys"] is None:
+        return rows.select(squeeze(F.col("x")).alias("col_0"))
+    cells = F.from_json("x", "map<string,string>")
+    return rows.select(*(squeeze(F.element_at(cells, k)).alias(k) for k in first["keys"]))
 
 
 def json_rows(df: DataFrame, column: str, schema: str) -> DataFrame:

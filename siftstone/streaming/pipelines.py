@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELAY = "7 days"
@@ -58,6 +58,30 @@ def running_totals(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(update, f"{key} long, n long, last_type string", "n long, last string", "update", "NoTimeout")
 
 
+def session_state(turns: DataFrame, recent: int = 5) -> DataFrame:
+    """State of each (user_id, session_id) of a stream of turns (with ``turn``,
+    ``cited`` and ``entity``, which may be null): turns so far, and the last
+    cited sources and entities, oldest first, each once, by its latest mention."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, cited, entities = state.get if state.exists else (0, [], [])
+        cited, entities = list(cited), list(entities)
+        for pdf in batches:
+            pdf = pdf.sort_values("turn", kind="stable")
+            n += len(pdf)
+            for held, column in ((cited, "cited"), (entities, "entity")):
+                for x in pdf[column].dropna():
+                    if x in held:
+                        held.remove(x)
+                    held.append(x)
+                del held[:-recent]
+        state.update((n, cited, entities))
+        yield pd.DataFrame({"user_id": [key[0]], "session_id": [key[1]], "turns": [n], "cited": [cited], "entities": [entities]})
+
+    out = "user_id long, session_id long, turns long, cited array<string>, entities array<string>"
+    return turns.groupBy("user_id", "session_id").applyInPandasWithState(update, out, "turns long, cited array<string>, entities array<string>", "update", "NoTimeout")
+
+
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process what there is, batch by batch, and stop."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
@@ -69,31 +93,47 @@ def notify(items: DataFrame, send: Callable[[DataFrame], None]) -> None:
 
 
 class NearDuplicateSink:
-    """foreachBatch sink: flags items near any earlier one, and keeps the
-    signatures of all batches in a table that grows by appends.
-
-    Within a batch and against history, candidates share a band of the MinHash
-    signature; a retried batch replaces its own rows.
+    """foreachBatch sink: flags items near any earlier one, and keeps two tables
+    that grow by appends, by batch: the bands of all items, 24 bytes each, and
+    their signatures.
+
+    Only the bands are read for a batch, and the signatures of what shares one
+    with it.  ``keep`` batches are looked back on (all, if None); older ones are
+    neither read nor kept.  A retried batch replaces its own rows.  Of equal
+    items in one batch the least id is the first.
     """
 
-    def __init__(self, path: str, threshold: float = 0.8):
-        self.path, self.threshold = path, threshold
+    def __init__(self, path: str, threshold: float = 0.8, keep: int | None = None):
+        self.path, self.threshold, self.keep = path, threshold, keep
+
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/{name}")
+        return rows.sparkSession.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+
+    def _expire(self, spark: SparkSession, number: int) -> None:
+        for name in ("bands", "signatures"):
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/batch={number - self.keep - 1}")
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         from siftstone.functions.vectors import equal_share
         from siftstone.operators import dedup
 
         spark = batch.sparkSession
-        signed = dedup.signatures(batch.select(F.col("id"), F.col("content")), "id", "content").withColumn("batch", F.lit(number))
-        signed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/signatures")
-        history = spark.read.schema(signed.schema).parquet(f"{self.path}/signatures").where(F.col("batch") <= number)
-        band = lambda df: df.select("id", "batch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(dedup.BANDS - 1)), lambda i: F.array_join(F.slice("signature", i * dedup.ROWS + 1, dedup.ROWS), ","))).alias("band", "bucket"))
-        new = history.where(F.col("batch") == number)
-        pairs = band(new).select(F.col("id").alias("n"), "band", "bucket").join(band(history).select(F.col("id").alias("o"), F.col("batch").alias("ob"), "band", "bucket"), ["band", "bucket"])
-        pairs = pairs.where((F.col("ob") < number) | (F.col("o") < F.col("n"))).select("n", "o").distinct()
-        s = history.select("id", "signature")
-        scored = pairs.join(s.select(F.col("id").alias("n"), F.col("signature").alias("sn")), "n").join(s.select(F.col("id").alias("o"), F.col("signature").alias("so")), "o")
+        signed = self._write(dedup.signatures(batch.select(F.col("id"), F.col("content")), "id", "content").withColumn("batch", F.lit(number)), "signatures")
+        bands = self._write(signed.where(F.col("batch") == number).select("id", F.explode(dedup.buckets(F.col("signature"))).alias("bucket"), "batch"), "bands")
+        held = F.col("batch") <= number
+        if self.keep is not None:
+            held = held & (F.col("batch") >= number - self.keep)
+        new = bands.where(F.col("batch") == number).select(F.col("id").alias("n"), "bucket")
+        old = bands.where(held).select(F.col("id").alias("o"), F.col("batch").alias("ob"), "bucket")
+        pairs = new.join(old, "bucket").where((F.col("ob") < number) | (F.col("o") < F.col("n"))).select("n", "o", "ob").distinct()
+        mine = signed.where(F.col("batch") == number).select(F.col("id").alias("n"), F.col("signature").alias("sn"))
+        theirs = signed.where(held).select(F.col("id").alias("o"), F.col("batch").alias("ob"), F.col("signature").alias("so"))
+        scored = pairs.join(theirs, ["o", "ob"]).join(mine, "n")
         scored = scored.withColumn("similarity", F.round(equal_share(F.col("sn"), F.col("so")), 6)).where(F.col("similarity") >= self.threshold)
         best = scored.groupBy(F.col("n").alias("id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("o"))).alias("x")).select("id", F.col("x.o").alias("duplicate_of"))
         out = batch.join(best, "id", "left").withColumns({"is_duplicate": F.col("duplicate_of").isNotNull(), "batch": F.lit(number)})
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/items")
+        if self.keep is not None:
+            self._expire(spark, number)

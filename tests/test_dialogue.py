@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftstone.functions import calculator, routing
-from siftstone.operators import chunking, code, conversation, hierarchy, research, tools
+from siftstone.operators import chunking, code, compose, conversation, hierarchy, research, tools
 
 
 def asked(spark, column, *questions):
@@ -163,10 +165,17 @@ def test_python_units(spark):
     assert sorted((r.name, r.type) for r in code.script_units(js).collect()) == [("B", "class"), ("go", "function"), ("run", "arrow")]
 
 
-@pytest.mark.parametrize("replies,rounds,resolved,uncertain", [(['{"findings": [{"claim": "a"}]}'], 0, 0, 0), (['{"contradictions": [{"claim": "x"}]}', '{"resolved": [{"claim": "x"}]}'], 1, 1, 0), (['{"contradictions": [{"claim": "x"}]}', *['{"still_uncertain": [{"claim": "x"}]}'] * 3], 3, 0, 1), (["no json"], 0, 0, 0)])
+@pytest.mark.parametrize("replies,rounds,resolved,uncertain", [
+    (['{"findings": [{"claim": "a"}]}'], 1, 0, 0),
+    (['{"contradictions": [{"topic": "x"}]}', 'So: {"resolved_claims": [{"verified_fact": "x"}]}'], 2, 1, 0),
+    (['{"contradictions": [{"topic": "x"}]}', *['{"still_uncertain": [{"topic": "x"}]}'] * 3], 4, 0, 3),
+    (['{"contradictions": [{"topic": "x"}]}', '{"resolved_claims": [{"verified_fact": "y"}], "still_uncertain": [{"topic": "x"}, "odd"]}', "nothing"], 3, 1, 1),
+    (["no json"], 0, 0, 0),
+])
 def test_research_rounds(replies, rounds, resolved, uncertain):
     left = iter(replies)
-    got = research.research("q", lambda prompt: next(left))
+    asked = []
+    got = research.research("q", lambda prompt: asked.append(prompt) or next(left))
     assert (got.iterations, len(got.resolved), len(got.uncertain)) == (rounds, resolved, uncertain)
 
 
@@ -174,3 +183,80 @@ def test_next_speaker(spark):
     rows = [("user_proxy", "", "coordinator"), ("coordinator", "please verify", "verifier"), ("coordinator", "hm", "retriever"), ("retriever", "see section 2", "crossref"), ("retriever", "x", "summarizer"), ("crossref", "", "summarizer"), ("summarizer", None, "verifier"), ("verifier", "", "coordinator")]
     for r in spark.createDataFrame(rows, "a string, m string, w string").select("w", routing.next_speaker(F.col("a"), F.col("m")).alias("x")).collect():
         assert r.x == r.w
+
+
+def test_open_items_are_asked_again_as_unknown():
+    replies = iter(['{"contradictions": [{"topic": "t", "claim_a": "1", "claim_b": "2"}]}', '{"still_uncertain": [{"topic": "t", "reason": "r"}]}', "{}"])
+    asked = []
+    got = research.research("q", lambda prompt: asked.append(prompt) or next(replies))
+    assert '"claim_a": "1"' in asked[1] and '"claim_a": "Unknown"' in asked[2] and '"topic": "t"' in asked[2]
+    assert got.uncertain == [{"topic": "t", "reason": "r", "recommendation": ""}] and got.contradictions[0]["source_a"] == ""
+
+
+def test_words_are_packed_as_full_as_they_go():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = ["x" * rng.randint(1, 30) for _ in range(rng.randint(0, 60))]
+        size = rng.randint(1, 60)
+        got = chunking.by_words("  ".join(words), size)
+        assert " ".join(got).split() == words
+        for a, b in zip(got, got[1:]):
+            assert len(a) <= size or " " not in a
+            assert len(a) + 1 + len(b.split()[0]) > size
+
+
+def test_deep_and_circular_chains(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(14)] + [("a", "b"), ("b", "c"), ("c", "b"), ("self", "self"), ("lost", "gone")]
+    nodes = spark.createDataFrame(rows, "id string, parent_id string")
+    got = {r.id: r.path for r in hierarchy.parent_chain(nodes, nodes).collect()}
+    assert got["n13"] == [f"n{i}" for i in range(13)] and got["n0"] == [] and len(got) == len(rows)
+    assert got["a"] == ["c", "b"] and got["b"] == ["c"] and got["self"] == [] and got["lost"] == ["gone"]
+    assert {r.id: r.path for r in hierarchy.parent_chain(nodes, nodes.where("id = 'n13'"), depth=2).collect()} == {"n13": ["n11", "n12"]}
+
+
+def test_a_conversation_turn(spark):
+    knowledge = spark.createDataFrame([(1, "green apples taste sour"), (2, "apples and pears"), (3, "nothing here")], "id long, content string")
+    turns = [(1, 0, "user", "Where do green apples grow?"), (1, 1, "assistant", "In trees."), (1, 2, "user", "What about the first one?"), (1, 3, "user", None), (2, 0, "user", "Tell of the first pears")]
+    said = compose.converse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), knowledge, lambda p: p)
+    got = {(r.conv_id, r.turn): r for r in said.collect()}
+    assert got[1, 0].cited == [1, 2] and got[1, 0].rewritten is None and got[1, 0].answer == "source 1, source 2\n\nuser: Where do green apples grow?"
+    assert got[1, 2].rewritten == "what about 'source 1' one?" and got[1, 2].answer.startswith("user: Where do green apples grow?\nassistant: In trees.")
+    assert got[1, 3].cited == [] and got[2, 0].cited == [2] and len(got) == 4
+
+
+def test_facts_of_a_conversation(spark):
+    turns = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(7)] + [(2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    replies = lambda p: '[{"fact": "%s"}, {"fact": "b", "category": "c"}]' % p.replace("\n", "/") if "t2" in p else "none"
+    got = sorted(map(tuple, conversation.extract_facts(turns, replies, 3, 2).collect()))
+    assert got == [(1, 2, "USER: t1/USER: t2", "general"), (1, 2, "b", "c")]
+
+
+def test_hierarchical_retrieval(spark):
+    text = "# 1 One\n" + "first paragraph, long enough to be counted as one of them\nsecond paragraph that points to Section 2 and is long enough\n# 2 Two\nthe other section's own paragraph is long enough, too, it is"
+    nodes = hierarchy.markdown_tree(spark.createDataFrame([(7, text)], "doc_id long, text string"))
+    hits = nodes.where("node_type = 'paragraph'").select("id", "document_id", (1.0 / (1 + F.col("position"))).alias("score"))
+    summaries = spark.createDataFrame([(7, 0.9), (8, 0.95)], "document_id long, score double")
+    rows = compose.hierarchical(nodes, hits, summaries, hierarchy.references(nodes), k=2).orderBy("rank").collect()
+    assert [r.id for r in rows] == ["d7.p1", "d7.p2"] and rows[1].parents == ["d7", "d7.s0"] and rows[1].siblings == ["d7.p1"]
+    assert rows[1].referred == ["d7.s3"] and rows[1].citation == "[2] document 7 > One" and rows[1].context.endswith("Related:\n- [section] Two: # 2 Two")
+    none = compose.hierarchical(nodes, hits, summaries, hierarchy.references(nodes), targets=spark.createDataFrame([(8,)], "document_id long"))
+    assert none.count() == 0
+
+
+def test_imports_and_importers(spark):
+    files = spark.createDataFrame([("app/a.py", "import app.b\nfrom app import c\n"), ("app/b.py", "X = 1\nclass C: pass\n"), ("app/__init__.py", "class D: pass\n")], "path string, source string")
+    units, imports = code.parse_units(files), code.parse_imports(files)
+    got = {r.path: r for r in code.file_summary(units, imports).collect()}
+    assert got["app/b.py"].importers == ["app/a.py"] and got["app/__init__.py"].importers == ["app/a.py"] and got["app/b.py"].imports == []
+    js = spark.createDataFrame([("a.js", "import x from './b'\nconst y = require(\"c\")\nimport('d')\nimport 'e'\n")], "path string, source string")
+    assert sorted(r.module for r in code.script_imports(js).collect()) == ["./b", "c", "d", "e"]
+
+
+def test_digest_vectors():
+    got = tools.digest_embedding("text", 20)
+    assert len(got) == 20 and got[:8] == got[8:16] and got[16:] == got[:4] and all(-1 <= x <= 1 for x in got)
+
+
+def test_chunk_store(spark):
+    rows = chunking.store(spark.createDataFrame([(3, "a b. " * 400), (4, None)], "doc_id long, text string")).collect()
+    assert {r.id for r in rows} == {3} and all(len(r.chunk) <= 500 for r in rows) and rows[0].chunk_id == "3_chunk_0"

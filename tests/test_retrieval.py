@@ -198,3 +198,55 @@ def test_graph_walks(spark):
     named = spark.createDataFrame([("n00", "Alpha"), ("n01", "Alpha Two"), ("n02", "beta"), ("n03", "alpha"), ("n04", "alpha")], "id string, name string")
     q = spark.createDataFrame([(1, "What of ALPHA two?"), (2, "none")], "qid long, question string")
     assert sorted((x.qid, x.id) for x in graph.named_in(q, named).collect()) == [(1, "n00"), (1, "n01"), (1, "n03")]
+    other = spark.createDataFrame([("e1", "Émile"), ("e2", "two"), ("e3", "日本"), ("e4", ""), ("e5", "x")], "id string, name string")
+    asked = spark.createDataFrame([(1, "Did émile see network in 日本語?"), (2, "É"), (3, None), (4, "")], "qid long, question string")
+    assert sorted((x.qid, x.id) for x in graph.named_in(asked, other).collect()) == [(1, "e1"), (1, "e2"), (1, "e3")]
+
+
+def test_many_queries_meet_the_corpus_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(90)] + [(200, None), (201, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = df.select(F.col("id").alias("qid"), "embedding")
+    few = sorted(map(tuple, r.knn(q, df, 6, keep_self=False).collect()))
+    monkeypatch.setattr(r, "BLOCK", 20)
+    monkeypatch.setattr(r, "CELL", 25)
+    assert sorted(map(tuple, r.knn(q, df, 6, keep_self=False).collect())) == few and len(few) == 91 * 6
+
+
+def test_approximate_search_on_the_given_vectors(spark):
+    from pathlib import Path
+
+    where = Path("/root/testdata/sf0.01/embeddings.parquet")
+    if not where.exists():
+        pytest.skip("no such table here")
+    df = spark.read.parquet(str(where)).select(F.col("vec_id").alias("id"), "embedding")
+    q = df.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    exact = {(x.qid, x.id) for x in r.knn(q, df, 5, keep_self=False).collect()}
+    near = {(x.qid, x.id) for x in r.lsh_knn(q, df, 5, keep_self=False).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert r.lsh_bits(10) == 8 and r.lsh_bits(10**9) == 21 and r.lsh_bits(10**12) == 31
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    rows = [(i, [i % 3, 5, 5, 5]) for i in range(40)]
+    sets = spark.createDataFrame(rows, "class_id long, signature array<long>")
+    monkeypatch.setattr(dedup, "PART", 4)
+    got = {tuple(x) for x in dedup.candidates(sets, bands=2, rows=2).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    got = {tuple(x) for x in dedup.candidates(sets, bands=1, rows=2).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3}
+
+
+def test_graph_tables(spark):
+    v = spark.createDataFrame([("a", "A", "x"), ("b", "B", "y")], "id string, name string, type string")
+    e = spark.createDataFrame([("a", "b", "t", 0.5)], "source string, target string, type string, weight double")
+    assert [x.id for x in graph.find(v, "b").collect()] == ["b"] and graph.find(v, kind="x", id="b").count() == 0
+    more = graph.with_vertices(v, spark.createDataFrame([("b", "new", "y"), ("c", "C", "z")], "id string, name string, type string"))
+    assert sorted((x.id, x.name) for x in more.collect()) == [("a", "A"), ("b", "new"), ("c", "C")]
+    edges = graph.with_edges(e, spark.createDataFrame([("a", "b", "t", 0.9), ("a", "b", "u", 0.1)], e.schema))
+    assert sorted((x.type, x.weight) for x in edges.collect()) == [("t", 0.9), ("u", 0.1)]
+    nodes, links = graph.export_network(v, e)
+    assert nodes.first().json == '{"id":"a","label":"A","group":"x"}' and links.first().json == '{"from":"a","to":"b","label":"t","value":0.5}'
+    found = graph.entity_search(e, v.where("id = 'a'").select("id")).first()
+    assert (found.id, found.score, found.path) == ("b", 0.25, ["a", "b"])

@@ -78,6 +78,28 @@ def test_near_duplicates_against_history(spark, tmp_path):
     assert sent == [2]
 
 
+def test_near_duplicate_history_expires(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    sink = pipelines.NearDuplicateSink(str(tmp_path / "out"), keep=1)
+    for n, t in enumerate((text, "some other words", text, text)):
+        sink(spark.createDataFrame([(f"i{n}", t)], "id string, content string"), n)
+    sink(spark.createDataFrame([("i3", text)], "id string, content string"), 3)  # retried
+    got = {r.id: r.duplicate_of for r in spark.read.parquet(str(tmp_path / "out" / "items")).collect()}
+    assert got == {"i0": None, "i1": None, "i2": None, "i3": "i2"}
+    assert sorted(p.name for p in (tmp_path / "out" / "bands").glob("batch=*")) == ["batch=2", "batch=3"]
+
+
+def test_session_state(spark, tmp_path):
+    rows = [(1, 1, 0, "s1", "Ada"), (1, 1, 1, "s2", None), (1, 1, 2, "s1", "Bob"), (2, 1, 0, None, None)]
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], "user_id long, session_id long, turn long, cited string, entity string").write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, session_id long, turn long, cited string, entity string").option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
+    seen = []
+    pipelines.run_available(pipelines.session_state(stream, 2), lambda b, n: seen.extend(b.collect()), str(tmp_path / "cp"), "update")
+    last = {r.user_id: r for r in seen if r.turns == (3 if r.user_id == 1 else 1)}
+    assert sorted(last[1].cited) == ["s1", "s2"] and sorted(last[1].entities) == ["Ada", "Bob"] and last[2].cited == []
+
+
 def test_webhooks_and_logs(spark):
     as_of = F.lit("2024-01-31").cast("timestamp")
     payloads = ['{"id": "1", "content": "x", "timestamp": "2024-01-02T03:04:05", "priority": 9, "content_type": "NEWS"}', '{"id": "2"}', '{"id": "3", "content": " "}', '{"content": "y", "timestamp": "bad", "content_type": "odd"}', "broken"]

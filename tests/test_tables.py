@@ -66,6 +66,44 @@ def test_read_csv_and_json(spark, tmp_path):
         src.read_any(spark, "x.doc")
 
 
+def test_json_documents(spark, tmp_path):
+    def read(value):
+        (tmp_path / "d.json").write_text(value if isinstance(value, str) else json.dumps(value))
+        df = src.read_json(spark, str(tmp_path / "d.json"))
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    assert read([{"k": [1, 2], "a": "x  y"}]) == (["k", "a"], [("[1,2]", "x y")])  # one object with a list is a row
+    assert read({"z": [{"q": 1}], "a": [{"q": 2}]}) == (["q"], [("1",)])  # the first list of the document
+    assert read({"n": {"a": [1]}, "rows": [{"b": None, "a": 1.5}, {"a": True, "c": 1}]}) == (["b", "a"], [("", "1.5"), ("", "true")])
+    assert read([["a", 1], ["b", None, 3], []]) == (["col_0", "col_1"], [("a", "1"), ("b", ""), ("", "")])
+    assert read(" \n[]") == ([], []) and read({"rows": []}) == ([], [])
+    for bad in ({"a": 1}, "5"):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_image_sizes(spark, tmp_path):
+    from siftstone.sources import files
+
+    made = {"a.png": b"\x89PNG\r\n\x1a\n" + bytes(8) + (640).to_bytes(4, "big") + (480).to_bytes(4, "big"), "b.gif": b"GIF89a" + (7).to_bytes(2, "little") + (9).to_bytes(2, "little"),
+            "c.jpg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + bytes(9),
+            "d.webp": b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"), "e.jpeg": b"broken", "f.txt": b"no image"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.media_type, r.width, r.height) for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("image/png", 640, 480), "b.gif": ("image/gif", 7, 9), "c.jpg": ("image/jpeg", 40, 30), "d.webp": ("image/webp", 100, 50), "e.jpeg": ("image/jpeg", None, None)}
+
+
+def test_source_trees_without_globs(spark, tmp_path):
+    from siftstone.sources import files
+
+    for name in ("a.py", "test_b.py", "pkg/c.py", "pkg/gen/d.py", "venv/e.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1")
+    got = files.read_sources(spark, str(tmp_path), globs=("test_*", "*/gen/*"))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == ["a.py", "c.py"]
+
+
 HTML = """<p>before</p><table><caption> C </caption><thead><tr><th>a</th><th>b</th></tr></thead><tr><td>1</td><td> 2  3 </td></tr></table>
 <table><tr><th>x</th></tr><tr><td>5</td></tr><tr><td><table><tr><td>in</td></tr></table></td></tr></table><script>no</script><p>after</p>"""
 
