@@ -9,7 +9,7 @@ join sides are plain tables, so that skewed keys can be split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Store
@@ -17,24 +17,38 @@ from .common import Store
 
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns a, b, longs) but
-    the roots themselves; root is the component's least node."""
-    now = store.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark, at = _mark(now), store.made
+    the roots themselves; root is the component's least node.  A round is two
+    jobs; what the next one reads is counted as it is written."""
+    now, mark = _marked(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), store)
+    at = store.made
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = store.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = store.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = store.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new = store.keep(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        new, last = _marked(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), store)
         for k in range(at, store.made):
             store.drop(k)
-        at, was, mark, now = store.made, mark, _mark(new), new
+        at, was, mark, now = store.made, mark, last, new
         if was == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """How many edges there are, and a sum that tells sets of edges apart."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def merged(roots: DataFrame, links: DataFrame, store: Store) -> DataFrame:
+    """``roots`` (node, root) with more links (a, b): only the roots that these
+    join are gone over again."""
+    names = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"}
+    edges = links.join(names["a"], "a", "left").join(names["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    fresh = components(edges, store)
+    moved = roots.join(fresh.select(F.col("node").alias("root"), F.col("root").alias("better")), "root", "left").select("node", F.coalesce("better", "root").alias("root"))
+    return store.keep(moved.unionByName(fresh))
+
+
+def _marked(edges: DataFrame, store: Store) -> tuple[DataFrame, tuple]:
+    """The edges, written; how many there are, and a sum that tells sets of
+    edges apart."""
+    seen = Observation()
+    held = store.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")))
+    return held, (seen.get["n"], seen.get["sum"])

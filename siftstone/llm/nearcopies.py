@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch
 from .common import LAST_KEY, Store, col, free, least_rows
-from .components import components
+from .components import merged
 from .simhash import near_pairs, simhashes
 from .textbatch import U64, Words, chunks, mix, runs_of
 
@@ -179,8 +179,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     held = F.min_by(F.struct("id", "version", "n", "sim", "odd", "bands"), F.struct("id", "version")).alias("x")
     classes = store.keep(prints.groupBy("fp").agg(held).select("fp", "x.*"))
     pairs = store.keep(_bounded(_sim_pairs(classes, store), classes, threshold))
-    tried, links = pairs, store.keep(_confirm(pairs, classes, slim, threshold))
-    roots = store.keep(components(links, store))
+    tried = pairs
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = merged(none, store.keep(_confirm(pairs, classes, slim, threshold)), store)
     # One exchange serves the count and the join.
     banded = classes.select("fp", F.explode("bands").alias("bucket")).repartition("bucket")
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
@@ -203,8 +204,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
             pairs = met.distinct().join(tried, ["a", "b"], "left_anti")
         pairs = store.keep(pairs)
         found = store.keep(_confirm(pairs, classes, slim, threshold))
-        tried, links = tried.unionByName(pairs), links.unionByName(found)
-        roots = store.keep(components(links, store))
+        tried, roots = tried.unionByName(pairs), merged(roots, found, store)
     out = prints.select("id", "version", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     return out.select("id", "version", F.coalesce("root", "fp").alias("root"))
 
