@@ -20,7 +20,8 @@ their first and last keys and counts.
 A task writes under a name of its own attempt and reports it; only reported
 files count, so a task that is run again leaves no half-written shard behind.
 
-Rows: a null text is empty (only the end id); a null key sorts last and has no
+Rows: keys are whole numbers (a table whose keys cannot be cast to long is an
+error); a null text is empty (only the end id); a null key sorts last and has no
 index entry; of rows with the same key the index names the first, the others
 follow it (ties are ordered by text hash).  An empty table writes no shard.
 """
@@ -168,9 +169,12 @@ def footer(*values: int) -> bytes:
 
 
 def open_fs(path: str):
-    """A file system and the path in it, for any scheme that Arrow knows."""
+    """A file system and the path in it, for any scheme that Arrow knows; Hadoop's
+    names of the same stores are taken for Arrow's."""
     from pyarrow import fs
 
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://"), ("wasbs://", "abfs://")):
+        path = arrow + path[len(hadoop) :] if path.startswith(hadoop) else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

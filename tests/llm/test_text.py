@@ -423,3 +423,30 @@ def test_scoring_equals_the_model_and_generalises(spark, none):
     assert toxicity.score(none.select("doc_id", "text"), model).count() == 0
     assert toxicity.train(docs, labels.where("toxic = 1")).score("x") > 0.99
     assert toxicity.train(docs, labels.limit(0)).score("x") < 0.01
+
+
+def test_train_on_a_table_equals_fit(spark):
+    rows = made_labels(500)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    table, plain = toxicity.train(docs, labels), toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    for t in ("word1 awful", "word1 word2 muslim", "", "vilest christian word9"):
+        assert table.score(t) == pytest.approx(plain.score(t), abs=1e-6)
+
+
+def test_op3_query_learns_nothing_from_the_held_out_fold(spark, tmp_path):
+    import zlib
+
+    rows = made_labels(800) + [(5000, None, 0), (5001, "", 0)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    scores = []
+    for name, flip in (("a", 0), ("b", 1)):
+        sf = tmp_path / name
+        spark.createDataFrame([(r[0], r[1], "en", "s") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(str(sf / "documents.parquet"))
+        spark.createDataFrame([(r[0], 1 - r[2] if flip and fold(r[0]) else r[2], 1) for r in rows], "doc_id long, toxic int, quality int").write.parquet(str(sf / "labels.parquet"))
+        got = {r.doc_id: r for r in toxicity.op3_query(spark, str(sf)).collect()}
+        assert len(got) == len(rows) and all(got[r[0]].held_out == fold(r[0]) and got[r[0]].predicted == int(got[r[0]].score >= 0.3) for r in rows)
+        scores.append({i: r.score for i, r in got.items()})
+    assert scores[0] == pytest.approx(scores[1])
+    held = [(scores[0][r[0]] >= 0.3) == bool(r[2]) for r in rows[:800] if fold(r[0])]
+    assert sum(held) > 0.9 * len(held) > 100
