@@ -3,13 +3,17 @@ again and a lost executor costs no more than a file read."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that the cluster names in
-    ``spark.checkpoint.dir``; one of our own only in local mode, where none is set."""
-    sc = df.sparkSession.sparkContext
+    ``spark.checkpoint.dir`` and read again; one of our own only in local mode,
+    where none is set.  The files go with the driver's end."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where:
@@ -19,4 +23,8 @@ def kept(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    where = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
