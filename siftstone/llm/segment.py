@@ -246,8 +246,8 @@ class Lattices:
         bare = np.ones(len(char), bool)
         bare[src[0] if src else []] = False
         bare = np.flatnonzero(bare)
-        src, length, piece = (np.concatenate([*x, y]) for x, y in ((src, bare), (length, np.ones(len(bare), np.int64)), (piece, -1 - char[bare])))
-        order = np.argsort(src, kind="stable")  # shorter pieces come first already
+        src, length, piece = (np.concatenate([*x[::-1], y]) for x, y in ((src, bare), (length, np.ones(len(bare), np.int64)), (piece, -1 - char[bare])))
+        order = np.argsort(src, kind="stable")  # longer pieces, mostly the likelier ones, come first already
         src, length, piece = src[order], length[order], piece[order]
         many = np.ones(len(src), np.int64)
         spelled = np.flatnonzero(piece < 0)

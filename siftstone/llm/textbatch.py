@@ -166,10 +166,11 @@ def end_task() -> None:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser that spreads all input bits (SplitMix64's)."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 def runs_of(word_hash: np.ndarray, k: int, which: int = 0) -> np.ndarray:
