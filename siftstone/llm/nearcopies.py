@@ -197,10 +197,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
             met = open_rows.join(first, "bucket").where("root <> lead.root").select(F.least("fp", "lead.fp").alias("a"), F.greatest("fp", "lead.fp").alias("b"))
             pairs = _bounded(met.distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold)
         else:
-            full = store.keep(open_rows.join(classes.select("fp", "n", "odd"), "fp"))
-            x, y = (full.select("bucket", F.col("fp").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
+            full = store.keep(open_rows.join(classes.select("fp", "n", "odd", "bands"), "fp"))
+            x, y = (full.select("bucket", F.col("fp").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"), F.col("bands").alias(f"s{k}")) for k in "ab")
             may = _may(F.col("na"), F.col("oa"), F.col("nb"), F.col("ob"), threshold)
-            met = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b")
+            # All buckets that such a pair shares are open still; it comes from the first.
+            here = x.bucket == F.get(F.array_intersect("sa", "sb"), F.lit(0))
+            met = x.join(y, (x.bucket == y.bucket) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may & here).select("a", "b")
             pairs = met.distinct().join(tried, ["a", "b"], "left_anti")
         pairs = store.keep(pairs)
         found = store.keep(_confirm(pairs, classes, slim, threshold))
