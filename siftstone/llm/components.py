@@ -9,7 +9,7 @@ join sides are plain tables, so that skewed keys can be split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store
@@ -17,22 +17,19 @@ from .common import Store
 
 def components(edges: DataFrame, store: Store) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (columns a, b, longs) but
-    the roots themselves; root is the component's least node.  A round is two
-    jobs; what the next one reads is counted as it is written."""
-    now, mark = _marked(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), store)
+    the roots themselves; root is the component's least node."""
+    now = store.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     at = store.made
-    while mark[0]:
+    while _tangled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = store.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        new, last = _marked(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), store)
+        now = store.keep(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         for k in range(at, store.made):
             store.drop(k)
-        at, was, mark, now = store.made, mark, last, new
-        if was == mark:
-            break
+        at = store.made
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -46,9 +43,7 @@ def merged(roots: DataFrame, links: DataFrame, store: Store) -> DataFrame:
     return store.keep(moved.unionByName(fresh))
 
 
-def _marked(edges: DataFrame, store: Store) -> tuple[DataFrame, tuple]:
-    """The edges, written; how many there are, and a sum that tells sets of
-    edges apart."""
-    seen = Observation()
-    held = store.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")))
-    return held, (seen.get["n"], seen.get["sum"])
+def _tangled(edges: DataFrame) -> int:
+    """How many nodes have two smaller neighbours, or one and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").count()

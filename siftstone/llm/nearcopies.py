@@ -8,9 +8,9 @@ MinHash bands find the rest: ``BANDS`` bands of ``ROWS`` minima, so that a pair
 the threshold shares no band with a chance of (1 - 0.8**5)**32, about 3 in a
 million.  Every link is confirmed on the whole sets of shingles.
 
-Not every pair of a bucket need be compared, as only components count.  First
-the members of each bucket meet one leader (another one in each of ``LEADERS``
-rounds), which costs as many pairs as the bucket has members and joins a large
+Not every pair of a bucket need be compared, as only components count.  First,
+with the anchors' pairs, the members of each bucket meet one leader (another one in
+each of ``LEADERS`` rounds), which costs as many pairs as the bucket has members and joins a large
 group of near copies.  Then all pairs of a bucket that are not yet in one
 component and were not compared are, so that no link is lost.
 
@@ -169,6 +169,12 @@ def _sim_pairs(classes: DataFrame, store: Store) -> DataFrame:
     return same.unionByName(near)
 
 
+def _led(open_rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's members with its leader of this round."""
+    first = open_rows.groupBy("bucket").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("lead"))
+    return open_rows.join(first, "bucket").where("root <> lead.root").select(F.least("fp", "lead.fp").alias("a"), F.greatest("fp", "lead.fp").alias("b"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows (id, version, root), one for each document (a null id is
     ``LAST_KEY``): a hash of the text and the name of its component."""
@@ -178,24 +184,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # Equal sets have equal bands.
     held = F.min_by(F.struct("id", "version", "n", "sim", "odd", "bands"), F.struct("id", "version")).alias("x")
     classes = store.keep(prints.groupBy("fp").agg(held).select("fp", "x.*"))
-    pairs = store.keep(_bounded(_sim_pairs(classes, store), classes, threshold))
-    tried = pairs
-    none = docs.sparkSession.createDataFrame([], "node long, root long")
-    roots = merged(none, store.keep(_confirm(pairs, classes, slim, threshold)), store)
     # One exchange serves the count and the join.
     banded = classes.select("fp", F.explode("bands").alias("bucket")).repartition("bucket")
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     open_rows = store.keep(banded.join(crowded, "bucket").select("bucket", "fp"))
-    for turn in range(LEADERS + 1):
+    near = _sim_pairs(classes, store)
+    if LEADERS:
+        near = near.unionByName(_led(open_rows.withColumn("root", F.col("fp")), 0))
+    tried = pairs = store.keep(_bounded(near.distinct(), classes, threshold))
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = merged(none, store.keep(_confirm(pairs, classes, slim, threshold)), store)
+    for turn in range(min(1, LEADERS), LEADERS + 1):
         named = open_rows.select("bucket", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
         split = named.groupBy("bucket").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l < g").select("bucket")
         open_rows = store.keep(named.join(split, "bucket"))
         if open_rows.isEmpty():
             break
         if turn < LEADERS:
-            first = open_rows.groupBy("bucket").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("lead"))
-            met = open_rows.join(first, "bucket").where("root <> lead.root").select(F.least("fp", "lead.fp").alias("a"), F.greatest("fp", "lead.fp").alias("b"))
-            pairs = _bounded(met.distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold)
+            pairs = _bounded(_led(open_rows, turn).distinct().join(tried, ["a", "b"], "left_anti"), classes, threshold)
         else:
             full = store.keep(open_rows.join(classes.select("fp", "n", "odd", "bands"), "fp"))
             x, y = (full.select("bucket", F.col("fp").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"), F.col("bands").alias(f"s{k}")) for k in "ab")
