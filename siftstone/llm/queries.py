@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, segment, simhash, spotsigs, substring, tokenfile, tokens, toxicity
+from . import chat, mixing, quality, repair, segment, simhash, spotsigs, substring, tokenfile, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": mixing.op8_query,
     "op9_token_counts": tokens.op9_query,
     "op10_quality_rules": quality.op10_query,
+    "op11_conversation_repair": repair.op11_query,
 }
 
 SQL: dict[str, str] = {
@@ -26,6 +27,7 @@ SQL: dict[str, str] = {
     "op2_substring_dedup": substring.OP2_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
 }
 
 
