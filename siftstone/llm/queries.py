@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, repair, segment, simhash, spotsigs, substring, tokenfile, tokens, toxicity
+from . import chat, mixing, quality, repair, segment, sharding, simhash, spotsigs, substring, tokenfile, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": tokens.op9_query,
     "op10_quality_rules": quality.op10_query,
     "op11_conversation_repair": repair.op11_query,
+    "op12_minimax_sharding": sharding.op12_query,
 }
 
 SQL: dict[str, str] = {
@@ -28,6 +29,7 @@ SQL: dict[str, str] = {
     "op8_source_mixing": mixing.OP8_SQL,
     "op10_quality_rules": quality.OP10_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
+    "op12_minimax_sharding": sharding.OP12_SQL,
 }
 
 
