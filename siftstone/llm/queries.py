@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, repair, segment, sharding, simhash, spotsigs, substring, tokenfile, tokens, toxicity
+from . import chat, mixing, quality, repair, segment, sharding, simhash, spotsigs, substring, tokenfile, tokens, toxicity, yinyang
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat.op1_query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality.op10_query,
     "op11_conversation_repair": repair.op11_query,
     "op12_minimax_sharding": sharding.op12_query,
+    "op13_yinyang_clusters": yinyang.op13_query,
 }
 
 SQL: dict[str, str] = {
@@ -30,6 +31,7 @@ SQL: dict[str, str] = {
     "op10_quality_rules": quality.OP10_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
     "op12_minimax_sharding": sharding.OP12_SQL,
+    "op13_yinyang_clusters": yinyang.OP13_SQL,
 }
 
 

@@ -16,13 +16,14 @@ from test_tokens import BPE
 import corpus_pipeline
 from siftstone.llm import queries
 
-EDGES = {"op2_substring_dedup", "op4_segment_sampling", "op5_token_file", "op6_spotsigs", "op7_simhash_dedup", "op8_source_mixing", "op9_token_counts", "op10_quality_rules"}
+EDGES = {"op2_substring_dedup", "op4_segment_sampling", "op5_token_file", "op6_spotsigs", "op7_simhash_dedup", "op8_source_mixing", "op9_token_counts", "op10_quality_rules", "op12_minimax_sharding"}
 
 
 def tables(spark, folder, rows):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -68,5 +69,7 @@ def test_long_texts(spark, tmp_path, long_rows):
         assert got["op8_source_mixing"][i].size == len(words(t))
         row = got["op9_token_counts"][i]
         assert (row.n_tokens, row.n_bytes, row.over_limit) == (len(tokens), len(t.encode()), len(tokens) > 2048)
+        row = got["op12_minimax_sharding"][i]
+        assert (row.size, row.text_crc32) == (len(t.encode()) + 8, zlib.crc32(t.encode()))
         row = got["op10_quality_rules"][i]
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == counts(t)
