@@ -5,14 +5,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster names in
-    ``spark.checkpoint.dir`` and read again; one of our own only in local mode,
-    where none is set.  The files go with the driver's end."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``;
+    in one of our own only in local mode, where none is set.  It goes with the
+    driver's end."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         where = sc.getConf().get("spark.checkpoint.dir")
@@ -24,7 +23,15 @@ def kept(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(where)
     where = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return where
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again."""
+    where = f"{folder(df.sparkSession)}/rows"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -143,34 +143,41 @@ def lsh_bits(rows: int) -> int:
     return max(8, min(40, math.ceil(math.log2(max(rows, 1) / BUCKET))))
 
 
-def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int | None = None, seed: int = 7, width: int = 64, keep_self: bool = True) -> DataFrame:
+def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bits: int | None = None, seed: int = 7, flips: int = 5, keep_self: bool = True) -> DataFrame:
     """Approximate neighbours: rows are indexed by random-hyperplane buckets,
-    whose number grows with the corpus, queries look into theirs and those one
-    bit away (two, where codes have more than 12 bits), and exact cosine ranks what they find.  Every row is indexed; a
+    whose number grows with the corpus.  In each table a query looks into its own
+    bucket and those that differ in any of the ``flips`` bits whose planes it is nearest
+    to, 2 ** flips buckets at every size; exact cosine ranks what they find.  Every
+    row that has a direction is indexed (the width is the longest query's); a
     crowded bucket's rows are dealt into parts of about ``PART`` for the join.
     Rows are found by likeness alone: corpora without near neighbours are
     served better by ``knn``, which is exact."""
     bits = bits or lsh_bits(corpus.count())
+    flips = min(flips, bits)
+    width = queries.agg(F.max(F.size("embedding")).alias("w")).first().w or 1
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
 
-    def coder(flips: np.ndarray):
+    def coder(flips: int):
+        subsets = (np.arange(2**flips)[:, None] >> np.arange(flips)) & 1
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                side = (_vectors(batch.column(1), width) @ planes.T > 0).reshape(-1, tables, bits)
-                code = (side << np.arange(bits)).sum(2)
-                code = (code[:, :, None] ^ flips) + (np.arange(tables) << bits)[None, :, None]
+                x = _vectors(batch.column(1), width)
+                batch, x = batch.filter(pa.array(x.any(1))), x[x.any(1)]
+                side = (x @ planes.T).reshape(-1, tables, bits)
+                code = ((side > 0) << np.arange(bits)).sum(2)
+                near = 1 << np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :flips].astype(np.int64)
+                code = (code[:, :, None] ^ (near @ subsets.T)) + (np.arange(tables) << bits)[None, :, None]
                 code = code.reshape(len(code), -1).astype(np.int64)
-                held = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * (tables * 2**flips)), pa.array(code.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], ["id", "embedding", "codes"])
 
         return run
 
     plain = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
     schema = "id long, embedding array<float>, codes array<long>"
-    rows = plain(corpus, "id").mapInArrow(coder(np.zeros(1, np.int64)), schema)
-    one = 1 << np.arange(bits)
-    two = (one[:, None] | one[None, :])[np.triu_indices(bits, 1)] if bits > 12 else one[:0]
-    asked = plain(queries, "qid").mapInArrow(coder(np.concatenate(([0], one, two))), schema)
+    rows = plain(corpus, "id").mapInArrow(coder(0), schema)
+    asked = plain(queries, "qid").mapInArrow(coder(flips), schema)
     indexed = kept(rows.select("id", F.explode("codes").alias("code")))
     crowded = indexed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = indexed.join(crowded, "code").select("code", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftstone.functions.lineage import folder
 from siftstone.operators import retrieval as r
+from siftstone.operators.vector_index import VectorIndex
 from siftstone.plans.registry import query, table
 
 TERMS = ["from", "that", "with"]
@@ -184,3 +186,21 @@ SELECT source, id, score, rank FROM (
 def per_modality_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
     return r.top_k(docs, 5, "score", "id", "source")
+
+
+#: What the index went through before the search, told by label: 8 and 9 come late,
+#: those of 5 are replaced by their opposites, those of 3 are deleted.
+_NOW = "SELECT vec_id AS id, CASE WHEN label = 5 THEN list_transform(embedding, lambda x: -x) ELSE embedding END::DOUBLE[] AS e FROM embeddings WHERE label IS DISTINCT FROM 3"
+
+
+@query("vector_index_search", f"""
+WITH now AS ({_NOW}), q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT qid, id, round(list_cosine_similarity(e, qe), 6) AS score FROM q, now)
+SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vector_index_search(spark, sf_dir):
+    """Exact search in a stored index after late rows, replacements and deletes."""
+    rows = _vectors(spark, sf_dir)
+    index = VectorIndex.build(rows.where("label is null or label < 8").select("id", "embedding"), folder(spark))
+    index.upsert(rows.where("label >= 8").select("id", "embedding").unionByName(rows.where("label = 5").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))))
+    index.delete(rows.where("label = 3").select("id"))
+    return index.search(rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), 10, exact=True)

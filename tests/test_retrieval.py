@@ -214,17 +214,26 @@ def test_many_queries_meet_the_corpus_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, r.knn(q, df, 6, keep_self=False).collect())) == few and len(few) == 91 * 6
 
 
-def test_approximate_search_on_the_given_vectors(spark):
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "384 wide"])
+def test_approximate_search_finds_the_neighbours_at_every_size(spark, size):
     from pathlib import Path
 
-    where = Path("/root/testdata/sf0.01/embeddings.parquet")
-    if not where.exists():
+    where = Path(f"/root/testdata/{size}/embeddings.parquet")
+    if size == "384 wide":
+        rng = np.random.default_rng(1)
+        x = rng.standard_normal((40, 384))[rng.integers(0, 40, 1000)] + 0.5 * rng.standard_normal((1000, 384))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    elif where.exists():
+        df = spark.read.parquet(str(where)).select(F.col("vec_id").alias("id"), "embedding")
+    else:
         pytest.skip("no such table here")
-    df = spark.read.parquet(str(where)).select(F.col("vec_id").alias("id"), "embedding")
     q = df.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
     exact = {(x.qid, x.id) for x in r.knn(q, df, 5, keep_self=False).collect()}
     near = {(x.qid, x.id) for x in r.lsh_knn(q, df, 5, keep_self=False).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_bucket_codes_grow_with_the_rows():
     assert r.lsh_bits(10) == 8 and r.lsh_bits(10**9) == 21 and r.lsh_bits(10**12) == 31
 
 
