@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftstone.functions.lineage import folder
+from siftstone.functions.text import tokens
 from siftstone.operators import retrieval as r
+from siftstone.operators.postings_index import PostingsIndex
 from siftstone.operators.vector_index import VectorIndex
 from siftstone.plans.registry import query, table
 
@@ -204,3 +206,24 @@ def vector_index_search(spark, sf_dir):
     index.upsert(rows.where("label >= 8").select("id", "embedding").unionByName(rows.where("label = 5").select("id", F.transform("embedding", lambda x: -x).alias("embedding"))))
     index.delete(rows.where("label = 3").select("id"))
     return index.search(rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), 10, exact=True)
+
+
+@query("postings_index_search", """
+WITH now AS (SELECT doc_id AS id, CASE WHEN lang = 'de' THEN concat(text, ' ', lang, ' ', source) ELSE text END AS text FROM documents WHERE source IS DISTINCT FROM 'src3'),
+tok AS MATERIALIZED (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM now),
+tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
+s AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS terms FROM q JOIN tf USING (term) JOIN df USING (term), tot GROUP BY qid, id)
+SELECT qid, id, score, terms, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def postings_index_search(spark, sf_dir):
+    """All benchmark items as questions to a stored index: the documents of src7 come
+    late, German ones are replaced, those of src3 are deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    index = PostingsIndex.build(docs.where("source is null or source <> 'src7'").select("doc_id", "text"), folder(spark))
+    german = docs.where("lang = 'de' and text is not null").select("doc_id", F.concat_ws(" ", "text", "lang", "source").alias("text"))
+    index.upsert(docs.where("source = 'src7' and (lang is null or lang <> 'de')").select("doc_id", "text").unionByName(german))
+    index.delete(docs.where("source = 'src3'").select(F.col("doc_id").alias("id")))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tokens(F.col("text")).alias("terms"))
+    return index.search(questions, 5).select("qid", "id", "score", F.size("matched_terms").cast("long").alias("terms"), "rank")
