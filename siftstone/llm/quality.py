@@ -8,16 +8,19 @@ ratios is above that rule's i-th cutoff.  The levels are tested in this order: t
 null hypothesis is that more than the allowed share of good documents (that
 pass the base rules) is rejected, and it is dropped where the exact binomial tail
 P(X <= rejected | n, allowed) is at most the stratum's level.  Testing stops at
-the first failure (a fixed sequence needs no further correction); over strata the
-level is divided (Bonferroni).  So, with probability 1 - DELTA over the holdouts,
-no stratum loses more than ALLOWED of its good documents.
+the first failure (a fixed sequence needs no further correction); over the strata
+that are tested the level is divided (Bonferroni).  So, with probability 1 - DELTA over
+the holdouts, no stratum loses more than ALLOWED of its good documents.
 
 What is proven of a level holds for every milder cutoff of each rule, so within
 the proven levels each rule's cutoff is free: the mildest that rejects most bad
 labelled documents less good ones, and none where that is not above 0.
 
-Without a false rejection a level is proven by ln(DELTA / strata) / ln(1 - ALLOWED)
-good labels: 217 for four strata.  Strata with fewer reject nothing.
+Without a false rejection m strata are proven by ln(DELTA / m) / ln(1 - ALLOWED) good
+labels each: 149 for one, 217 for four.  Tested are the m strata with the most good
+labels, for the largest m of which each has so many; how many labels there are is
+known before any rejection is looked at, so the choice costs nothing.  The other strata
+could prove nothing and reject nothing.
 
 Rows: a null or wordless text has no words and fails the base rules; a null
 language is a stratum of its own; labels with null id or quality are unused, a
@@ -153,9 +156,12 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id
     upto = lambda i, what: F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(c["first"] <= i, c[what]).otherwise(0))
     levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.struct(i.alias("i"), upto(i, "good").alias("k"), upto(i, "bad").alias("hit")))
     listed = listed.where("n_good > 0").select("stratum", "rule", "n_good", levels.alias("levels"))
-    joint = listed.where("rule = 'all'").withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    tested = joint.select("stratum", "n_good", "strata", F.inline("levels"))
-    fails = binomial_tail(F.col("n_good"), F.col("k"), allowed) > F.lit(delta) / F.col("strata")
+    every = Window.partitionBy(F.lit(0))  # a row a stratum
+    joint = listed.where("rule = 'all'").withColumn("place", F.row_number().over(every.orderBy(F.col("n_good").desc(), "stratum")))
+    able = F.col("n_good") >= F.log(F.lit(delta) / F.col("place")) / math.log1p(-allowed)
+    joint = joint.withColumn("strata", F.coalesce(F.max(F.when(able, F.col("place"))).over(every), F.lit(0)))
+    tested = joint.select("stratum", "n_good", "place", "strata", F.inline("levels"))
+    fails = (F.col("place") > F.col("strata")) | (binomial_tail(F.col("n_good"), F.col("k"), allowed) > F.lit(delta) / F.col("strata"))
     proven = tested.groupBy("stratum").agg((F.coalesce(F.min(F.when(fails, F.col("i"))), F.lit(LEVELS)) - 1).alias("level"))
     within = listed.where("rule <> 'all'").join(proven.withColumnRenamed("stratum", "of"), F.col("stratum").eqNullSafe(F.col("of")))
     gains = F.transform(F.filter("levels", lambda x: x["i"] <= F.col("level")), lambda x: F.struct((x["hit"] - x["k"]).alias("gain"), (-x["i"]).alias("milder")))
@@ -237,8 +243,10 @@ tails AS (
   SELECT stratum, i, CASE WHEN k >= n_good * {ALLOWED} THEN 1 ELSE (
     SELECT sum(exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({ALLOWED}) + (n_good - j) * ln(1 - {ALLOWED}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) END AS p
   FROM levels WHERE rule = 'all'),
+placed AS (SELECT stratum, n_good, row_number() OVER (ORDER BY n_good DESC, stratum) AS place FROM (SELECT DISTINCT stratum, n_good FROM levels WHERE rule = 'all')),
+able AS (SELECT coalesce(max(place) FILTER (n_good >= ln({DELTA} / place) / ln(1 - {ALLOWED})), 0) AS m FROM placed),
 proven AS (
-  SELECT stratum, coalesce(min(i) FILTER (p > {DELTA} / (SELECT count(DISTINCT stratum) FROM tails)), {LEVELS}) - 1 AS level FROM tails GROUP BY stratum),
+  SELECT stratum, coalesce(min(i) FILTER (place > m OR p > {DELTA} / m), {LEVELS}) - 1 AS level FROM tails JOIN placed USING (stratum), able GROUP BY stratum),
 best AS (
   SELECT stratum, rule, i FROM levels JOIN proven USING (stratum) WHERE rule <> 'all' AND i <= level AND hit > k
   QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY hit - k DESC, i) = 1),

@@ -12,9 +12,11 @@ All occurrences of the pair in a sequence merge together, left to right, which
 equals merging one by one as long as no merge yields a pair of lower rank.
 That holds if a merge only joins symbols made by earlier merges; it is checked
 when the vocabulary is read, and otherwise only the leftmost pair merges.
-A sequence of more than ``LONG`` symbols (an unbroken run of letters) holds its
-pairs by rank, with links to their neighbours, so that a round costs what it
-merges and not the whole sequence.
+A sequence of more than ``LONG`` symbols (an unbroken run of letters; a documented
+parameter) makes the same rounds, rank by rank with all places of the lowest one at
+once, on another layout: flat arrays of symbols and of links to both neighbours, and
+the places of each rank, so that a round costs what it merges and not the whole
+sequence.  The counts are those of the ragged layout, which tests compare at the boundary.
 
 Rows: a null text is empty; rows repeat as they come; other columns pass
 through.  An empty table gives an empty result.
@@ -37,7 +39,7 @@ from .common import col, free
 from .textbatch import Numbered, chunks, ranges
 
 LIMIT = 2048
-#: Symbols beyond which a sequence's pairs are held by rank.
+#: Symbols beyond which a sequence has links and its places by rank (same rounds, same counts).
 LONG = 256
 #: Words whose tokens a worker keeps.
 CACHED = 500_000

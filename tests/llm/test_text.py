@@ -103,12 +103,15 @@ def chosen(measured, labels, allowed=quality.ALLOWED, delta=quality.DELTA):
             held[r.lang].append((quality_of[r.doc_id] == 1, r))
     held = {s: rs for s, rs in held.items() if any(g for g, _ in rs)}
     out = {}
+    good = sorted((-sum(g for g, _ in rs), s is not None, s or "") for s, rs in held.items())
+    m = max((p for p, (n, *_) in enumerate(good, 1) if -n >= math.log(delta / p) / math.log1p(-allowed)), default=0)
+    tested = {s if there else None for _, there, s in good[:m]}
     for s, rs in held.items():
         n, level = sum(g for g, _ in rs), -1
-        for i in range(quality.LEVELS):
+        for i in range(quality.LEVELS if s in tested else 0):
             k = sum(g and any(r[rule] > cuts[i] for rule, cuts in quality.CUTOFFS.items()) for g, r in rs)
             tail = 1.0 if k >= n * allowed else sum(math.comb(n, j) * allowed**j * (1 - allowed) ** (n - j) for j in range(k + 1))
-            if tail > delta / len(held):
+            if tail > delta / m:
                 break
             level = i
         cut = []
@@ -160,6 +163,19 @@ def test_cutoffs_match_brute_force_and_sql(spark, tmp_path):
     assert sum(not kept[i] for i in good) <= quality.ALLOWED * len(good) and sum(not kept[i] for i in bad) > 0.7 * len(bad)
 
 
+@pytest.mark.parametrize("good, level", [((148, 60), False), ((149, 148), True), ((200, 180, 30), True)])
+def test_delta_is_shared_by_the_strata_that_can_prove_something(spark, good, level):
+    rows = [(1000 * s + i, " ".join(f"w{i}x{j}" for j in range(60)), f"l{s}") for s, n in enumerate(good) for i in range(n)]
+    bad = [(1000 * s + 900 + i, " ".join(f"w{i}x{j}###" for j in range(60)), f"l{s}") for s in range(len(good)) for i in range(5)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    labels = [(r[0], 1) for r in rows] + [(r[0], 0) for r in bad]
+    measured = quality.measure(docs).cache()
+    got = {r[0]: tuple(r)[1:] for r in quality.choose_cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert got == chosen(measured.collect(), labels)
+    # 149 good labels prove one stratum, 183 each of two.
+    assert [got[f"l{s}"][1] >= 0 for s in range(len(good))] == [level, *[False] * (len(good) - 1)]
+
+
 def test_cutoffs_limit_false_rejection(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -35,6 +35,17 @@ def test_counts_equal_the_library(docs, rows, library, none):
     assert tokens.count_tokens(none, BPE).count() == 0
 
 
+def test_both_layouts_count_alike_at_the_boundary(library, monkeypatch):
+    rng = random.Random(12)
+    near = ["".join(rng.choice("etaoinshrdl") for _ in range(n)) for n in range(tokens.LONG - 6, tokens.LONG + 7)] + ["th" * (tokens.LONG // 2 + d) for d in (-1, 0, 1)] + ["a" * 5000]
+    expected = [len(library.encode(w, add_special_tokens=False).ids) for w in near]
+    merges = tokens.Merges(BPE)
+    sequences = [merges.symbols(w) for w in near]
+    for long in (tokens.LONG, 1, 10**9):  # as it is, all linked, all ragged
+        monkeypatch.setattr(tokens, "LONG", long)
+        assert merges.count_symbols([list(s) for s in sequences]).tolist() == expected
+
+
 def test_leftmost_merging_gives_the_same():
     merges = tokens.Merges(BPE)
     sequences = [merges.symbols(p) for w in ("aaaaaaa", "internationalisation", "abababab", "zzz") for p in merges.pieces(w)[1]]
