@@ -35,3 +35,12 @@ def kept(df: DataFrame) -> DataFrame:
     where = f"{folder(df.sparkSession)}/rows"
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key where its scan has fewer tasks than the cluster
+    has cores, as for one small file; a larger scan keeps its own tasks."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -43,12 +43,14 @@ def timed_context(items: DataFrame, as_of, k: int = 10) -> tuple[DataFrame, Data
     return hits, hits.agg(freshness(F.max("ts"), as_of).alias("note"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def code_search(units: DataFrame, name: str, phrase: str, k: int = 10) -> DataFrame:
-    """Symbol and text matches of code units, fused by reciprocal ranks."""
+def code_search(units: DataFrame, name: str, phrase: str, k: int = 10, depth: int = 100) -> DataFrame:
+    """Symbol and text matches of code units, the best ``depth`` of each fused by
+    reciprocal ranks."""
     symbol = code.find_symbol(units, name, fuzzy=True).select("id", (1.0 / (1 + F.levenshtein(F.lower("name"), F.lit(name.lower())))).alias("score"))
     said = F.lower(F.concat_ws(" ", "name", "signature", "docstring"))
     text = units.where(F.contains(said, F.lit(phrase.lower()))).select("id", F.lit(1.0).alias("score"))
-    return retrieval.rrf(retrieval.ranked(symbol, "symbol").unionByName(retrieval.ranked(text, "text")), k)
+    best = lambda hits, source: retrieval.ranked(retrieval.top_k(hits, depth).select("id", "score"), source)
+    return retrieval.rrf(best(symbol, "symbol").unionByName(best(text, "text")), k)
 
 
 def code_context(units: DataFrame, edges: DataFrame, hits: DataFrame, related: int = 10, tests: int = 5) -> DataFrame:

@@ -23,10 +23,15 @@ def history(turns: DataFrame, n: int, key: str = "conv_id", order: str = "turn")
 
 
 def recent(turns: DataFrame, column: str, n: int, name: str, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """The last n values of a column before each turn, oldest first."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    held = F.collect_list(column).over(w)
-    return turns.withColumn(name, F.slice(held, F.greatest(F.size(held) - n + 1, F.lit(1)), n))
+    """The last n values of a column before each turn, oldest first.  Frames are of n
+    rows that have a value; a turn takes the last of these that came before it."""
+    there = F.col(column).isNotNull()
+    upto = F.collect_list(column).over(Window.partitionBy(key, there).orderBy(order).rowsBetween(1 - n, 0))
+    held = f"{name}_upto"
+    out = turns.withColumn(held, F.when(there, upto))
+    last = F.last(held, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    none = F.array().cast(turns.select(F.array(column)).schema[0].dataType)
+    return out.withColumn(name, F.coalesce(last, none)).drop(held)
 
 
 def every(turns: DataFrame, n: int, key: str = "conv_id", order: str = "turn") -> DataFrame:

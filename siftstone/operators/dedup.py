@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from siftstone.functions.arrays import windows
-from siftstone.functions.lineage import kept
+from siftstone.functions.lineage import dealt, kept
 from siftstone.functions.text import shingle_words
 from siftstone.functions.vectors import equal_share
 
@@ -17,6 +22,8 @@ PRIME, SEED = 2**31 - 1, 42
 HASHES, BANDS, ROWS, SHINGLE, THRESHOLD = 128, 16, 8, 3, 0.8
 #: Classes of a bucket that one task pairs with the rest of it.
 PART = 1024
+#: Texts whose shingles a task holds at once.
+TEXTS = 64
 
 
 def multipliers(n: int = HASHES, seed: int = SEED) -> list[tuple[int, int]]:
@@ -26,27 +33,44 @@ def multipliers(n: int = HASHES, seed: int = SEED) -> list[tuple[int, int]]:
     return list(zip(a, b))
 
 
-def shingle_hash(shingle: Column) -> Column:
-    """md5 as a 128-bit number, modulo the prime: four limbs, Horner's rule."""
-    digest = F.md5(shingle)
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        limb = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
-        out = (out * (1 << 32) + limb) % PRIME
-    return out
-
-
 def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """(id, shingle), distinct within each document, before any shuffle."""
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(windows(shingle_words(F.col(text_col)), n))).alias("shingle"))
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for 0 <= x < 2**62: the prime is 31 ones."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x == PRIME, 0, x)
+
+
+def _signed(n: int, hashes: int):
+    """Signatures of a batch's word lists: the hashes of all its shingles stand in
+    one array, and each function takes its minima of every row in one pass."""
+    pairs = multipliers(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                found = []
+                for words in batch.column(1).to_pylist():
+                    grams = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+                    found.append(np.fromiter((int.from_bytes(md5(g.encode()).digest(), "big") % PRIME for g in grams), np.int64, len(grams)))
+                flat, first = np.concatenate(found), np.cumsum([0, *map(len, found)])[:-1]
+                least = np.stack([np.minimum.reduceat(_mod(a * flat + b), first) for a, b in pairs], 1)
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * hashes), pa.array(least.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), held], ["id", "signature"])
+
+    return run
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """(id, signature).  Documents with fewer than n words have none.  Shingles
-    of a document stay in its task, where the minima are combined."""
-    h = shingles(docs, id_col, text_col, n).select("id", shingle_hash(F.col("shingle")).alias("h"))
-    least = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(multipliers(hashes))]
-    return h.groupBy("id").agg(*least).select("id", F.array(*(f"m{i}" for i in range(hashes))).alias("signature"))
+    """(id, signature), a row a document with n words or more; no shuffle, so
+    it works on streams too.  A shingle's hash is its md5 modulo the prime."""
+    rows = dealt(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("w")), "id").select("id", shingle_words(F.col("w")).alias("w")).where(F.size("w") >= n)
+    return rows.mapInArrow(_signed(n, hashes), StructType([rows.schema["id"], StructField("signature", ArrayType(LongType()))]))
 
 
 def classes(signed: DataFrame) -> DataFrame:

@@ -85,6 +85,8 @@ def test_chunks():
     pieces = chunking.by_chars(text, 100, 20)
     assert all(len(p) <= 100 for p in pieces) and pieces[0].endswith(".")
     assert chunking.by_words("aa bb cc", 5) == ["aa bb", "cc"] and chunking.by_words("x" * 50, 5) == ["x" * 50]
+    assert chunking.by_paragraphs([], 5) == [] and chunking.by_paragraphs(["", "a" * 9, "b"], 4, 0) == ["", "a" * 9, "b"]
+    assert chunking.by_paragraphs(["a" * 9, "b" * 9, "c"], 3, 2) == ["a" * 9, "aa\n\n" + "b" * 9, "bb\n\nc"]
     assert chunking.by_paragraphs(["a" * 6, "b" * 6, "c"], 10, 2) == ["a" * 6, "aa\n\n" + "b" * 6 + "\n\nc"]
     words = [{"text": t, "x0": x, "top": y, "x1": x + 5, "bottom": y + 10} for t, x, y in (("b", 10, 1), ("a", 0, 0), ("c", 0, 20), ("d", 0, 90))]
     lines = chunking.lines_of_words(words)
@@ -260,3 +262,10 @@ def test_digest_vectors():
 def test_chunk_store(spark):
     rows = chunking.store(spark.createDataFrame([(3, "a b. " * 400), (4, None)], "doc_id long, text string")).collect()
     assert {r.id for r in rows} == {3} and all(len(r.chunk) <= 500 for r in rows) and rows[0].chunk_id == "3_chunk_0"
+
+
+def test_recent_values_skip_turns_without_one(spark):
+    rng = __import__("random").Random(4)
+    rows = [(c, t, rng.choice([None, None, f"v{t}"])) for c in range(6) for t in range(25)]
+    got = {(r.conv_id, r.turn): r.last for r in conversation.recent(spark.createDataFrame(rows, "conv_id long, turn long, v string").repartition(3), "v", 3, "last").collect()}
+    assert got == {(c, t): [v for d, u, v in rows if d == c and u < t and v][-3:] for c, t, _ in rows}
