@@ -338,7 +338,18 @@ def chunk_words(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), chunking.by_words)
 
 
-@query("chunk_paragraphs")
+@query("chunk_paragraphs", r"""WITH RECURSIVE
+d AS MATERIALIZED (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\S')) AS ps FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM d),
+s AS (SELECT doc_id, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS upto FROM e),
+u AS MATERIALIZED (SELECT doc_id, ps, list_prepend(0, list(upto ORDER BY i)) AS upto FROM s JOIN d USING (doc_id) GROUP BY doc_id, ps),
+r AS (
+  SELECT doc_id, -1 AS n, 0::BIGINT AS start, '' AS chunk FROM u
+  UNION ALL
+  SELECT doc_id, n + 1, stop, array_to_string(list_concat(CASE WHEN lead = '' THEN [] ELSE [lead] END, ps[start + 1 : stop]), chr(10) || chr(10))
+  FROM (SELECT *, greatest(len(list_filter(upto, lambda x: x <= upto[start + 1] + 1000 - length(lead))) - 1, start + 1) AS stop
+    FROM (SELECT r.doc_id, n, start, ps, upto, CASE WHEN length(chunk) > 200 THEN right(chunk, 200) ELSE '' END AS lead FROM r JOIN u USING (doc_id) WHERE start < len(ps))))
+SELECT doc_id AS id, n AS chunk_index, chunk FROM r WHERE n >= 0""")
 def chunk_paragraphs(spark, sf_dir):
     return chunking.chunk(table(spark, sf_dir, "documents"), lambda t: chunking.by_paragraphs([p for p in t.split("\n") if p.strip()]))
 
