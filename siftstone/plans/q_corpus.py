@@ -8,6 +8,7 @@ from siftstone.functions import times
 from siftstone.functions.lineage import kept
 from siftstone.operators import dedup, graph, state, timeindex
 from siftstone.plans.registry import query, table
+from siftstone.streaming import near
 
 _AB = dedup.multipliers()
 _LIMBS = "0::BIGINT"
@@ -73,6 +74,21 @@ def dedup_first_match(spark, sf_dir):
     return dedup.first_match(_docs(spark, sf_dir))
 
 
+@query("near_dup_within_retention", f"""WITH {SIGNED},
+own AS (SELECT id, b, array_to_string(signature[b * 8 + 1 : b * 8 + 8], ',') AS bucket FROM signed, (SELECT unnest(range(0, 16)) AS b)),
+near AS (SELECT DISTINCT x.id AS id, y.id AS o FROM own x JOIN own y ON x.b = y.b AND x.bucket = y.bucket AND y.id < x.id AND x.id - y.id <= 500),
+likened AS (
+  SELECT n.id, n.o, round(list_sum(list_transform(range(1, 129), lambda i: (sa.signature[i] = sb.signature[i])::INT)) / 128.0::DOUBLE, 6) AS similarity
+  FROM near n JOIN signed sa ON sa.id = n.id JOIN signed sb ON sb.id = n.o)
+SELECT id, min(o) AS duplicate_of, arg_min(similarity, o) AS similarity FROM likened WHERE similarity >= 0.8 GROUP BY id""")
+def near_dup_within_retention(spark, sf_dir):
+    """The stream's keyed state over a table: a document an hour, looked back on for
+    500 hours."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", near.PROVIDER)
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.timestamp_seconds(F.col("doc_id") * 3600).alias("ts"), F.col("text").alias("content"))
+    return near.first_matches(near.near_matches(items, "500 hours"))
+
+
 @query("exact_dups", """
 SELECT md5(text) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1""")
 def exact_dups(spark, sf_dir):
