@@ -60,7 +60,7 @@ class Bands(StatefulProcessor):
                     entries[own.tobytes()] = []
                     names.append(own.tobytes())
                     stack = own[None, :] if stack is None else np.vstack((stack, own))
-                like = np.round((stack == own).mean(1), 6)
+                like = np.floor((stack == own).mean(1) * 1e6 + 0.5) / 1e6  # halves go up, as in SQL
                 best = None
                 for n in np.flatnonzero(like >= self.threshold):
                     there = entries[names[n]]
@@ -106,6 +106,8 @@ def near_matches(items: DataFrame, keep: str, threshold: float = dedup.THRESHOLD
         dealt = dealt.withWatermark("ts", delay)
     else:
         _ = spark.streams.active  # asking for the streams starts the service that places state
+        shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        dealt = dealt.join(shared, "bucket", "left_semi")  # a bucket of one matches nothing
     held = Bands(threshold, micros, items.isStreaming)
     return dealt.groupBy("bucket").transformWithStateInPandas(held, MATCH, "append", "eventTime" if items.isStreaming else "none")
 

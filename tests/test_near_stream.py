@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -41,8 +42,8 @@ def by_rule(spark, rows, hours, threshold=0.8):
         for o, b in sorted(signed.items(), key=lambda x: at[x[0]]):
             same = sum(x == y for x, y in zip(a, b)) / len(a)
             bands = any(a[k : k + 8] == b[k : k + 8] for k in range(0, 128, 8))
-            if (at[o], o) < (at[n], n) and at[n] - at[o] <= timedelta(hours=hours) and bands and round(same, 6) >= threshold:
-                out[n] = (o, round(same, 6))
+            if (at[o], o) < (at[n], n) and at[n] - at[o] <= timedelta(hours=hours) and bands and same >= threshold:
+                out[n] = (o, math.floor(same * 1e6 + 0.5) / 1e6)
                 break
     return out
 
