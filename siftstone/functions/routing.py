@@ -95,7 +95,7 @@ def tool_argument(tool: Column, question: Column) -> Column:
     return F.when(tool == "calculator", F.when(numbers != "", numbers).otherwise(question)).when(tool == "datetime", clock).otherwise(question)
 
 
-#: Who speaks after the coordinator, by what it asks for, in order.
+#: Who speaks after the coordinator, by what it asks for, in order.
 NEXT = ((("search", "retrieve"), "retriever"), (("reference", "citation"), "crossref"), (("summarize", "synthesize"), "summarizer"), (("verify", "check"), "verifier"))
 
 

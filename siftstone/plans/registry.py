@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from siftstone.plans import q_code, q_corpus, q_dialogue, q_flows, q_retrieval, q_tables  # noqa: F401
+    from siftstone.plans import q_agents, q_code, q_corpus, q_dialogue, q_flows, q_retrieval, q_tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
