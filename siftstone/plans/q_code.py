@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftstone.functions.lineage import kept
-from siftstone.operators import scopes
+from siftstone.operators import scopes, scripts
 from siftstone.plans.registry import query, table
 
 _REGION = "class Root:\n    def ping(self):\n        return 1\n    def pong(self):\n        return self.ping()\n\ndef shared():\n    return 1\n"
@@ -44,3 +44,35 @@ UNION ALL SELECT c || 'Client', c || 'Client.work', 'contains' FROM c""")
 def scoped_calls(spark, sf_dir):
     """Calls through imports that are passed on, method orders over three files."""
     return scopes.scoped_edges(kept(_sources(spark, sf_dir)))
+
+
+_SCRIPT = r"""import { B# } from "./b#";
+/* function no() {} */
+export function load#(url: string, deep = {}) {
+  const s = `function inner() { ${call#(1)} }`;
+  if (url && s) { return fetch(url); }
+  return /function x\(\) \{/.test(s);
+}
+export class Shop# extends B# {
+  async open(x) { for (const y of x) { load#(y); } }
+  get size() { return "}" }
+"""
+
+
+@query("script_units", """
+WITH c AS (SELECT c_custkey::VARCHAR AS c, c_nationkey % 3 + 1 AS n FROM customer),
+u AS (
+  SELECT c, 'load' || c AS name, NULL AS owner, 'function' AS type, 3 AS a, 7 AS b, 'call' || c || ',fetch,test' AS calls, 'url: string,deep = ...' AS parameters, '' AS bases, 3 AS complexity FROM c
+  UNION ALL SELECT c, 'Shop' || c, NULL, 'class', 8, 11 + n, 'load' || c, '', 'B' || c, NULL FROM c
+  UNION ALL SELECT c, 'open', 'Shop' || c, 'method', 9, 9, 'load' || c, 'x', '', 2 FROM c
+  UNION ALL SELECT c, 'size', 'Shop' || c, 'property', 10, 10, '', '', '', 1 FROM c
+  UNION ALL SELECT c, 'k' || i, 'Shop' || c, 'method', 10 + i, 10 + i, 'load' || c, '', '', 1 FROM (SELECT c, unnest(range(1, n + 1)) AS i FROM c)
+  UNION ALL SELECT c, 'twice' || c, NULL, 'function', 12 + n, 12 + n, 'load' || c, 'x', '', 1 FROM c)
+SELECT 'web/m' || c || '.ts::' || coalesce(owner || '.', '') || name AS id, name, type, a::INT AS start_line, b::INT AS end_line, owner AS parent_class, calls, parameters, bases, complexity::INT AS complexity FROM u""")
+def script_units(spark, sf_dir):
+    """Units of TypeScript sources, one a customer, with as many methods as its nation says."""
+    text = lambda s: F.replace(F.lit(s), F.lit("#"), F.col("c_custkey").cast("string"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("c_nationkey") % 3 + 1).cast("int")), lambda i: F.concat(F.lit("  k"), i.cast("string"), F.lit("() { load"), F.col("c_custkey").cast("string"), F.lit("(1); }\n"))), "")
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("web/m"), F.col("c_custkey").cast("string"), F.lit(".ts")).alias("path"), F.concat(text(_SCRIPT), lines, text("}\nexport const twice# = x => load#(x);\n")).alias("source"))
+    joined = {c: F.array_join(c, ",") for c in ("calls", "parameters", "bases")}
+    return scripts.parse_scripts(files).withColumns(joined).select("id", "name", "type", "start_line", "end_line", "parent_class", "calls", "parameters", "bases", "complexity")
