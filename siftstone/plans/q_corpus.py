@@ -8,7 +8,7 @@ from siftstone.functions import times
 from siftstone.functions.lineage import kept
 from siftstone.operators import dedup, graph, state, timeindex
 from siftstone.plans.registry import query, table
-from siftstone.streaming import near
+from siftstone.streaming import metrics, near
 
 _AB = dedup.multipliers()
 _LIMBS = "0::BIGINT"
@@ -261,3 +261,20 @@ def entities_in_question(spark, sf_dir):
 SELECT 'vertex' AS part, type, count(*) AS n FROM vertices GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type""")
 def graph_stats(spark, sf_dir):
     return graph.stats(*_graph(spark, sf_dir))
+
+
+@query("ingest_steps", """
+WITH fresh AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-11 00:00:00'), users AS (SELECT user_id, count(*) AS n FROM fresh GROUP BY user_id),
+m AS (
+  SELECT 0 AS place, 'read' AS step, unnest(['rows', 'errors', 'value']) AS metric, unnest([count(*), count(*) FILTER (event_type = 'error'), sum(value)]::DOUBLE[]) AS value FROM events
+  UNION ALL SELECT 1, 'fresh', unnest(['rows', 'errors']), unnest([count(*), count(*) FILTER (event_type = 'error')]::DOUBLE[]) FROM fresh
+  UNION ALL SELECT 2, 'users', unnest(['rows', 'most']), unnest([count(*), max(n)]::DOUBLE[]) FROM users)
+SELECT place, step, metric, round(value, 3) AS value FROM m""")
+def ingest_steps(spark, sf_dir):
+    """What three steps of one job let through, observed while it runs."""
+    log, bad = metrics.StepLog(), F.count_if(F.col("event_type") == "error")
+    events = log.step("read", table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value"), errors=bad, value=F.sum("value"))
+    fresh = log.step("fresh", events.where(F.col("ts").cast("timestamp") >= F.lit("2024-01-11 00:00:00").cast("timestamp")), errors=bad)
+    users = log.step("users", fresh.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), most=F.max("n"))
+    kept(users)  # the one job
+    return log.table(spark).withColumn("value", F.round("value", 3))
