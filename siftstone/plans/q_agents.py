@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftstone.operators import speakers
+from siftstone.operators import speakers, tool_tables
 from siftstone.plans.q_dialogue import ASKED, _any_phrase, _asked
-from siftstone.plans.registry import query
+from siftstone.plans.registry import query, table
 
 #: What each agent says offline; the coordinator ends a run after the verifier, but
 #: not where the question's length is a multiple of five.
@@ -37,3 +37,20 @@ def agent_transcripts(spark, sf_dir):
     said = speakers.run(questions, lambda turn: turn.withColumn("message", F.expr(_SAY)))
     who = said.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "speaker"))), lambda x: x["speaker"]), ">").alias("speakers"))
     return speakers.outcomes(said).join(who, "qid")
+
+
+@query("tools_from_sql", """
+WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderkey % 5 AS m FROM orders)
+SELECT o_orderkey, ['calculator', 'calculator', 'word_count', 'upper', 'weather'][m + 1] AS tool, m < 1 OR m IN (2, 3) AS success,
+  CASE m WHEN 0 THEN (2 * (o_orderkey % 1000) + 1)::VARCHAR WHEN 2 THEN len(regexp_extract_all(o_orderpriority, '\\S+'))::VARCHAR WHEN 3 THEN upper(o_orderpriority) END AS output,
+  CASE m WHEN 1 THEN 'ValueError: undefined' WHEN 4 THEN 'unknown tool: weather' END AS error
+FROM o""")
+def tools_from_sql(spark, sf_dir):
+    """An answer of the catalog to every order, by SQL alone."""
+    tool_tables.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders_asked")
+    return spark.sql("""
+      SELECT o_orderkey, tool, success, output, error FROM run_tools(TABLE(
+        SELECT o_orderkey, element_at(array('calculator', 'calculator', 'word_count', 'upper', 'weather'), int(o_orderkey % 5) + 1) AS tool,
+          CASE o_orderkey % 5 WHEN 0 THEN concat('2 * ', o_orderkey % 1000, ' + 1') WHEN 1 THEN concat(o_orderkey, ' / (3 - 3)') ELSE o_orderpriority END AS argument
+        FROM orders_asked), tool => 'tool', argument => 'argument')""")
