@@ -24,7 +24,7 @@ without words deals its rows out over the whole training by their seeded order;
 a null source is a source of its own, ordered last; ties of the seeded order break
 by id and text; repeated rows are each kept.  Columns of the input pass through;
 of those that a result column replaces by name, ``plan_mix`` says which.  An empty
-table gives an empty result.
+table gives an empty result.  A text counts by its words, however long.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ Rows: a null or wordless text has no words and fails the base rules; a null
 language is a stratum of its own; labels with null id or quality are unused, a
 document labelled twice is good if every row says so; repeated rows are each
 judged.  Columns of the input that have the name of a measure or ``kept`` are
-replaced.  Empty tables give empty results.
+replaced.  Empty tables give empty results.  Texts are measured
+whole, however long; one row holds a text's words while it is measured.
 """
 
 from __future__ import annotations

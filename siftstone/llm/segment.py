@@ -32,7 +32,8 @@ one, so such texts do not come back as they were (``round_trip`` is false); a
 null text is empty; an empty text has the one segmentation of the
 leading space; texts with fewer than k segmentations give fewer rows; repeated
 rows give equal rows; a null key counts as 0.  An empty table gives an empty
-result.
+result.  Texts are cut whole, however long, word by word, so that a lattice is no longer
+than a word.
 """
 
 from __future__ import annotations

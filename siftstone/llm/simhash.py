@@ -16,7 +16,8 @@ Components are found by ``components`` over distinct fingerprints.
 
 Rows: null or wordless texts have fingerprint zero and are linked like any
 other; a null id is never the least of its component unless all ids are null;
-repeated rows are each kept.  An empty table gives an empty result.
+repeated rows are each kept.  An empty table gives an empty result.  Texts count whole,
+however long; the bits are summed over all their shingles.
 """
 
 from __future__ import annotations

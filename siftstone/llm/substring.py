@@ -31,7 +31,8 @@ Words are compared by 64-bit hashes, runs by 128-bit ones.
 Rows: a null text has no words; a null id counts as larger than every id; rows
 that share an id are never references for each other; repeated rows are each
 kept, and share one answer.  Columns of the input pass through; result columns replace any of the
-same name.  An empty table gives an empty result.
+same name.  An empty table gives an empty result.  Texts count
+whole, however long; one must fit a task's memory with its factors.
 """
 
 from __future__ import annotations

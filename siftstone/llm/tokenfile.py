@@ -23,7 +23,8 @@ files count, so a task that is run again leaves no half-written shard behind.
 Rows: keys are whole numbers (a table whose keys cannot be cast to long is an
 error); a null text is empty (only the end id); a null key sorts last and has no
 index entry; of rows with the same key the index names the first, the others
-follow it (ties are ordered by text hash).  An empty table writes no shard.
+follow it (ties are ordered by text hash).  An empty table writes no shard.  Texts are
+encoded whole, however long; one text's ids stand in one shard.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ that were not taken are made up for by class weights.  Scoring covers all rows.
 Rows: a null or empty text has no features and gets the intercept's score; a
 label row with null id or label is unused; repeated rows are each scored.  With
 no positive or no negative label the score is the share of positives for all
-(0 without labels).  An empty table gives an empty result.
+(0 without labels).  An empty table gives an empty result.  Texts
+are scored whole, however long, by the words and word beginnings that they hold.
 """
 
 from __future__ import annotations
