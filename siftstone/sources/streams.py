@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from siftstone.functions.text import strip_tags
 
@@ -78,9 +78,52 @@ def feed_items(entries: DataFrame, as_of: Column, source: str = "rss") -> DataFr
     return entries.select(F.substring(F.md5("entry_id"), 1, 16).alias("id"), text.alias("content"), F.lit("news").alias("content_type"), time.alias("ts"), F.lit(source).alias("source"), "title", F.lit(3).alias("priority"), F.lit(None).cast("string").alias("level"))
 
 
+class Poll(InputPartition):
+    """One feed at one poll (milliseconds); 0: what the feed holds now."""
+
+    def __init__(self, url: str, poll: int):
+        self.url, self.poll = url, poll
+
+
+def fetch(url: str) -> str:
+    """A feed's text from an address or a file."""
+    import urllib.request
+    from pathlib import Path
+
+    if "://" in url:
+        with urllib.request.urlopen(url, timeout=30) as r:
+            return r.read().decode("utf-8", "replace")
+    return Path(url).read_text(encoding="utf-8")
+
+
+def snapshot(archive: str, url: str, poll: int) -> tuple[str, str | None]:
+    """A feed's text at a poll and at the one before it.  The first to ask fetches
+    it and keeps it in the archive, a folder that all executors see; whoever asks again for that
+    poll, as after a failed task or a restart, is given the same text."""
+    import hashlib
+    import uuid
+
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(archive if ":" in archive else f"file://{archive}")
+    home = f"{root}/{hashlib.sha256(url.encode()).hexdigest()[:16]}"
+    system.create_dir(home)
+    polls = {int(f.base_name[:-4]): f.path for f in system.get_file_info(fs.FileSelector(home)) if f.base_name.endswith(".xml") and f.base_name[:-4].isdigit()}
+    if poll not in polls:
+        draft, polls[poll] = f"{home}/{uuid.uuid4().hex}.draft", f"{home}/{poll}.xml"
+        with system.open_output_stream(draft) as f:
+            f.write(fetch(url).encode())
+        system.move(draft, polls[poll])
+    text = lambda n: system.open_input_stream(polls[n]).read().decode()
+    before = max((n for n in polls if n < poll), default=None)
+    return text(poll), None if before is None else text(before)
+
+
 class FeedSource(DataSource):
-    """``spark.readStream.format("feed").option("urls", "a,b")``: polls feeds.
-    A url may be a file path, which is also how it is tested."""
+    """``spark.readStream.format("feed").option("urls", "a,b").option("archive", folder)``: polls
+    feeds, a task a feed, on the executors.  Each batch is one poll, named by its time, which
+    is the offset; its rows are the entries that the poll before did not have.  A url may be
+    a file path, which is also how it is tested.  As a table it is what the feeds hold now."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,42 +132,42 @@ class FeedSource(DataSource):
     def schema(self) -> str:
         return "entry_id string, title string, summary string, time string"
 
-    def _fetch(self) -> Iterator[tuple]:
-        import urllib.request
-        from pathlib import Path
-
-        for url in self.options.get("urls", "").split(","):
-            if "://" in url:
-                with urllib.request.urlopen(url, timeout=30) as r:
-                    xml = r.read().decode("utf-8", "replace")
-            else:
-                xml = Path(url).read_text(encoding="utf-8")
-            yield from parse_feed(xml)
+    def _urls(self) -> list[str]:
+        return [u for u in self.options.get("urls", "").split(",") if u]
 
     def reader(self, schema) -> DataSourceReader:
-        source = self
+        urls = self._urls()
 
         class Reader(DataSourceReader):
             def partitions(self):
-                return [InputPartition(0)]
+                return [Poll(u, 0) for u in urls]
 
             def read(self, partition):
-                return source._fetch()
+                return iter(parse_feed(fetch(partition.url)))
 
         return Reader()
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        source = self
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        urls, archive = self._urls(), self.options.get("archive")
+        if not archive:
+            raise ValueError("a stream of feeds needs the option archive, a folder that all executors see")
 
-        class Reader(SimpleDataSourceStreamReader):
+        class Reader(DataSourceStreamReader):
             def initialOffset(self):
                 return {"poll": 0}
 
-            def read(self, start):
-                return source._fetch(), {"poll": start["poll"] + 1}
+            def latestOffset(self):
+                import time
 
-            def readBetweenOffsets(self, start, end):
-                return source._fetch()
+                return {"poll": int(time.time() * 1000)}
+
+            def partitions(self, start, end):
+                return [Poll(u, end["poll"]) for u in urls]
+
+            def read(self, partition):
+                now, before = snapshot(archive, partition.url, partition.poll)
+                known = {e[0] for e in parse_feed(before)} if before else set()
+                return iter([e for e in parse_feed(now) if e[0] not in known])
 
         return Reader()
 
