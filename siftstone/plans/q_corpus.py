@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from siftstone.functions import times
-from siftstone.functions.lineage import kept
+from siftstone.functions.lineage import folder, kept
 from siftstone.operators import dedup, graph, state, timeindex
+from siftstone.operators.time_store import TimeStore
 from siftstone.plans.registry import query, table
 from siftstone.streaming import metrics, near
 
@@ -169,6 +172,33 @@ def retention(spark, sf_dir):
     return state.newest(state.retain(_items(spark, sf_dir), "ts", _as_of(), 7), 500, "ts", "id").select("id")
 
 
+def _event_store(spark, sf_dir) -> TimeStore:
+    """Events of a month by day: errors come late, sign-ups later still; then days of
+    several segments are compacted and the first week expires."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value")
+    store = TimeStore.create(spark, f"{folder(spark)}/events", events.schema)
+    store.append(events.where("kind is null or kind not in ('error', 'signup')"))
+    store.append(events.where("kind = 'error'"))
+    store.compact()
+    store.append(events.where("kind = 'signup'"))
+    store.expire(datetime.datetime(2024, 1, 8, 9))
+    return store
+
+
+@query("time_store_range", """
+SELECT event_id AS id, event_type AS kind, value FROM events
+WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-21 18:30:00'""")
+def time_store_range(spark, sf_dir):
+    """A range of a stored table by day, late rows in, expired days out."""
+    return _event_store(spark, sf_dir).in_range(datetime.datetime(2024, 1, 5, 6), datetime.datetime(2024, 1, 21, 18, 30)).select("id", "kind", "value")
+
+
+@query("time_store_newest", "SELECT event_id AS id, event_type AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 400")
+def time_store_newest(spark, sf_dir):
+    """The newest rows, from the last days of the store on."""
+    return _event_store(spark, sf_dir).newest(400).select("id", "kind")
+
+
 @query("freshness_note", f"""
 WITH n AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id), a AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 1e6 AS age FROM n)
 SELECT user_id, CASE WHEN age < 60 THEN 'Based on data from the last minute'
