@@ -369,6 +369,46 @@ def test_op6_query(spark, tmp_path, rows):
         edited = t[: len(t) - half] + n[:half]
         assert (g.n_chars, g.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert g.near_edited == pytest.approx(jaccard(spots(t), spots(edited))) and g.near_next == pytest.approx(jaccard(spots(t), spots(n)))
+    check_links({r[0]: spots(r[1]) for r in unique}, got)
+
+
+def check_links(sets, got):
+    """Class ids and link counts against all pairs."""
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    for i, s in sets.items():
+        links = sum(jaccard(s, o) >= 0.8 for o in least if o != s and o and s)
+        assert (got[i].class_id, got[i].n_links) == (least[frozenset(s)], links), i
+    return sum(g.n_links for g in got.values())
+
+
+def test_op6_links_of_crowded_signatures(spark, tmp_path, monkeypatch):
+    # One passage in every text, near copies of several lengths, repeated ids; small blocks.
+    monkeypatch.setattr(spotsigs, "BLOCK", 7)
+    monkeypatch.setattr(spotsigs, "CROWDED", 3)
+    rng = random.Random(12)
+    passage = " ".join(f"the p{i} q{i}" for i in range(30))
+    texts = [passage + " " + " ".join(f"a x{rng.randrange(400)} y{i}" for _ in range(rng.randrange(12))) for i in range(60)]
+    texts += [f"{rng.choice(texts)} of more{i} words{i}" for i in range(30)] + texts[:5] + [None, "", "!!"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in spotsigs.op6_query(spark, str(tmp_path)).collect()}
+    assert check_links({i: spots(t) for i, t in rows}, got) > 1000
+
+
+def test_classes_without_ids(spark):
+    # Repeated ids of different texts and rows without an id are classes of their own.
+    base = "the a1 b1 and c1 d1 of e1 f1 to g1 h1 in i1 j1 is k1 l1 at m1 n1 by o1 p1"
+    near, far = base + " was q1 r1", "the z1 z2 and z3 z4"
+    rows = [(None, base), (None, near), (7, base), (7, far), (None, far + " of z5 z6"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("version", F.xxhash64("text"))
+    facts = {(r.fact_key, r.fact_version): (r.class_id, r.n_links) for r in spotsigs.class_facts(docs).collect()}
+    versions = [r.version for r in docs.collect()]
+    last = 2**63 - 1
+    assert [facts[(i if i else last, v)] for (i, _), v in zip(rows, versions)] == [(7, 1), (None, 1), (7, 1), (7, 0), (None, 0), (None, 0)]
+    pairs, members = spotsigs.similar_pairs(docs)
+    assert [(r.a, r.b) for r in pairs.collect()] in ([(7, None)], [(None, 7)]) and members.count() == 6
 
 
 def test_ids_that_fill_ranges(spark):
