@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: One word, for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 LAST_KEY = 2**63 - 1
+#: Spark's setting that removes a statement's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +71,12 @@ class Store:
     """Tables written to the shared checkpoint folder and read again, which
     cuts lineage and survives a lost executor."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, tidy: bool = False):
+        """``tidy`` also removes the shuffle files of a kept table, once it is written."""
         import uuid
 
         ready_checkpoints(spark)
-        self.spark = spark
+        self.spark, self.tidy = spark, tidy
         self.home = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
         self.made = 0
         system, path = self._at(self.home)
@@ -87,7 +90,14 @@ class Store:
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         where = f"{self.home}/{self.made}"
-        df.write.parquet(where)
+        before = self.spark.conf.get(CLEANUP, None)
+        try:
+            if self.tidy:
+                self.spark.conf.set(CLEANUP, "true")
+            df.write.parquet(where)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, number: int) -> None:
