@@ -161,7 +161,8 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS
     home = prints.select("fp").mapInArrow(_replicate(distance, blocks, 0), at).withColumnRenamed("fp", "a")
     copies = prints.select("fp").mapInArrow(_replicate(distance, blocks, distance), at).withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return home.join(copies, "anchor").where(near).select("a", "b")
+    # The planner takes the replicas for as few as the fingerprints and would send them to every task through the driver.
+    return home.join(copies.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def _fingerprint(text: str, names: list[str]):

@@ -204,3 +204,10 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "a long, b long"), store).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, **{k: 100 for k in range(101, 140)}}
     assert components.components(spark.createDataFrame([], "a long, b long"), store).count() == 0
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Stored fingerprints look small to the planner; their replicas are some 60 times as many."""
+    prints = Store(spark).keep(spark.range(2000).select(F.xxhash64("id").alias("fp")))
+    plan = simhash.near_pairs(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
