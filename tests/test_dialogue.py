@@ -269,3 +269,20 @@ def test_recent_values_skip_turns_without_one(spark):
     rows = [(c, t, rng.choice([None, None, f"v{t}"])) for c in range(6) for t in range(25)]
     got = {(r.conv_id, r.turn): r.last for r in conversation.recent(spark.createDataFrame(rows, "conv_id long, turn long, v string").repartition(3), "v", 3, "last").collect()}
     assert got == {(c, t): [v for d, u, v in rows if d == c and u < t and v][-3:] for c, t, _ in rows}
+
+
+@pytest.mark.parametrize("name", ["agentic_answers"])
+def test_questions_that_share_an_id_or_end_in_a_year_equal_the_sql(spark, tmp_path, name):
+    """Conversation 2023 is no year, and turn 100 of a conversation has the next one's ids."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    turns = [(c, t, "user", "x") for c in (2022, 2023, 2024) for t in (*range(16), 100, 101, 108)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "news about topic 2023"), (2, "write some code")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    assert key(entry.queries()[name](spark, str(tmp_path)).collect()) == key(con.execute(entry.oracle_sql()[name]).fetchall())
