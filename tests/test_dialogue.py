@@ -271,7 +271,7 @@ def test_recent_values_skip_turns_without_one(spark):
     assert got == {(c, t): [v for d, u, v in rows if d == c and u < t and v][-3:] for c, t, _ in rows}
 
 
-@pytest.mark.parametrize("name", ["agentic_answers"])
+@pytest.mark.parametrize("name", ["agentic_results", "agentic_answers"])
 def test_questions_that_share_an_id_or_end_in_a_year_equal_the_sql(spark, tmp_path, name):
     """Conversation 2023 is no year, and turn 100 of a conversation has the next one's ids."""
     import duckdb
