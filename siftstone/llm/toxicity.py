@@ -140,8 +140,14 @@ def solve(chosen: list[str], rows: list, swapped: list, y: np.ndarray, weights:
     w = np.zeros(d + 1)
     w[d] = math.log(share / (1 - share))
     weight = weights / total
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(np.float64)))
+
+    def cost(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = (x @ w.astype(np.float32)).astype(np.float64)
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + w @ fixed @ w / 2), z
+
+    now, z = cost(w)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         grad = x.T @ (weight * (p - y)).astype(np.float32) + fixed @ w
         curve = (weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
         hessian = fixed.copy()
@@ -149,8 +155,16 @@ def solve(chosen: list[str], rows: list, swapped: list, y: np.ndarray, weights:
             part = x[a : a + 2048]
             hessian += part.T @ (part * curve[a : a + 2048, None])
         step = np.linalg.solve(hessian, grad)
-        w -= step
-        if np.abs(step).max() < 1e-5:
+        # A whole step may overshoot where labels are nearly separable: halve it until the cost falls.
+        size, slope = 1.0, float(grad @ step)
+        then, z_then = cost(w - step)
+        while then > now - 1e-4 * size * slope and size > 1e-6:
+            size /= 2
+            then, z_then = cost(w - size * step)
+        if then >= now:
+            break
+        w, now, z = w - size * step, then, z_then
+        if size * np.abs(step).max() < 1e-5:
             break
     return Model({f: round(float(v), 6) for f, v in zip(chosen, w) if abs(v) > 1e-6}, round(float(w[d]), 6))
 

@@ -454,6 +454,19 @@ def made_labels(n=400, seed=4):
     return out
 
 
+def test_fit_does_not_diverge_where_a_few_words_decide():
+    """Rare labels, told by one of a few words: whole Newton steps overshot and all scores were zero."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    y = (rng.random(1000) < 0.05).astype(int)
+    rows = [sorted({*([int(rng.integers(5))] if p else []), *(5 + rng.integers(60, size=12)).tolist()}) for p in y]
+    names = [f"f{k}" for k in range(65)]
+    model = toxicity.solve(names, rows, [None] * len(rows), y, np.ones(len(rows)))
+    scores = np.array([model.intercept + sum(model.weights.get(names[k], 0.0) for k in r) for r in rows])
+    assert scores[y == 1].min() > scores[y == 0].max() and -50 < model.intercept < 0
+
+
 def test_swapping_identity_terms_moves_no_score():
     rows = made_labels()
     texts, y = [r[1] for r in rows], [r[2] for r in rows]
