@@ -187,7 +187,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     # One exchange serves the count and the join.
     banded = classes.select("fp", F.explode("bands").alias("bucket")).repartition("bucket")
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
-    open_rows = store.keep(banded.join(crowded, "bucket").select("bucket", "fp"))
+    # The planner takes the exploded rows for as few as the classes.
+    open_rows = store.keep(banded.hint("merge").join(crowded, "bucket").select("bucket", "fp"))
     near = _sim_pairs(classes, store)
     if LEADERS:
         near = near.unionByName(_led(open_rows.withColumn("root", F.col("fp")), 0))

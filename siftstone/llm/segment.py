@@ -47,14 +47,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, table
-from .textbatch import U64, Numbered, chunks, hash_spans, mix, ranges
+from .textbatch import U64, Numbered, chunks, end_task, hash_spans, mix, ranges
 from .tokens import public_path
 
 K = 2
 OFFSET = 2.7
 MARK = "▁"
 #: Edges that a worker keeps during a task, and from one task to the next.
-CACHED_EDGES, KEPT_EDGES = 10_000_000, 2_000_000
+CACHED_EDGES, KEPT_EDGES = 4_000_000, 1_000_000
+#: Bytes of text that are sampled at once; a worker's temporary arrays are some hundred times as large.
+CHUNK = 1 << 18
 
 
 class Vocabulary:
@@ -175,6 +177,7 @@ class Lattices:
         """Idle workers share the machine with what runs next."""
         if len(self.p) > KEPT_EDGES:
             self.forget()
+        end_task()
 
     def forget(self) -> None:
         """Keep the words that came most often, with ``KEPT_EDGES`` edges at most."""
@@ -496,7 +499,7 @@ def _sample(path: str, k: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(path)
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", CHUNK):
                 keys, texts, seeds = part.column(0), [t or "" for t in part.column(1).to_pylist()], part.column(2)
                 rows = {x: [] for x in ("key", "seed", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", "ids_crc32", "round_trip")}
                 got = sample(lattices, texts, np.asarray(seeds.fill_null(0), np.int64), k)

@@ -70,3 +70,20 @@ def test_rounds_lose_no_link(spark, docs, rows, leaders, monkeypatch):
 
 def test_no_rows(spark, none):
     assert nearcopies.keep_one(none).count() == 0
+
+
+def test_exploded_bands_are_not_broadcast(spark):
+    """Some 32 rows a class look like one to the planner."""
+    plans, keep = [], nearcopies.Store.keep
+
+    class Seen(nearcopies.Store):
+        def keep(self, df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return keep(self, df)
+
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(50)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(nearcopies, "Store", Seen)
+        nearcopies.groups(docs).count()
+    (banded,) = [p for p in plans if "explode(bands" in p and "bucket" in p and "count(1)" in p]
+    assert "BroadcastHashJoin" not in banded and "SortMergeJoin" in banded
