@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.lineage import dealt
+
 UNIT = "path string, id string, name string, type string, start_line int, end_line int, signature string, docstring string, parent_class string, decorators array<string>, parameters array<string>, calls array<string>, bases array<string>, is_async boolean, is_private boolean, is_test boolean, complexity int"
 _BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp)
 
@@ -101,7 +103,7 @@ def parse_units(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([u for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for u in units_of(p, s or "")], schema=schema)
 
-    return files.select("path", "source").mapInArrow(run, UNIT)
+    return dealt(files.select("path", "source"), "path").mapInArrow(run, UNIT)
 
 
 def script_units(files: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def parse_imports(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([i for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in imports_of(p, s or "")], schema=schema)
 
-    return files.select("path", "source").mapInArrow(run, "path string, module string, names array<string>, level int")
+    return dealt(files.select("path", "source"), "path").mapInArrow(run, "path string, module string, names array<string>, level int")
 
 
 def script_imports(files: DataFrame) -> DataFrame:

@@ -28,3 +28,13 @@ def test_words_keep_letters_marks_and_digits(spark):
     text = "Tiếng Việt, Привет! 東京\u3000大阪 e\u0301te\u0301 a_b"
     got = spark.range(1).select(shingle_words(F.lit(text)).alias("w")).first().w
     assert got == ["tiếng", "việt", "привет", "東京", "大阪", "e\u0301te\u0301", "a_b"]
+
+
+def test_sources_of_one_file_are_parsed_by_all_cores(spark, tmp_path):
+    """A small table of sources is one task to read, but much to parse."""
+    from siftstone.operators import code, scripts
+
+    spark.createDataFrame([(f"m{i}.py", "def f():\n    pass\n") for i in range(40)], "path string, source string").coalesce(1).write.parquet(f"{tmp_path}/files")
+    files, cores = spark.read.parquet(f"{tmp_path}/files"), spark.sparkContext.defaultParallelism
+    assert files.rdd.getNumPartitions() == 1
+    assert [parse(files).rdd.getNumPartitions() for parse in (code.parse_units, code.parse_imports, scripts.parse_scripts)] == [cores] * 3
