@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.lineage import kept
+from siftstone.functions.lineage import dealt, kept
 from siftstone.operators.code import parse_units
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -154,7 +154,7 @@ class Scopes:
         self.units = kept(parse_units(files).select("path", "id", "name", "type", "parent_class", "bases").dropDuplicates(["id"]))
         modules = kept(files.select("path", module_of(F.col("path")).alias("own")).groupBy("own").agg(F.min("path").alias("path")))
         self.modules = modules
-        bound = files.mapInArrow(_rows(BINDINGS, bindings_of), BINDINGS).join(modules, "path")
+        bound = dealt(files, "path").mapInArrow(_rows(BINDINGS, bindings_of), BINDINGS).join(modules, "path")
         # A relative import starts at the file's package and goes up a package a further dot.
         parts = F.split("own", r"\.")
         package = F.when(F.col("path").rlike(r"(^|/)__init__\.\w+$"), parts).otherwise(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
@@ -235,7 +235,7 @@ class Scopes:
 
     def calls(self, files: DataFrame) -> DataFrame:
         """(source, target): calls between units."""
-        sites = kept(files.select("path", "source").mapInArrow(_rows(SITES, sites_of), SITES))
+        sites = kept(dealt(files.select("path", "source"), "path").mapInArrow(_rows(SITES, sites_of), SITES))
         own = sites.where("kind in ('self', 'super')").withColumn("class_id", F.concat_ws("::", "path", "owner"))
         through = sites.where("kind in ('dotted', 'instance')")
         classes = self.any(through, "receiver").withColumnRenamed("target", "class_id")
