@@ -147,7 +147,8 @@ def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bit
     """Approximate neighbours: rows are indexed by random-hyperplane buckets,
     whose number grows with the corpus.  In each table a query looks into its own
     bucket and those that differ in any of the ``flips`` bits whose planes it is nearest
-    to, 2 ** flips buckets at every size; exact cosine ranks what they find.  Every
+    to, 2 ** flips buckets at every size; exact cosine ranks what they find, as matrix products
+    within a bucket, each of which gives its k best.  Every
     row that has a direction is indexed (the width is the longest query's); a
     crowded bucket's rows are dealt into parts of about ``PART`` for the join.
     Rows are found by likeness alone: corpora without near neighbours are
@@ -178,16 +179,25 @@ def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 24, bit
     schema = "id long, embedding array<float>, codes array<long>"
     rows = plain(corpus, "id").mapInArrow(coder(0), schema)
     asked = plain(queries, "qid").mapInArrow(coder(flips), schema)
-    indexed = kept(rows.select("id", F.explode("codes").alias("code")))
-    crowded = indexed.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = indexed.join(crowded, "code").select("code", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
-    probes = asked.select(F.col("id").alias("qid"), F.explode("codes").alias("code")).join(crowded, "code").select("qid", "code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = probes.join(dealt, ["code", "part"]).select("qid", "id").distinct()
-    if not keep_self:
-        pairs = pairs.where("qid <> id")
-    vectors, q = plain(corpus, "id"), plain(queries, "qid").select(F.col("id").alias("qid"), F.col("embedding").alias("qe"))
-    scored = pairs.join(vectors, "id").join(q, "qid").select("qid", "id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    return top_k(scored, k, "score", "id", "qid")
+    # Equal rows are one: a copy would take a place among a bucket's best.
+    indexed = kept(rows.dropDuplicates(["id", "embedding"]))
+    coded = indexed.select("id", "embedding", F.explode("codes").alias("code"))
+    crowded = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = coded.join(crowded, "code").select("code", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "embedding")
+    probes = asked.select(F.col("id").alias("qid"), "embedding", F.explode("codes").alias("code")).join(crowded, "code")
+    probes = probes.select("code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "qid", "embedding")
+
+    def cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        own, q = np.asarray(left["qid"], np.int64), _unit(_vectors(left["embedding"].combine_chunks(), width))
+        met = [pa.RecordBatch.from_pylist([], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))]
+        for a in range(0, len(own) if len(right) else 0, CHUNK):
+            some = ((np.asarray(b["id"], np.int64), _vectors(b["embedding"], width)) for b in right.to_batches(max_chunksize=CHUNK))
+            met.append(_meet(own[a : a + CHUNK], q[a : a + CHUNK], k, keep_self, some))
+        return pa.Table.from_batches(met)
+
+    # A bucket sends on the k best of each query, not every pair.
+    found = probes.groupBy("code", "part").cogroup(dealt.groupBy("code", "part")).applyInArrow(cell, "qid long, id long, score double")
+    return top_k(found.distinct(), k, "score", "id", "qid")
 
 
 def term_counts(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

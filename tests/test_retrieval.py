@@ -41,6 +41,17 @@ def test_lsh_finds_most_neighbours(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_lsh_scores_within_its_buckets_and_takes_equal_rows_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).astype("float32").tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = df.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    once, twice = (r.lsh_knn(q, x, 5, keep_self=False) for x in (df, df.unionByName(df)))
+    assert sorted(once.collect()) == sorted(twice.collect())
+    # No row for each pair of a bucket leaves it.
+    assert "CoGroupsInArrow" in once._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 1.0], 1 / math.sqrt(2)), ([0.0, 0.0], [1.0, 1.0], 0.0)]
     for x in spark.createDataFrame(rows, "a array<double>, b array<double>, e double").withColumn("c", vectors.cosine(F.col("a"), F.col("b"))).collect():
