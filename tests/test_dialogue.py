@@ -286,3 +286,20 @@ def test_questions_that_share_an_id_or_end_in_a_year_equal_the_sql(spark, tmp_pa
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
     assert key(entry.queries()[name](spark, str(tmp_path)).collect()) == key(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_chunks_leave_a_task_in_small_batches(spark):
+    """The Python memory of a task is that of some texts, not of Spark's whole batch."""
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x " * 900, None] * 500)], ["id", "text"])
+    out = list(chunking.chunk(Files(), chunking.by_chars)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 3 * chunking.TEXTS
+    assert [(i, c) for b in out for i, c in zip(b["id"].to_pylist(), b["chunk"].to_pylist())] == [(i, c) for i in range(0, 1000, 2) for c in chunking.by_chars("x " * 900)]
