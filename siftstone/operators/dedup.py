@@ -23,7 +23,7 @@ HASHES, BANDS, ROWS, SHINGLE, THRESHOLD = 128, 16, 8, 3, 0.8
 #: Classes of a bucket that one task pairs with the rest of it.
 PART = 1024
 #: Texts whose shingles a task holds at once.
-TEXTS = 64
+TEXTS = 32
 
 
 def multipliers(n: int = HASHES, seed: int = SEED) -> list[tuple[int, int]]:
@@ -38,30 +38,49 @@ def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     return docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(windows(shingle_words(F.col(text_col)), n))).alias("shingle"))
 
 
-def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo the prime, for 0 <= x < 2**62: the prime is 31 ones."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x == PRIME, 0, x)
+def _hashes(grams: list[bytes]) -> np.ndarray:
+    """Each shingle's md5 modulo the prime, of which 2**32 is 2."""
+    words = np.frombuffer(b"".join([md5(g).digest() for g in grams]), ">u4").reshape(-1, 4).astype(np.uint64)
+    return (words @ np.array([8, 4, 2, 1], np.uint64)) % np.uint64(PRIME)
+
+
+def _least(flat: np.ndarray, first: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """For each row of hashes (they start at ``first``) and each (a, b) the least
+    (a * x + b) modulo the prime.  The prime is 31 ones: the sum of a number's low and
+    high bits is below twice the prime, so one subtraction, kept where it does not wrap, ends it."""
+    x, low, less = np.empty(len(flat), np.uint64), np.empty(len(flat), np.uint32), np.empty(len(flat), np.uint32)
+    out = np.empty((len(first), len(pairs)), np.int64)
+    for i, (a, b) in enumerate(pairs):
+        np.multiply(flat, np.uint64(a), out=x)
+        x += np.uint64(b)
+        np.bitwise_and(x, np.uint64(PRIME), out=low, casting="unsafe")
+        x >>= np.uint64(31)
+        np.add(low, x, out=low, casting="unsafe")
+        np.subtract(low, np.uint32(PRIME), out=less)
+        np.minimum(low, less, out=low)
+        out[:, i] = np.minimum.reduceat(low, first)
+    return out
 
 
 def _signed(n: int, hashes: int):
-    """Signatures of a batch's word lists: the hashes of all its shingles stand in
-    one array, and each function takes its minima of every row in one pass."""
+    """Signatures of a batch's words (joined by a space): the hashes of all its shingles
+    stand in one array, and each function takes its minima of every row in one pass."""
     pairs = multipliers(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
-                found = []
-                for words in batch.column(1).to_pylist():
-                    grams = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-                    found.append(np.fromiter((int.from_bytes(md5(g.encode()).digest(), "big") % PRIME for g in grams), np.int64, len(grams)))
-                flat, first = np.concatenate(found), np.cumsum([0, *map(len, found)])[:-1]
-                least = np.stack([np.minimum.reduceat(_mod(a * flat + b), first) for a, b in pairs], 1)
+                grams, first, rows = [], [], []
+                for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                    words = text.split(b" ")
+                    if len(words) >= n and words != [b""]:
+                        first.append(len(grams))
+                        rows.append(row)
+                        grams += map(b" ".join, zip(*(words[i:] for i in range(n))))
+                least = _least(_hashes(grams), np.array(first), pairs) if rows else np.zeros((0, hashes), np.int64)
                 held = pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * hashes), pa.array(least.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), held], ["id", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), held], ["id", "signature"])
 
     return run
 
@@ -69,7 +88,7 @@ def _signed(n: int, hashes: int):
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
     """(id, signature), a row a document with n words or more; no shuffle, so
     it works on streams too.  A shingle's hash is its md5 modulo the prime."""
-    rows = dealt(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("w")), "id").select("id", shingle_words(F.col("w")).alias("w")).where(F.size("w") >= n)
+    rows = dealt(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("w")), "id").select("id", F.array_join(shingle_words(F.col("w")), " ").alias("w"))
     return rows.mapInArrow(_signed(n, hashes), StructType([rows.schema["id"], StructField("signature", ArrayType(LongType()))]))
 
 

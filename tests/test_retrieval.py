@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -122,6 +123,18 @@ def test_minhash_signatures_and_matches(spark):
     assert match[2] == (1, 1.0) and match[7] == (3, 1.0) and match[3][0] == 1 and match[3][1] >= 0.8 and set(match) == {2, 3, 7}
 
 
+def test_least_of_shingles_at_the_ends_of_the_prime():
+    # One fold and one subtraction reach every remainder, also where a * x + b is a multiple of the prime.
+    p = dedup.PRIME
+    xs = [0, 1, 2, p // 2, p - 2, p - 1]
+    pairs = [(1, 0), (1, 1), (1, p - 1), (p - 1, 0), (p - 1, p - 1), (2, 1), (p // 2, p - 2)]
+    got = dedup._least(np.array(xs, np.uint64), np.arange(len(xs)), pairs)
+    assert got.tolist() == [[(a * x + b) % p for a, b in pairs] for x in xs]
+    assert dedup._least(np.array(xs, np.uint64), np.array([0, 4]), pairs).tolist() == [[min((a * x + b) % p for x in part) for a, b in pairs] for part in (xs[:4], xs[4:])]
+    grams = [b"a b c", "\u00e9 \u4e16 z".encode()]
+    assert dedup._hashes(grams).tolist() == [int(hashlib.md5(g).hexdigest(), 16) % p for g in grams]
+
+
 def test_signature_similarity_estimates_jaccard(spark):
     rng = random.Random(5)
     a = [f"w{rng.randrange(1000)}" for _ in range(200)]
