@@ -30,6 +30,9 @@ from siftstone.operators.segments import Segments
 #: Most cells (the centroids go to every task), most vectors that they are trained
 #: on, and how much farther than the nearest centroid a probed one may be.
 CELLS, SAMPLE, SLACK = 4096, 50_000, 0.25
+#: Values of a table of rows and cells that a task computes at once, and thus rows of
+#: a batch of probes, each with its query's vector.
+TABLE = 1 << 16
 #: The cell of vectors without a direction: null, zero, or of another length.
 NOWHERE = -1
 SCHEMA = "id long, embedding array<float>, away double, seq long, cell int"
@@ -37,6 +40,14 @@ SCHEMA = "id long, embedding array<float>, away double, seq long, cell int"
 ROOM = 2e-6
 
 
+def _slices(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most ``TABLE`` values of a table of ``columns`` for each row."""
+    size = max(1, TABLE // max(1, columns))
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.segments = spark, path, Segments(spark, path)
@@ -69,7 +80,7 @@ class VectorIndex:
         half = (centroids**2).sum(1) / 2
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, len(centroids)):
                 x = _unit(_vectors(batch.column(1), centroids.shape[1]))
                 cell = (x @ centroids.T - half).argmax(1) if len(x) else np.zeros(0, int)
                 away = np.sqrt(((x - centroids[cell]) ** 2).sum(1))
@@ -132,7 +143,7 @@ class VectorIndex:
         nowhere = NOWHERE in cells
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches, len(own)):
                 q = _unit(_vectors(batch.column(1), centroids.shape[1]))
                 far = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ centroids[own].T + (centroids[own] ** 2).sum(1)))
                 picked = far <= far.min(1, keepdims=True) * (1 + slack) if len(own) else far.astype(bool)

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.operators import retrieval as r
+from siftstone.operators import retrieval as r, vector_index
 from siftstone.operators.vector_index import VectorIndex
 
 
@@ -93,3 +94,20 @@ def test_failed_and_lost_races_are_not_seen(spark, tmp_path, clustered):
     assert empty.search(asked(df), 3, exact=True).count() == 0
     empty.upsert(df)
     assert empty.rows().count() == 100
+
+
+def test_batches_of_probes_are_bounded(spark, tmp_path, monkeypatch):
+    # Every query opens every cell here; the function that pairs them is run by itself.
+    monkeypatch.setattr(vector_index, "TABLE", 60)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([[1.0, i / 100] for i in range(100)], pa.list_(pa.float32()))], ["qid", "embedding"])
+
+    class Asked:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    index = vector_index.VectorIndex(spark, str(tmp_path))
+    centroids = np.array([[0.0, i / 10] for i in range(20)])
+    found = index._probes(Asked(), centroids, {c: (1, 1.0) for c in range(20)}, 1e9, False)
+    assert max(b.num_rows for b in found) <= 60
+    pairs = [(q, c) for b in found for q, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+    assert len(pairs) == 2000 and len(set(pairs)) == 2000
