@@ -397,6 +397,22 @@ def test_op6_links_of_crowded_signatures(spark, tmp_path, monkeypatch):
     assert check_links({i: spots(t) for i, t in rows}, got) > 1000
 
 
+def test_op6_links_are_counted_without_rows_of_pairs(spark, monkeypatch):
+    # 40 near copies, all linked with each other: a row a member of a meeting, none a pair.
+    from siftstone.llm.common import Store
+
+    monkeypatch.setattr(spotsigs, "BLOCK", 16)
+    base = [f"the p{i} q{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + [f"the x{i} y{i}"] + base[i + 1 :])) for i in range(40)]
+    store = Store(spark)
+    classes = spotsigs.numbered(spotsigs.signed(spark.createDataFrame(rows, "id long, text string")).drop("text"), store)
+    met = spotsigs.meetings(classes, 0.8, store).collect()
+    assert max(len(r.members) for r in met) <= 40
+    found = spotsigs.linked(classes, 0.8, store).collect()
+    assert sum(len(r.near) for r in found) == 40 * 39 and len({(r.c, x.c) for r in found for x in r.near}) == 40 * 39
+    assert len(found) < 40 * 39 / 2
+
+
 def test_classes_without_ids(spark):
     # Repeated ids of different texts and rows without an id are classes of their own.
     base = "the a1 b1 and c1 d1 of e1 f1 to g1 h1 in i1 j1 is k1 l1 at m1 n1 by o1 p1"
