@@ -71,3 +71,21 @@ def test_stream_equals_the_rule_and_forgets(spark, store, tmp_path):
     got = {r.id: (r.duplicate_of, r.similarity) for r in near.first_matches(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == by_rule(spark, rows, 12)
     assert held[-1] < max(held) / 4, held  # what is past is gone from the state
+
+
+def test_tables_need_no_state_store(spark):
+    """The table's rule at edges of slices, with copies, equal times and times before 1970."""
+    rng = random.Random(5)
+    rows = [(i, START + timedelta(hours=h), text) for i, h, text in ((i, rng.choice([i, i - i % 4]), text) for i, _, text in made(90, 8))]
+    rows += [(500 + i, datetime(1969, 12, 28) + timedelta(hours=7 * i), rows[i % 5][2]) for i in range(30)]
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        for hours in (1, 5, 14, 70):
+            found = near.near_matches(spark.createDataFrame(rows, SCHEMA).repartition(5), f"{hours} hours")
+            assert {r.id: (r.duplicate_of, r.similarity) for r in near.first_matches(found).collect()} == by_rule(spark, rows, hours)
+            assert "TransformWithState" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    none = near.near_matches(spark.createDataFrame([(1, None, "a b c"), (None, START, "a b c")], SCHEMA), "1 hour")
+    assert none.count() == 0 and [f"{n} {t}" for n, t in none.dtypes] == [x.replace(" long", " bigint") for x in near.MATCH.split(", ")]
