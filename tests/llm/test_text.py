@@ -413,6 +413,44 @@ def test_op6_links_are_counted_without_rows_of_pairs(spark, monkeypatch):
     assert len(found) < 40 * 39 / 2
 
 
+def test_likeness_within_a_meeting(spark, monkeypatch):
+    """Likeness is exact for members near the first one and for others; sets meet in any order."""
+    from siftstone.llm.common import Store
+
+    for block in (4, 512):
+        monkeypatch.setattr(spotsigs, "BLOCK", block)
+        rng = random.Random(31)
+        base = [f"the p{i} q{i}" for i in range(50)]
+        texts = []
+        for i in range(36):
+            some = list(base) if i % 3 else base[:25] + [f"of u{k} v{k}" for k in range(25)]
+            for k in rng.sample(range(50), rng.choice([0, 1, 4, 7])):
+                some[k] = f"the x{rng.randrange(3)} y{k}"
+            texts.append(" ".join(some))
+        store = Store(spark)
+        classes = spotsigs.numbered(spotsigs.signed(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).drop("text"), store)
+        sets = {r.c: set(r.s) for r in classes.collect()}
+        want = {(a, b): jaccard(x, y) for a, x in sets.items() for b, y in sets.items() if a != b and jaccard(x, y) >= 0.8}
+        linked = spotsigs.linked(classes, 0.8, store)
+        got = [((r.c, x.c), x.likeness) for r in linked.collect() for x in r.near]
+        assert len(got) == len(want) and dict(got) == pytest.approx(want) and len(want) > 100
+        met = spotsigs.meetings(classes, 0.8, store).select("g", F.inline_outer("members")).where("c is not null")
+        for plan in (linked, met):  # comparisons are made once, not in a filter before as well
+            lines = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+            assert not any("Filter" in x and "lambda" in x for x in lines) and any("lambda" in x for x in lines)
+
+
+def test_words_without_a_pass_for_each(spark):
+    """Punctuation around words goes in one pass over the text."""
+    texts = ["--a-- 'b'c' ...", " (x)\t\"y\"\r\n z, ,", "", " ", "...", "\u201cq\u201d \u2026 \u00df\u0301 \U0001f600d\U0001f600", "a" + "-" * 5000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.w for r in df.select("i", spotsigs.bare_words(F.col("t")).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        bare = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in words(t)]
+        assert got[i] == [b.rstrip("\u0301") for b in bare if b], t
+    assert "regexp_replace" not in df.select(spotsigs.signatures(F.col("t")))._jdf.queryExecution().toString()
+
+
 def test_classes_without_ids(spark):
     # Repeated ids of different texts and rows without an id are classes of their own.
     base = "the a1 b1 and c1 d1 of e1 f1 to g1 h1 in i1 j1 is k1 l1 at m1 n1 by o1 p1"
